@@ -57,3 +57,9 @@ def cells(data: Corpus) -> DataFrame:
     """(t, v, d, x): the tensor's nonzero cells."""
     places = slices(data).select("doc_id", "t", F.col("d").cast("int").alias("d"))
     return data.weights.join(places, "doc_id").select("t", F.col("term_id").alias("v"), "d", "x")
+
+
+def dims(data: Corpus) -> dict[str, int]:
+    """Sizes of the tensor's axes: slices, terms, documents of the largest slice."""
+    n_slices, n_docs = data.docs.groupBy("source").count().agg(F.count("*"), F.max("count")).first()
+    return {"t": n_slices, "v": data.vocabulary.count(), "d": n_docs}

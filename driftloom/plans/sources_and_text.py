@@ -8,7 +8,7 @@ from driftloom.functions import dates, records, stopwords, text
 from driftloom.operators import sampling, series
 from driftloom.operators.joins import anti_join
 from driftloom.operators.numbering import number_rows
-from driftloom.plans.corpus import cells, corpus, english, english_counts, slices
+from driftloom.plans.corpus import cells, corpus, dims, english, english_counts
 from driftloom.plans.oracle import (
     LINK, MAX_FEATURES, STOP, clean, hashed, quoted, tokens, with_bigrams, with_corpus,
 )
@@ -282,9 +282,7 @@ def minibatch_with_replacement(spark, folder):
     draws_sql(1, 12, "SELECT max(d) + 1 FROM slices")))
 def sample_tensor_docs(spark, folder):
     data = corpus(spark, folder)
-    places = cells(data)
-    n_docs = slices(data).agg(F.max("d") + 1).first()[0]
-    return sampling.sample_tensor_docs(places, n_docs, 12, SEED).withColumn("x", F.round("x", 6))
+    return sampling.sample_tensor_docs(cells(data), dims(data)["d"], 12, SEED).withColumn("x", F.round("x", 6))
 
 
 @query("sample_time_patches", with_corpus("""SELECT draw::INT AS patch, (t - pos)::INT AS t,
@@ -293,8 +291,8 @@ def sample_tensor_docs(spark, folder):
     draws_sql(1, 3, "SELECT max(t) + 1 - 5 FROM slices")))
 def sample_time_patches(spark, folder):
     data = corpus(spark, folder)
-    n_slices, n_docs = slices(data).agg(F.max("t") + 1, F.max("d") + 1).first()
-    return sampling.sample_time_patches(cells(data), n_slices, 5, 3, SEED, n_docs).withColumn("x", F.round("x", 6))
+    size = dims(data)
+    return sampling.sample_time_patches(cells(data), size["t"], 5, 3, SEED, size["d"]).withColumn("x", F.round("x", 6))
 
 
 # ---- text -------------------------------------------------------------------
