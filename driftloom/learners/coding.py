@@ -17,9 +17,12 @@ from driftloom.operators.sampling import hash_uniform
 from driftloom.session import settle
 
 
-def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-12) -> Column:
-    """h >= 0 minimising |x - W h|^2 / 2 + alpha * sum(h), by coordinate descent
-    until no entry of a batch moves."""
+def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-9) -> Column:
+    """h >= 0 minimising |x - W h|^2 / 2 + alpha * sum(h).
+
+    Coordinate descent finds which entries are positive; their values then come
+    from the normal equations of those entries.
+    """
     rank = len(g)
 
     @F.pandas_udf("array<double>")
@@ -36,8 +39,16 @@ def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance:
                 new = np.maximum(h[:, k] + (target[:, k] - h @ g[:, k]) / g[k, k], 0.0)
                 moved = max(moved, np.abs(new - h[:, k]).max())
                 h[:, k] = new
-            if moved <= tolerance * max(1.0, h.max()):
+            if moved <= tolerance * h.max():
                 break
+        supports, member = np.unique(h > 0, axis=0, return_inverse=True)
+        for number, support in enumerate(supports):
+            rows = np.flatnonzero(member.ravel() == number)
+            on = np.flatnonzero(support)
+            if len(on) and np.linalg.matrix_rank(g[np.ix_(on, on)]) == len(on):
+                exact = np.linalg.solve(g[np.ix_(on, on)], target[np.ix_(rows, on)].T).T
+                fits = (exact >= 0).all(axis=1)
+                h[np.ix_(rows[fits], on)] = exact[fits]
         return pd.Series(list(h))
 
     return solve(b)

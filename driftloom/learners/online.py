@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners.algebra import (
-    Factor, contract, gram, gram_product, update_columns, vector,
+    MODEL_CELLS, Factor, contract, gram, gram_product, update_columns, vector,
 )
 from driftloom.learners.coding import cp_codes, least_squares_codes
 from driftloom.learners.factorise import reconstruction_error
@@ -87,29 +87,42 @@ def _batches(entries: DataFrame, column: str, population: int, steps: int, size:
     At most steps x size rows of the matrix are taken, whatever its length.
     """
     drawn = draws(entries.sparkSession, steps, size, population, seed).withColumnRenamed("pos", column)
-    return settle(F.broadcast(drawn).join(entries, column).drop(column))
+    return settle(_listed(drawn, steps * size).join(entries, column).drop(column))
+
+
+def _listed(drawn: DataFrame, rows: int) -> DataFrame:
+    """A table of draws, broadcast while its row count is small."""
+    return F.broadcast(drawn) if rows <= MODEL_CELLS else drawn
+
+
+def onmf_slice(
+    entries: DataFrame, n_docs: int, number: int, state: MatrixState, iterations: int = 500,
+    batch_size: int = 100, beta: float = 1.0, alpha: float = 1.0, seed: int = 0, use_fresh_stats: bool = False,
+) -> MatrixState:
+    """iterations - 1 steps on batches drawn from slice `number`, entries(pos, axis, x)."""
+    batches = _batches(entries, "pos", n_docs, iterations - 1, batch_size, seed + number)
+    for i in range(1, iterations):
+        batch = batches.where(F.col("iter") == i).drop("iter")
+        t = i + number * iterations
+        _, state = onmf_step(batch, state, t, beta, alpha, use_fresh_stats=use_fresh_stats)
+    return state
 
 
 def onmf_train(
-    slices: Iterable[tuple[DataFrame, int]], terms: Factor, iterations: int = 500, batch_size: int = 100,
-    beta: float = 1.0, alpha: float = 1.0, seed: int = 0, get_dicts: Sequence[int] = (),
-    state: MatrixState | None = None, use_fresh_stats: bool = False,
+    slices: Iterable[tuple[DataFrame, int]], terms: Factor, get_dicts: Sequence[int] = (),
+    state: MatrixState | None = None, **options,
 ) -> tuple[MatrixState, dict[int, DataFrame]]:
     """Learn over slices in order; each is (entries(pos, axis, x), documents).
 
-    A slice gets iterations - 1 steps on batches drawn with replacement. Returns
-    the last state and the dictionaries after the slices in `get_dicts` (0 = start).
+    Options are those of `onmf_slice`. Returns the last state and the
+    dictionaries after the slices listed in `get_dicts` (0 = start).
     """
-    rank = terms.rank
-    state = state or MatrixState(terms, np.zeros((rank, rank)))
-    versions = {0: terms.table} if 0 in get_dicts else {}
-    for j, (entries, n_docs) in enumerate(slices):
-        batches = _batches(entries, "pos", n_docs, iterations - 1, batch_size, seed + j)
-        for i in range(1, iterations):
-            batch = batches.where(F.col("iter") == i).drop("iter")
-            _, state = onmf_step(batch, state, i + j * iterations, beta, alpha, use_fresh_stats=use_fresh_stats)
-        if j + 1 in get_dicts:
-            versions[j + 1] = state.terms.table
+    state = state or MatrixState(terms, np.zeros((terms.rank, terms.rank)))
+    versions = {0: state.terms.table} if 0 in get_dicts else {}
+    for number, (entries, n_docs) in enumerate(slices):
+        state = onmf_slice(entries, n_docs, number, state, **options)
+        if number + 1 in get_dicts:
+            versions[number + 1] = state.terms.table
     return state, versions
 
 
@@ -224,7 +237,7 @@ def ocpd_train(
         items = rows.withColumn(batch_axis, F.col("draw"))
     else:
         drawn = draws(spark, iterations - 1, batch_size, n_items, seed).withColumnRenamed("pos", batch_axis)
-        batch_all = settle(F.broadcast(drawn).join(cells, batch_axis).select("iter", "draw", *axes, "x"))
+        batch_all = settle(_listed(drawn, (iterations - 1) * batch_size).join(cells, batch_axis).select("iter", "draw", *axes, "x"))
     for i in range(1, iterations):
         begin = time.perf_counter()
         if batch_size is None:
@@ -290,25 +303,36 @@ def windows(n_slices: int, length: int, slide: int) -> list[int]:
     return list(range(0, n_slices - length + 1, slide))
 
 
+def ocpd_window(
+    cells: DataFrame, start: int, number: int, n_docs: int, factors: dict[str, Factor],
+    state: CPState | None, length: int = 20, patch_docs: int = 20, iterations: int = 50,
+    sub_iterations: int = 2, refresh_history_as: int | None = None, beta: float | None = None,
+    alpha: float = 0.0, seed: int = 0,
+) -> CPState:
+    """Learn window `number`, slices start .. start+length-1, from the window before.
+
+    Its count starts at `refresh_history_as`, or at (number + 1) * iterations.
+    """
+    history = (number + 1) * iterations if refresh_history_as is None else refresh_history_as
+    part = slice_time(cells, start, length).persist()
+    before = None if state is None else replace(state, t=history, codes=[])
+    state = ocpd_train_patches(
+        part, n_docs, factors, patch_docs, iterations, sub_iterations, beta, alpha, history,
+        seed + number * iterations, before,
+    )
+    part.unpersist()
+    return state
+
+
 def ocpd_train_sequential(
     cells: DataFrame, n_slices: int, n_docs: int, factors: dict[str, Factor], length: int = 20,
-    slide: int = 10, patch_docs: int = 20, iterations: int = 50, sub_iterations: int = 2,
-    refresh_history_as: int | None = None, beta: float | None = None, alpha: float = 0.0, seed: int = 0,
+    slide: int = 10, **options,
 ) -> list[tuple[int, CPState]]:
-    """One dictionary per window, each started from the window before it.
-
-    The count of a window starts at `refresh_history_as`, or continues with
-    (window + 1) * iterations.
-    """
+    """One dictionary per complete window, each warm-started from the last.
+    Options are those of `ocpd_window`."""
     out, state = [], None
     for number, start in enumerate(windows(n_slices, length, slide)):
-        part = slice_time(cells, start, length).persist()
-        history = (number + 1) * iterations if refresh_history_as is None else refresh_history_as
-        state = ocpd_train_patches(
-            part, n_docs, factors, patch_docs, iterations, sub_iterations, beta, alpha, history,
-            seed + number * iterations, None if state is None else replace(state, t=history, codes=[]),
-        )
-        part.unpersist()
+        state = ocpd_window(cells, start, number, n_docs, factors, state, length, **options)
         out.append((start, state))
     return out
 

@@ -16,7 +16,7 @@ from driftloom.operators.vocabulary import (
     counts_in_documents, document_terms, select_vocabulary, term_counts, tfidf,
 )
 from driftloom.plans.oracle import MAX_FEATURES, MIN_DF
-from driftloom.session import read_table, spread
+from driftloom.session import read_table, settle, spread
 
 
 def english(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,11 +40,12 @@ class Corpus:
 
 
 def corpus(spark: SparkSession, folder: str, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> Corpus:
-    """Counts are kept while the vocabulary is chosen: they feed both passes."""
+    """The vocabulary is checkpointed: choosing it is one pass over the texts,
+    and everything below it uses the chosen, capped table again."""
     docs = read_table(spark, folder, "documents").where(is_english("lang")).select("doc_id", "source")
     n_docs = docs.count()
     counts = english_counts(spark, folder)
-    vocabulary = select_vocabulary(term_counts(counts), n_docs, max_features, min_df)
+    vocabulary = settle(select_vocabulary(term_counts(counts), n_docs, max_features, min_df))
     return Corpus(docs, n_docs, vocabulary, counts, tfidf(counts, vocabulary, max_features))
 
 

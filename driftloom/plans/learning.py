@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners import coding, factorise, lda, online
-from driftloom.learners.algebra import Factor, gram, gram_product, init_factor, kept, update_columns
+from driftloom.learners.algebra import Factor, gram, init_factor, kept, update_columns
 from driftloom.operators import tensor, topics
-from driftloom.operators.joins import join_term_lookup, range_window_slices
-from driftloom.operators.numbering import dense_index, number_rows
+from driftloom.operators.joins import join_term_lookup
+from driftloom.operators.numbering import number_rows
 from driftloom.operators.vocabulary import document_terms
 from driftloom.plans import unrolled as sql
 from driftloom.plans.corpus import cells, corpus, dims, english
@@ -19,7 +17,7 @@ from driftloom.plans.oracle import MAX_FEATURES, with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import SEED, draws_sql
 from driftloom.plans.tables_and_topics import NUMBERED
-from driftloom.session import read_table, scratch_path
+from driftloom.session import scratch_path
 from driftloom.sources import store
 
 RANK = 2
@@ -287,6 +285,7 @@ def onmf_step(spark, folder):
 
 
 N_SLICES, STEPS_PER_SLICE, BATCH = 3, 2, 60
+ONMF = dict(iterations=STEPS_PER_SLICE + 1, batch_size=BATCH, beta=0.7, alpha=1.0, seed=SEED)
 
 
 def _round_robin(spark, folder):
@@ -300,7 +299,8 @@ def _round_robin(spark, folder):
     return data, entries, sizes
 
 
-def _train_sql() -> str:
+def _train_sql(first: bool = True) -> str:
+    """With `first` also the starting dictionary, both labelled by version."""
     steps, w, a, b = [sql.zero_gram("a0")], "w0", "a0", None
     for j in range(N_SLICES):
         population = f"SELECT count(*) FROM numbered WHERE n % {N_SLICES} = {j}"
@@ -311,6 +311,8 @@ def _train_sql() -> str:
                 JOIN numbered ON n = pos * {N_SLICES} + {j} JOIN tfidf USING (doc_id) WHERE iter = {i})""")
             steps += sql.matrix_step(tag, f"{tag}_x", w, a, b, i + j * (STEPS_PER_SLICE + 1), 0.7, 1.0)
             w, a, b = f"{tag}_w", f"{tag}_a", f"{tag}_b"
+    if not first:
+        return with_corpus(sql.long(w, "term_id"), NUMBERED, W0, *steps, upto="tfidf")
     last = sql.long(w, "term_id", version=f"{N_SLICES}")
     return with_corpus(sql.long("w0", "term_id", version="0") + " UNION ALL " + last, NUMBERED, W0, *steps, upto="tfidf")
 
@@ -320,9 +322,7 @@ def fit_onmf(spark, folder, rank: int = RANK, get_dicts=()):
     terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.vocabulary.count(), rank, SEED)
     with kept(entries) as entries:
         slices = [(entries.where(F.col("slice") == s).drop("slice"), sizes[s]) for s in range(N_SLICES)]
-        state, versions = online.onmf_train(
-            slices, terms, STEPS_PER_SLICE + 1, BATCH, 0.7, 1.0, SEED, get_dicts
-        )
+        state, versions = online.onmf_train(slices, terms, get_dicts, **ONMF)
     return data, state, versions
 
 
@@ -391,7 +391,7 @@ CODED = [
 def _aggregates(spark, folder):
     """(factors t and v, A, B) with the document factor taken as the codes."""
     _, tensor_cells, factors = _tensor(spark, folder)
-    a, _ = gram(factors["d"].table, RANK), None
+    a = gram(factors["d"].table, RANK)
     codes = factors["d"].table
     joined = tensor_cells.join(codes, "d")
     sums = joined.groupBy("t", "v").agg(*[F.sum(F.col("x") * F.col("u")[k]).alias(f"_{k}") for k in range(RANK)])
@@ -447,10 +447,6 @@ def ocpd_update_factors(spark, folder):
     return _mode_table(updated)
 
 
-def _radius(t: int, beta: float, const: float) -> float:
-    return const * (t + 1.0) ** -beta / math.log(t + 2.0)
-
-
 STEP_TABLES, STEP_FACTORS = sql.cp_step(
     "s", "tensor", PLACE_IDS, CP_FACTORS, None, None, 1, 0.7, float(np.float64(10_000.0) * 2.0 ** -0.7 / np.log(3.0)), 10, SEED, "d")
 
@@ -496,6 +492,9 @@ def ocpd_train(spark, folder):
 
 
 PATCH_DOCS = 6
+WINDOWED = dict(
+    patch_docs=PATCH_DOCS, iterations=1, sub_iterations=2, refresh_history_as=1, beta=0.7, seed=SEED
+)
 
 
 def _patch_factors(spark, n_slices: int, n_terms: int, rank: int = 3):
@@ -519,8 +518,7 @@ def ocpd_train_sequential(spark, folder):
     size = dims(data)
     with kept(cells(data)) as tensor_cells:
         fits = online.ocpd_train_sequential(
-            tensor_cells, size["t"], size["d"], _patch_factors(spark, 10, size["v"]), 10, 5, PATCH_DOCS,
-            1, 2, refresh_history_as=1, beta=0.7, seed=SEED,
+            tensor_cells, size["t"], size["d"], _patch_factors(spark, 10, size["v"]), 10, 5, **WINDOWED
         )
     out = None
     for number, (_, state) in enumerate(fits):
