@@ -122,7 +122,7 @@ def term_counts_in_row(terms: Column | str) -> Column:
         )
         return F.when(F.size(ordered) > 0, counted)
 
-    return let(F.array_sort(_col(terms)), runs)
+    return let(F.sort_array(_col(terms)), runs)
 
 
 def extract_emojis(text: Column | str) -> Column:

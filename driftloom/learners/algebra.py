@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftloom.operators.sampling import hash_uniform
@@ -27,12 +28,14 @@ EPSILON = 1e-12
 
 @dataclass(frozen=True)
 class Factor:
-    """`table(axis, u)` with `size` rows."""
+    """`table(axis, u)` with `size` rows; `values` holds the same numbers when a
+    bounded factor has just been updated on the driver."""
 
     table: DataFrame
     axis: str
     size: int
     rank: int
+    values: np.ndarray | None = None
 
     @property
     def bounded(self) -> bool:
@@ -42,8 +45,14 @@ class Factor:
         side = self.table.select(self.axis, F.col("u").alias(name))
         return F.broadcast(side) if self.bounded else side
 
-    def using(self, table: DataFrame) -> Factor:
-        return replace(self, table=table)
+    def using(self, table: DataFrame, values: np.ndarray | None = None) -> Factor:
+        return replace(self, table=table, values=values)
+
+    def gram(self) -> np.ndarray:
+        """rank x rank matrix of the column products."""
+        if self.values is not None:
+            return self.values.T @ self.values
+        return gram(self.table, self.rank)
 
 
 def init_factor(index: DataFrame, axis: str, size: int, rank: int, seed: int = 0) -> Factor:
@@ -109,7 +118,7 @@ def gram_product(factors: Sequence[Factor]) -> np.ndarray:
     their column-wise Kronecker product, which is never formed."""
     out = None
     for factor in factors:
-        g = gram(factor.table, factor.rank)
+        g = factor.gram()
         out = g if out is None else out * g
     return out
 
@@ -144,12 +153,10 @@ def to_array(table: DataFrame, axis: str, columns: Sequence[str]) -> tuple[list,
 
 
 def from_array(like: Factor, keys: list, values: np.ndarray) -> Factor:
-    import pandas as pd
-
     spark = like.table.sparkSession
     frame = pd.DataFrame({like.axis: keys, "u": list(values)})
     schema = like.table.select(like.axis, "u").schema
-    return like.using(spark.createDataFrame(frame, schema))
+    return like.using(spark.createDataFrame(frame, schema), values)
 
 
 def update_columns(

@@ -112,7 +112,7 @@ def code_documents(
     """
     rank = dictionary.rank
     sums = contract(cells, [dictionary], [by], rank)
-    coded = sums.select(by, least_squares_codes(F.col("b"), gram(dictionary.table, rank), alpha).alias("h"))
+    coded = sums.select(by, least_squares_codes(F.col("b"), dictionary.gram(), alpha).alias("h"))
     if documents is None:
         return coded
     zeros = F.array(*[F.lit(0.0)] * rank)

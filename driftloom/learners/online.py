@@ -61,7 +61,7 @@ def onmf_step(
     """
     terms, rank = state.terms, state.terms.rank
     sums = contract(batch, [terms], [by], rank)
-    g = gram(terms.table, rank)
+    g = terms.gram()
     codes = settle(sums.select(by, least_squares_codes(F.col("b"), g, alpha).alias("u")))
     weight = float(t) ** -beta
     a = (1.0 - weight) * state.a + weight * gram(codes, rank)

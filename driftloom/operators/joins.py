@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftloom.operators.vocabulary import bounded_broadcast
 
 
-def join_term_lookup(rows: DataFrame, vocabulary: DataFrame, max_features: int = 5000) -> DataFrame:
+def join_term_lookup(rows: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
     """Replace term ids by terms."""
     return rows.join(bounded_broadcast(vocabulary.select("term_id", "term"), max_features), "term_id")
 
 
-def semi_in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, max_features: int = 5000) -> DataFrame:
+def semi_in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
     """Token rows whose term is in the vocabulary."""
     return tokens.join(bounded_broadcast(vocabulary.select("term"), max_features), "term", "left_semi")
 

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftloom.functions.text import clean_text, ngrams, term_counts_in_row, tokenize_words
 from driftloom.functions.stopwords import STOPWORDS, remove_stopwords
+from driftloom.functions.text import clean_text, ngrams, term_counts_in_row, tokenize_words
+from driftloom.operators.numbering import number_rows
 
 # A vocabulary of at most this many terms (tens of MB) is broadcast.
 BROADCAST_TERMS = 1_000_000
@@ -54,33 +55,42 @@ def within_df(stats: DataFrame, n_docs: int, min_df: int | float, max_df: int |
 
 
 def select_vocabulary(
-    stats: DataFrame, n_docs: int, max_features: int = 5000,
+    stats: DataFrame, n_docs: int, max_features: int | None = 5000,
     min_df: int | float = 1, max_df: int | float = 1.0,
 ) -> DataFrame:
     """(term_id, term, n, df, idf) of the most frequent terms, ids alphabetical.
 
-    Equal counts are decided by term. The ordered window numbers the capped
-    table, at most `max_features` rows.
+    Equal counts are decided by term. Up to BROADCAST_TERMS the capped table is
+    numbered by one ordered window; a larger or uncapped vocabulary (None) is
+    cut and numbered by distributed sorts.
     """
-    top = within_df(stats, n_docs, min_df, max_df).orderBy(F.desc("n"), "term").limit(max_features)
-    ids = F.row_number().over(Window.partitionBy().orderBy("term")) - 1
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
-    return top.select(ids.cast("int").alias("term_id"), "term", "n", "df", idf.alias("idf"))
-
-
-def bounded_broadcast(vocabulary: DataFrame, max_features: int) -> DataFrame:
+    kept = within_df(stats, n_docs, min_df, max_df).select("term", "n", "df")
+    if max_features is not None and max_features <= BROADCAST_TERMS:
+        top = kept.orderBy(F.desc("n"), "term").limit(max_features)
+        ids = F.row_number().over(Window.partitionBy().orderBy("term")) - 1
+        return top.select(ids.cast("int").alias("term_id"), "term", "n", "df", idf.alias("idf"))
+    if max_features is not None:
+        ranked = number_rows(kept.withColumn("_less", -F.col("n")), ["_less", "term"])
+        kept = ranked.where(F.col("pos") < max_features).select("term", "n", "df")
+    numbered = number_rows(kept, ["term"], name="term_id")
+    return numbered.select(F.col("term_id").cast("int"), "term", "n", "df", idf.alias("idf"))
+
+
+def bounded_broadcast(vocabulary: DataFrame, max_features: int | None) -> DataFrame:
     """Broadcast a vocabulary whose cap is small enough; otherwise let Spark choose."""
-    return F.broadcast(vocabulary) if max_features <= BROADCAST_TERMS else vocabulary
+    small = max_features is not None and max_features <= BROADCAST_TERMS
+    return F.broadcast(vocabulary) if small else vocabulary
 
 
-def bag_of_words(counts: DataFrame, vocabulary: DataFrame, max_features: int = 5000) -> DataFrame:
+def bag_of_words(counts: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
     """Counts of the known terms: (…, term_id, n). Documents without any known
     term have no rows; they stay in the document table."""
     lookup = bounded_broadcast(vocabulary.select("term", "term_id"), max_features)
     return counts.join(lookup, "term").drop("term")
 
 
-def tfidf(counts: DataFrame, vocabulary: DataFrame, max_features: int = 5000) -> DataFrame:
+def tfidf(counts: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
     """(…, term_id, x): n * idf scaled to length 1 per document.
 
     The one shuffle, by document, is also the layout the learners need.
@@ -92,7 +102,7 @@ def tfidf(counts: DataFrame, vocabulary: DataFrame, max_features: int = 5000) ->
 
 
 def tfidf_per_slice(
-    counts: DataFrame, vocabulary: DataFrame, docs_per_slice: DataFrame, max_features: int = 5000
+    counts: DataFrame, vocabulary: DataFrame, docs_per_slice: DataFrame, max_features: int | None = 5000
 ) -> DataFrame:
     """The same with df and idf taken inside each slice.
 
@@ -107,7 +117,7 @@ def tfidf_per_slice(
     return weighted.withColumn("x", F.col("_w") / length).drop("n", "_idf", "_w")
 
 
-def log2_tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: int, max_features: int = 5000) -> DataFrame:
+def log2_tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: int, max_features: int | None = 5000) -> DataFrame:
     """The bag weighting used before LDA: n * log2(N / df), length 1 per document.
 
     Terms found in every document weigh 0 and are left out.

@@ -6,7 +6,7 @@ time slice; the weights are TF-IDF over the capped (1, 2)-gram vocabulary.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,23 +30,49 @@ def english_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts_in_documents(document_terms(english(spark, folder)))
 
 
-@dataclass
 class Corpus:
-    docs: DataFrame        # doc_id, source
-    n_docs: int
-    vocabulary: DataFrame  # term_id, term, n, df, idf
-    counts: DataFrame      # doc_id, source, term, n
-    weights: DataFrame     # doc_id, source, term_id, x
+    """The corpus tables; each is planned when first asked for."""
 
+    def __init__(self, spark: SparkSession, folder: str, max_features: int, min_df: int):
+        self.spark, self.folder = spark, folder
+        self.max_features, self.min_df = max_features, min_df
 
-def corpus(spark: SparkSession, folder: str, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> Corpus:
-    """The vocabulary is checkpointed: choosing it is one pass over the texts,
-    and everything below it uses the chosen, capped table again."""
-    docs = read_table(spark, folder, "documents").where(is_english("lang")).select("doc_id", "source")
-    n_docs = docs.count()
-    counts = english_counts(spark, folder)
-    vocabulary = settle(select_vocabulary(term_counts(counts), n_docs, max_features, min_df))
-    return Corpus(docs, n_docs, vocabulary, counts, tfidf(counts, vocabulary, max_features))
+    @cached_property
+    def docs(self) -> DataFrame:
+        """(doc_id, source)."""
+        docs = read_table(self.spark, self.folder, "documents").where(is_english("lang"))
+        return docs.select("doc_id", "source")
+
+    @cached_property
+    def n_docs(self) -> int:
+        return self.docs.count()
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(doc_id, source, term, n)."""
+        return english_counts(self.spark, self.folder)
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """(term_id, term, n, df, idf). Checkpointed: choosing it is one pass over
+        the texts, and everything below uses the chosen, capped table again."""
+        stats = term_counts(self.counts)
+        return settle(select_vocabulary(stats, self.n_docs, self.max_features, self.min_df))
+
+    @cached_property
+    def n_terms(self) -> int:
+        return self.vocabulary.count()
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(doc_id, source, term_id, x)."""
+        return tfidf(self.counts, self.vocabulary, self.max_features)
+
+
+def corpus(
+    spark: SparkSession, folder: str, max_features: int = MAX_FEATURES, min_df: int = MIN_DF
+) -> Corpus:
+    return Corpus(spark, folder, max_features, min_df)
 
 
 def slices(data: Corpus) -> DataFrame:
@@ -63,4 +89,4 @@ def cells(data: Corpus) -> DataFrame:
 def dims(data: Corpus) -> dict[str, int]:
     """Sizes of the tensor's axes: slices, terms, documents of the largest slice."""
     n_slices, n_docs = data.docs.groupBy("source").count().agg(F.count("*"), F.max("count")).first()
-    return {"t": n_slices, "v": data.vocabulary.count(), "d": n_docs}
+    return {"t": n_slices, "v": data.n_terms, "d": n_docs}

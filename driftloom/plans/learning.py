@@ -40,8 +40,7 @@ def _start(spark, folder, rank: int = RANK):
     """(corpus, cells(doc_id, term_id, x), terms, documents)."""
     data = corpus(spark, folder)
     entries = data.weights.select("doc_id", "term_id", "x")
-    n_terms = data.vocabulary.count()
-    terms = init_factor(data.vocabulary.select("term_id"), "term_id", n_terms, rank, SEED)
+    terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.n_terms, rank, SEED)
     documents = init_factor(data.docs.select("doc_id"), "doc_id", data.n_docs, rank, SEED)
     return data, entries, terms, documents
 
@@ -319,7 +318,7 @@ def _train_sql(first: bool = True) -> str:
 
 def fit_onmf(spark, folder, rank: int = RANK, get_dicts=()):
     data, entries, sizes = _round_robin(spark, folder)
-    terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.vocabulary.count(), rank, SEED)
+    terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.n_terms, rank, SEED)
     with kept(entries) as entries:
         slices = [(entries.where(F.col("slice") == s).drop("slice"), sizes[s]) for s in range(N_SLICES)]
         state, versions = online.onmf_train(slices, terms, get_dicts, **ONMF)
@@ -497,11 +496,64 @@ WINDOWED = dict(
 )
 
 
-def _patch_factors(spark, n_slices: int, n_terms: int, rank: int = 3):
-    return factorise.init_factors(spark, {"t": n_slices, "v": n_terms, "d": PATCH_DOCS}, rank, SEED)
+PATCH_STARTS = [
+    sql.start("p_t", "t", "SELECT i::INT AS idx FROM range({n}) r(i)", SEED), UV,
+    sql.start("p_d", "d", f"SELECT i::INT AS idx FROM range({PATCH_DOCS}) r(i)", SEED),
+]
+PATCH_FACTORS = {"t": "p_t", "v": "u_v", "d": "p_d"}
+
+
+def _patch_step_sql(tag, cells_sql, factors, a, b, t, seed):
+    """Draw a patch and take one step on it."""
+    steps = [
+        draws_sql(1, PATCH_DOCS, "SELECT max(d) + 1 FROM slices", seed).replace("draws AS", f"{tag}_draws AS"),
+        f"""{tag}_x AS MATERIALIZED (SELECT 0 AS patch, c.t, v, draw::INT AS d, x FROM ({cells_sql}) c
+            JOIN {tag}_draws ON c.d = pos)""",
+    ]
+    radius = float(10_000.0 * (t + 1.0) ** -0.7 / np.log(t + 2.0))
+    more, new = sql.cp_step(
+        tag, f"{tag}_x", "SELECT 0 AS idx", factors, a, b, t, 0.7, radius, 10, seed, "patch")
+    return steps + more, new
+
+
+def _mode_sql(factors: dict[str, str], **constants: str) -> str:
+    return " UNION ALL ".join(
+        sql.long(f, **constants, mode=f"'{axis}'").replace("idx AS idx", "idx::BIGINT AS idx")
+        for axis, f in factors.items())
+
+
+def _patches_sql() -> str:
+    steps = [PATCH_STARTS[0].replace("{n}", "20"), *PATCH_STARTS[1:]]
+    current, a, b = PATCH_FACTORS, None, None
+    for turn in range(2):
+        more, current = _patch_step_sql(f"s{turn}", "SELECT * FROM tensor", current, a, b, turn + 1, SEED + turn)
+        steps += more
+        a, b = f"s{turn}_a", f"s{turn}_b"
+    return with_corpus(_mode_sql(current), TENSOR, *steps)
+
+
+def _sequential_sql() -> str:
+    steps = [PATCH_STARTS[0].replace("{n}", "10"), *PATCH_STARTS[1:]]
+    current, a, b, parts = PATCH_FACTORS, None, None, []
+    for window in range(3):
+        low = 5 * window
+        part = f"SELECT t - {low} AS t, v, d, x FROM tensor WHERE t BETWEEN {low} AND {low + 9}"
+        more, current = _patch_step_sql(f"s{window}", part, current, a, b, 2, SEED + window)
+        steps += more
+        a, b = f"s{window}_a", f"s{window}_b"
+        parts.append(_mode_sql(current, window_id=f"{window}"))
+    return with_corpus(" UNION ALL ".join(parts), TENSOR, *steps)
+
+
+def _patch_factors(spark, n_slices: int, n_terms: int):
+    return factorise.init_factors(spark, {"t": n_slices, "v": n_terms, "d": PATCH_DOCS}, RANK, SEED)
+
+
+def _loading_long(table: DataFrame, *columns: str) -> DataFrame:
+    return table.select(*columns, "idx", F.posexplode("u").alias("topic", "w")).withColumn("w", F.round("w", 9))
 
 
-@query("ocpd_train_patches")
+@query("ocpd_train_patches", _patches_sql())
 def ocpd_train_patches(spark, folder):
     data = corpus(spark, folder)
     size = dims(data)
@@ -509,10 +561,10 @@ def ocpd_train_patches(spark, folder):
         state = online.ocpd_train_patches(
             tensor_cells, size["d"], _patch_factors(spark, size["t"], size["v"]), PATCH_DOCS, 2, 2, 0.7, seed=SEED
         )
-    return online.loading_table(state).select("mode", "idx", F.posexplode("u").alias("topic", "w"))
+    return _loading_long(online.loading_table(state), "mode")
 
 
-@query("ocpd_train_sequential")
+@query("ocpd_train_sequential", _sequential_sql())
 def ocpd_train_sequential(spark, folder):
     data = corpus(spark, folder)
     size = dims(data)
@@ -524,7 +576,7 @@ def ocpd_train_sequential(spark, folder):
     for number, (_, state) in enumerate(fits):
         rows = online.loading_table(state, number)
         out = rows if out is None else out.unionByName(rows)
-    return out.select("window_id", "mode", "idx", F.posexplode("u").alias("topic", "w"))
+    return _loading_long(out, "window_id", "mode")
 
 
 # ---- LDA, comparison, stored models -----------------------------------------
