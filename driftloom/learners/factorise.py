@@ -41,16 +41,18 @@ def _others(factors: dict[str, Factor], axis: str) -> list[Factor]:
 
 def _sweeps(cells, factors, axes, iterations, update, with_trace) -> Fit:
     factors = dict(factors)
-    fit = Fit(factors)
-    spent = 0.0
+    fit, spent = Fit(factors), 0.0
+    # Only the factor just updated needs a new Gram matrix.
+    grams = {axis: factor.gram() for axis, factor in factors.items()}
     with kept(cells) as cells:
         for step in range(iterations):
             start = time.perf_counter()
             for axis in axes:
                 others = _others(factors, axis)
-                rank = factors[axis].rank
-                sums = contract(cells, others, [axis], rank)
-                factors[axis] = update(factors[axis], sums, gram_product(others), step)
+                sums = contract(cells, others, [axis], factors[axis].rank)
+                g = np.prod([grams[f.axis] for f in others], axis=0)
+                factors[axis] = update(factors[axis], sums, g, step)
+                grams[axis] = factors[axis].gram()
             spent += time.perf_counter() - start
             if with_trace:
                 fit.trace.append((step, spent, reconstruction_error(cells, factors)[0]))

@@ -11,7 +11,7 @@ from driftloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "8g",
     })
     yield session
     session.stop()
