@@ -581,11 +581,11 @@ def slice_time(spark, folder):
 # Factors of a planted tensor taken from the tables: market segments x part
 # sizes x order priorities, each with two components.
 PLANTED = """fa AS (SELECT dense_rank() OVER (ORDER BY k) - 1 AS i, a, b FROM (SELECT c_nationkey AS k,
-      count(*) / 100.0::DOUBLE AS a, round(avg(c_acctbal), 2) / 1000 AS b FROM customer GROUP BY 1)),
+      count(*) / 100.0::DOUBLE AS a, avg(c_acctbal) / 1000 AS b FROM customer GROUP BY 1)),
     fb AS (SELECT dense_rank() OVER (ORDER BY k) - 1 AS j, a, b FROM (SELECT p_size AS k,
-      count(*) / 10.0::DOUBLE AS a, round(avg(p_retailprice), 2) / 1000 AS b FROM part GROUP BY 1)),
+      count(*) / 10.0::DOUBLE AS a, avg(p_retailprice) / 1000 AS b FROM part GROUP BY 1)),
     fc AS (SELECT dense_rank() OVER (ORDER BY k) - 1 AS k, a, b FROM (SELECT strftime(o_orderdate, '%Y-%m') AS k,
-      count(*) / 100.0::DOUBLE AS a, round(avg(o_totalprice), 2) / 100000 AS b FROM orders GROUP BY 1)),
+      count(*) / 100.0::DOUBLE AS a, avg(o_totalprice) / 100000 AS b FROM orders GROUP BY 1)),
     planted AS (SELECT i::INT AS i, j::INT AS j, fc.k::INT AS k, fa.a * fb.a * fc.a + fa.b * fb.b * fc.b AS x FROM fa, fb, fc)"""
 
 
@@ -593,7 +593,7 @@ def planted_factors(spark, folder):
     def factor(table, key, value, per, unit, axis):
         rows = read_table(spark, folder, table).withColumn("_k", key)
         stats = rows.groupBy("_k").agg(F.count("*").alias("_n"), F.avg(value).alias("_m"))
-        u = F.array(F.col("_n") / per, F.round("_m", 2) / unit)
+        u = F.array(F.col("_n") / per, F.col("_m") / unit)
         return stats.join(dense_index(rows, "_k", axis), "_k").select(axis, u.alias("u"))
 
     factors = {
