@@ -19,7 +19,7 @@ from driftloom.learners.algebra import (
 )
 from driftloom.learners.coding import cp_codes, least_squares_codes
 from driftloom.learners.factorise import reconstruction_error
-from driftloom.operators.sampling import draws, sample_tensor_docs
+from driftloom.operators.sampling import draws
 from driftloom.operators.tensor import slice_time
 from driftloom.session import settle
 
@@ -282,10 +282,20 @@ def ocpd_train_patches(
     """Warm-started learning from random patches of `patch_docs` documents.
 
     `factors` have the axes t, v and d, d counting the documents of a patch;
-    the patch is the one item of the batch. Every patch is drawn from `cells(t, v, d, x)`.
+    the patch is the one item of the batch. All patches are taken in one pass
+    over `cells(t, v, d, x)`: iterations x patch_docs documents, whatever their number.
     """
+    drawn = None
     for turn in range(iterations):
-        patch = settle(sample_tensor_docs(cells, n_docs, patch_docs, seed + turn).withColumn("patch", F.lit(0)))
+        rows = draws(cells.sparkSession, 1, patch_docs, n_docs, seed + turn).select(
+            F.lit(turn).alias("turn"), F.col("pos").alias("d"), F.col("draw").cast("int").alias("_place")
+        )
+        drawn = rows if drawn is None else drawn.unionByName(rows)
+    patches = settle(_listed(drawn, iterations * patch_docs).join(cells, "d").select(
+        "turn", "t", "v", F.col("_place").alias("d"), "x", F.lit(0).alias("patch")
+    ))
+    for turn in range(iterations):
+        patch = patches.where(F.col("turn") == turn).drop("turn")
         carried = None if state is None else replace(state, t=history + turn, codes=[])
         state = ocpd_train(
             patch, factors, "patch", 1, sub_iterations, None, beta, alpha, seed + turn,

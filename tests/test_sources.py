@@ -82,9 +82,9 @@ def test_vocabulary_and_bags_per_file(spark, tweet_files):
 
 
 NAMES = [
-    "coronavirus-tweet-id-2020-03-01-00.txt", "coronavirus-tweet-id-2020-03-04-00.txt",
-    "coronavirus-tweet-id-2020-03-02-00.txt", "coronavirus-tweet-id-2020-03-00-00.txt",
-    "coronavirus-tweet-id-2020-02-04-00.txt", "hello",
+    "records-id-2020-03-01-00.txt", "records-id-2020-03-04-00.txt",
+    "records-id-2020-03-02-00.txt", "records-id-2020-03-00-00.txt",
+    "records-id-2020-02-04-00.txt", "hello",
 ]
 
 

@@ -87,7 +87,7 @@ def test_let_evaluates_once(spark):
 
 def test_date_hours(spark):
     for name, found in [
-        ("coronavirus-tweet-id-2020-03-01-00.txt", "2020-03-01-00"), ("coronavirus-tweet-id-2020-03-01.txt", None),
+        ("records-id-2020-03-01-00.txt", "2020-03-01-00"), ("records-id-2020-03-01.txt", None),
         ("2020-03-01-00-05", "2020-03-01-00"), ("2020-03-01-00-other_stuff_2020-15-01-00", "2020-03-01-00"),
     ]:
         assert value(spark, dates.extract_date_hour("t"), t=name) == found
