@@ -65,10 +65,17 @@ def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(whole + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII white space, and the number of words before each text."""
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without a byte in `breaks` (ASCII white space),
+    and the number of words before each text."""
     space = np.ones(len(data) + 1, bool)
-    space[:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    space[:-1] = breaks[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     begins = ~space

@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import minhash
+from driftloom.llm import (
+    embedding_dedup,
+    fingerprint,
+    line_dedup,
+    minhash,
+    packing,
+    secret_scan,
+    toxicity,
+)
 from driftloom.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +30,45 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return minhash.near_groups(read_table(spark, folder, "documents"))
+
+
+@query
+def op7_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, components and kept vectors within each label, at a cosine of 0.93."""
+    return embedding_dedup.near_vectors(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.compare_with_next(read_table(spark, folder, "documents"))
+
+
+@query
+def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once."""
+    return secret_scan.scan_documents(read_table(spark, folder, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fifth."""
+    return toxicity.judged(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 4096."""
+    return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without repeated chunks of lines."""
+    return line_dedup.without_repeats(read_table(spark, folder, "documents"), removed="removed_bytes")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
