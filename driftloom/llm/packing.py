@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,81 +13,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftloom.llm import arrays
 from driftloom.llm.components import store
+from driftloom.llm.words import WordIds
 
 LENGTH = 4096
 #: The id behind every document.
 END = 2
 #: Pieces that are packed together.
 GROUP = 4096
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
-
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class WordIds(dict):
-    """Token ids of texts, word by word.
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The worker's memory of words, shared by its tasks.
 
-    The tokenizer drops white space and never joins what stands on both sides of
-    it, so the ids of a text are those of its words in turn; a word met before
-    is not tokenised again. Only spaces and line feeds are cut at.
+    This tokenizer drops white space and never joins what stands on both sides of it.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.known = 0
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = place = len(self)
-        return place
-
-    def _learn(self) -> None:
-        for lo in range(0, len(self.new), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new[lo:lo + 10_000], add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in found]) + (self.ends[self.known - 1] if self.known else 0)
-            while len(self.ends) < self.known + len(found):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while len(self.ids) < ends[-1]:
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[ends[-1] - sum(map(len, found)):ends[-1]] = [i for x in found for i in x]
-            self.ends[self.known:self.known + len(found)] = ends
-            self.known += len(found)
-        self.new = []
-
-    def __call__(self, text: str) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.forget()
-        words = text.replace("\n", " ").split(" ")
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._learn()
-        ends = self.ends[places]
-        starts = np.where(places > 0, self.ends[places - 1], 0)
-        sizes = ends - starts
-        before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-
-
-_word_ids: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The worker's memory of words, shared by its tasks."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+    tokenizer = Tokenizer.from_file(path)
+    return WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
 
 def _cutter(path: str, length: int):
@@ -94,8 +41,9 @@ def _cutter(path: str, length: int):
         encode = word_ids(path)
         for part in arrays.slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
+            found = encode.all([t or "" for t in part.column("text").to_pylist()])
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), found):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start:start + length]
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids)))
@@ -195,8 +143,9 @@ def sequences(packed: DataFrame, docs: DataFrame, tokenizer: str) -> DataFrame:
         encode = word_ids(tokenizer)
         for part in arrays.slices(batches, "text"):
             rows = []
-            for text, pieces in zip(part.column("text").to_pylist(), part.column("pieces").to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(END)).astype(np.int32)
+            found = encode.all([t or "" for t in part.column("text").to_pylist()])
+            for ids, pieces in zip(found, part.column("pieces").to_pylist()):
+                ids = np.append(ids, np.uint32(END)).astype(np.int32)
                 rows += [(p["sequence_id"], p["offset"], ids[p["start"]:p["start"] + p["length"]]) for p in pieces]
             yield pa.record_batch(
                 [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
