@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm import (
+    chat,
     embedding_dedup,
     fingerprint,
     line_dedup,
     minhash,
     packing,
+    pii,
+    piece_codec,
     secret_scan,
     toxicity,
 )
@@ -56,6 +59,18 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: fixed patterns, and what the network adds."""
+    return pii.scan_documents(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    return piece_codec.encoded_documents(read_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 4096."""
@@ -72,3 +87,32 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query
+def op2_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that no longer one begins with, rendered."""
+    return chat.format_conversations(read_table(spark, folder, "conversations"))
+
+
+ORACLES["op2_chat_snapshots"] = """
+WITH numbered AS (
+    SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations
+), whole AS (
+    SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY pos) AS turns
+    FROM numbered GROUP BY conv_id
+), kept AS (
+    SELECT conv_id, n FROM whole AS s
+    WHERE NOT EXISTS (
+        SELECT 1 FROM whole AS t
+        WHERE t.turns[1] = s.turns[1] AND t.turns[1:s.n] = s.turns AND (t.n > s.n OR (t.n = s.n AND t.conv_id < s.conv_id))
+    )
+)
+SELECT conv_id, (pos - 1) // 1000 AS part, n AS n_turns,
+       string_agg('<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10)
+                  || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM numbered JOIN kept USING (conv_id)
+GROUP BY conv_id, (pos - 1) // 1000, n
+"""
