@@ -3,7 +3,9 @@
 A factor is a table (axis, u) with one array of `rank` numbers per index of the
 axis; data are tables of nonzero cells. Products over cells are joins and sums,
 so neither the cells nor a factor need fit in one place. Only rank x rank
-matrices come to the driver, and whole factors below MODEL_CELLS numbers.
+matrices come to the driver, and factors that are declared local: those are
+broadcast to the tasks and updated on the driver, and more than MODEL_CELLS
+numbers in one are an error.
 """
 
 from __future__ import annotations
@@ -13,15 +15,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftloom.operators.sampling import hash_uniform
 from driftloom.session import settle
 
-# Factors of at most this many numbers (16 MB) are broadcast to the tasks and
-# may be updated on the driver; larger ones are joined by shuffle and updated
-# by DataFrame steps.
+# Numbers of a local factor at most (16 MB).
 MODEL_CELLS = 2_000_000
 EPSILON = 1e-12
 
@@ -29,21 +28,26 @@ EPSILON = 1e-12
 @dataclass(frozen=True)
 class Factor:
     """`table(axis, u)` with `size` rows; `values` holds the same numbers when a
-    bounded factor has just been updated on the driver."""
+    local factor has just been updated on the driver.
+
+    `local` says where the factor lives, whatever its size; one that is not is
+    joined as Spark sees fit and updated by DataFrame steps.
+    """
 
     table: DataFrame
     axis: str
     size: int
     rank: int
     values: np.ndarray | None = None
+    local: bool = True
 
-    @property
-    def bounded(self) -> bool:
-        return self.size * self.rank <= MODEL_CELLS
+    def __post_init__(self) -> None:
+        if self.local and self.size * self.rank > MODEL_CELLS:
+            raise ValueError(f"factor {self.axis} has over {MODEL_CELLS} numbers: make it with local=False")
 
     def joinable(self, name: str) -> DataFrame:
         side = self.table.select(self.axis, F.col("u").alias(name))
-        return F.broadcast(side) if self.bounded else side
+        return F.broadcast(side) if self.local else side
 
     def using(self, table: DataFrame, values: np.ndarray | None = None) -> Factor:
         return replace(self, table=table, values=values)
@@ -55,10 +59,12 @@ class Factor:
         return gram(self.table, self.rank)
 
 
-def init_factor(index: DataFrame, axis: str, size: int, rank: int, seed: int = 0) -> Factor:
+def init_factor(
+    index: DataFrame, axis: str, size: int, rank: int, seed: int = 0, local: bool = True
+) -> Factor:
     """Uniform [0, 1) numbers that depend on axis, index, component and seed only."""
     u = F.array(*[hash_uniform(F.lit(axis), axis, k, seed) for k in range(rank)])
-    return Factor(index.select(axis, u.alias("u")), axis, size, rank)
+    return Factor(index.select(axis, u.alias("u")), axis, size, rank, local=local)
 
 
 def axis_index(spark, axis: str, size: int) -> DataFrame:
@@ -154,9 +160,9 @@ def to_array(table: DataFrame, axis: str, columns: Sequence[str]) -> tuple[list,
 
 def from_array(like: Factor, keys: list, values: np.ndarray) -> Factor:
     spark = like.table.sparkSession
-    frame = pd.DataFrame({like.axis: keys, "u": list(values)})
     schema = like.table.select(like.axis, "u").schema
-    return like.using(spark.createDataFrame(frame, schema), values)
+    # Plain numbers: what Spark makes of arrays depends on the session.
+    return like.using(spark.createDataFrame(list(zip(keys, values.tolist())), schema), values)
 
 
 def update_columns(
@@ -175,7 +181,7 @@ def update_columns(
         step = 1.0 / ((i + 1) * (a[k, k] + 1.0))
         return step if radius is None else step * radius / max(radius, step * length)
 
-    if factor.bounded:
+    if factor.local:
         keys, (u, b) = to_array(table, factor.axis, ["u", "b"])
         for k, i in steps:
             slope = u @ a[:, k] - b[:, k]

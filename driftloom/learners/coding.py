@@ -17,6 +17,10 @@ from driftloom.operators.sampling import hash_uniform
 from driftloom.session import settle
 
 
+# Rounds of coordinate descent, after which a code that still moves is an error.
+ROUNDS = 100_000
+
+
 def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-9) -> Column:
     """h >= 0 minimising |x - W h|^2 / 2 + alpha * sum(h).
 
@@ -31,16 +35,23 @@ def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance:
             return batch
         target = np.vstack(batch.to_list()) - alpha
         h = np.zeros_like(target)
-        for _ in range(100_000):
-            moved = 0.0
+        # Each row stops by its own moves, so no row depends on its batch.
+        open_ = np.arange(len(h))
+        for _ in range(ROUNDS):
+            part, goal = h[open_], target[open_]
+            moved = np.zeros(len(open_))
             for k in range(rank):
                 if g[k, k] <= 0:
                     continue
-                new = np.maximum(h[:, k] + (target[:, k] - h @ g[:, k]) / g[k, k], 0.0)
-                moved = max(moved, np.abs(new - h[:, k]).max())
-                h[:, k] = new
-            if moved <= tolerance * h.max():
+                new = np.maximum(part[:, k] + (goal[:, k] - part @ g[:, k]) / g[k, k], 0.0)
+                moved = np.maximum(moved, np.abs(new - part[:, k]))
+                part[:, k] = new
+            h[open_] = part
+            open_ = open_[moved > tolerance * part.max(axis=1)]
+            if not len(open_):
                 break
+        else:
+            raise ArithmeticError(f"{len(open_)} codes did not settle in {ROUNDS} rounds")
         supports, member = np.unique(h > 0, axis=0, return_inverse=True)
         for number, support in enumerate(supports):
             rows = np.flatnonzero(member.ravel() == number)

@@ -30,9 +30,11 @@ class Fit:
         return spark.createDataFrame(rows, "method string, trial int, iter int, elapsed double, error double")
 
 
-def init_factors(spark, dims: dict[str, int], rank: int, seed: int = 0) -> dict[str, Factor]:
+def init_factors(
+    spark, dims: dict[str, int], rank: int, seed: int = 0, local: bool = True
+) -> dict[str, Factor]:
     """Hashed uniform factors for axes counted 0 .. size-1."""
-    return {axis: init_factor(axis_index(spark, axis, n), axis, n, rank, seed) for axis, n in dims.items()}
+    return {axis: init_factor(axis_index(spark, axis, n), axis, n, rank, seed, local) for axis, n in dims.items()}
 
 
 def _others(factors: dict[str, Factor], axis: str) -> list[Factor]:

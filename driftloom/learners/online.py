@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners.algebra import (
-    MODEL_CELLS, Factor, contract, gram, gram_product, update_columns, vector,
+    Factor, contract, gram, gram_product, update_columns, vector,
 )
 from driftloom.learners.coding import cp_codes, least_squares_codes
 from driftloom.learners.factorise import reconstruction_error
@@ -87,12 +87,7 @@ def _batches(entries: DataFrame, column: str, population: int, steps: int, size:
     At most steps x size rows of the matrix are taken, whatever its length.
     """
     drawn = draws(entries.sparkSession, steps, size, population, seed).withColumnRenamed("pos", column)
-    return settle(_listed(drawn, steps * size).join(entries, column).drop(column))
-
-
-def _listed(drawn: DataFrame, rows: int) -> DataFrame:
-    """A table of draws, broadcast while its row count is small."""
-    return F.broadcast(drawn) if rows <= MODEL_CELLS else drawn
+    return settle(drawn.join(entries, column).drop(column))
 
 
 def onmf_slice(
@@ -237,7 +232,7 @@ def ocpd_train(
         items = rows.withColumn(batch_axis, F.col("draw"))
     else:
         drawn = draws(spark, iterations - 1, batch_size, n_items, seed).withColumnRenamed("pos", batch_axis)
-        batch_all = settle(_listed(drawn, (iterations - 1) * batch_size).join(cells, batch_axis).select("iter", "draw", *axes, "x"))
+        batch_all = settle(drawn.join(cells, batch_axis).select("iter", "draw", *axes, "x"))
     for i in range(1, iterations):
         begin = time.perf_counter()
         if batch_size is None:
@@ -256,7 +251,7 @@ def ocpd_train(
         if with_trace:
             items_all = spark.range(n_items).select(F.col("id").cast("int").alias(batch_axis))
             code = settle(cp_codes(cells, list(state.factors.values()), batch_axis, items_all, alpha, sweeps, seed))
-            full = Factor(code.withColumnRenamed("h", "u"), batch_axis, n_items, rank)
+            full = Factor(code.withColumnRenamed("h", "u"), batch_axis, n_items, rank, local=False)
             error, _ = reconstruction_error(cells, {**state.factors, batch_axis: full})
             state.trace.append((i, spent, error))
     if batch_size is None:
@@ -291,7 +286,7 @@ def ocpd_train_patches(
             F.lit(turn).alias("turn"), F.col("pos").alias("d"), F.col("draw").cast("int").alias("_place")
         )
         drawn = rows if drawn is None else drawn.unionByName(rows)
-    patches = settle(_listed(drawn, iterations * patch_docs).join(cells, "d").select(
+    patches = settle(drawn.join(cells, "d").select(
         "turn", "t", "v", F.col("_place").alias("d"), "x", F.lit(0).alias("patch")
     ))
     for turn in range(iterations):

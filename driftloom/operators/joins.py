@@ -7,17 +7,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftloom.operators.vocabulary import bounded_broadcast
 
-
-def join_term_lookup(rows: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
+def join_term_lookup(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Replace term ids by terms."""
-    return rows.join(bounded_broadcast(vocabulary.select("term_id", "term"), max_features), "term_id")
+    return rows.join(vocabulary.select("term_id", "term"), "term_id")
 
 
-def semi_in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
+def semi_in_vocabulary(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Token rows whose term is in the vocabulary."""
-    return tokens.join(bounded_broadcast(vocabulary.select("term"), max_features), "term", "left_semi")
+    return tokens.join(vocabulary.select("term"), "term", "left_semi")
 
 
 def anti_join(rows: DataFrame, unwanted: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftloom.session import settle
 
-# Largest n for which Spark limits the rows of a group before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to this n Spark limits the rows of a group before the shuffle.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -67,11 +66,11 @@ def top_n_per_group(
 ) -> DataFrame:
     """The first n rows of each group with their rank 1..n.
 
-    Up to GROUP_LIMIT Spark keeps n rows per group and task before shuffling.
-    Beyond it, groups are first cut inside salted parts, which leaves at most
+    Up to the session's limit Spark keeps n rows per group and task before
+    shuffling; the rows are the same either way. Beyond it, groups are first cut inside salted parts, which leaves at most
     n rows per part for the final ranking.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
         part = Window.partitionBy(*group, "_salt").orderBy(*order)
         df = (

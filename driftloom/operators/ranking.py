@@ -4,30 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftloom.operators.numbering import number_rows, top_n_per_group
-from driftloom.operators.sampling import LIMIT_ROWS, sample_n_per_group
+from driftloom.operators.numbering import top_n_per_group
+from driftloom.operators.sampling import sample_n_per_group
 
 
 def top_k_records(
-    records: DataFrame, k: int, score: str, key: str, ordered: bool = True, distinct: bool = False
+    records: DataFrame, k: int, score: str, key: str, distinct: bool = False
 ) -> DataFrame:
-    """The k highest scores; equal scores are decided by the higher key.
+    """The k highest scores, in order; equal scores are decided by the higher key.
 
-    `distinct` first drops repeated keys, for inputs that may hold a record
-    twice. A k beyond LIMIT_ROWS is cut by distributed row numbers, as an
-    ordered limit would gather its rows in one task.
+    Records without a score or a key come last. `distinct` first drops repeated
+    keys, for inputs that may hold a record twice; otherwise each counts. Every
+    task keeps its k best, so k is the length of a report, not a share of a table.
     """
     if distinct:
         records = records.dropDuplicates([key])
-    if k <= LIMIT_ROWS:
-        top = records.orderBy(F.desc(score), F.desc(key)).limit(k)
-    else:
-        keys = records.select((-F.col(score)).alias("_s"), (-F.col(key)).alias("_k"))
-        chosen = number_rows(keys, ["_s", "_k"]).where(F.col("pos") < k)
-        top = records.join(chosen.select((-F.col("_k")).alias(key)), key, "left_semi")
-        if ordered:
-            top = top.orderBy(F.desc(score), F.desc(key))
-    return top
+    return records.orderBy(F.desc_nulls_last(score), F.desc_nulls_last(key)).limit(k)
 
 
 def top_k_per_slice(records: DataFrame, slice_column: str, k: int, score: str, key: str) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from driftloom.operators.numbering import number_rows, top_n_per_group
 
-# Up to this many sampled rows a plain ordered limit is used.
-LIMIT_ROWS = 10_000
 HASH_BUCKETS = 16**4
 
 
@@ -32,24 +30,20 @@ def hash_uniform(*parts: Column | str | int) -> Column:
 def sample_exact_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement, or all rows if there are no more.
 
-    The n smallest hashes win. For a large n the cut is found from a histogram
-    of hash prefixes, so only the bucket holding the cut is ever ordered.
+    The n smallest hashes win. The cut is found from a histogram of hash
+    prefixes, at most HASH_BUCKETS rows, so only the bucket holding the cut is
+    ever ordered.
     """
     ranked = df.withColumn("_h", hash_text(key, seed))
-    if n <= LIMIT_ROWS:
-        return ranked.orderBy("_h", key).limit(n).drop("_h")
     ranked = ranked.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    # At most HASH_BUCKETS rows come back.
-    counts = dict(ranked.groupBy("_b").count().collect())
-    below, cut = 0, HASH_BUCKETS
-    for bucket in sorted(counts):
-        if below + counts[bucket] > n:
-            cut = bucket
-            break
-        below += counts[bucket]
-    whole = ranked.where(F.col("_b") < cut)
-    edge = ranked.where(F.col("_b") == cut).orderBy("_h", key).limit(n - below)
-    return (whole if cut == HASH_BUCKETS else whole.unionByName(edge)).drop("_h", "_b")
+    counts = ranked.groupBy("_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") < n)
+    held = ranked.join(counts, "_b")
+    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    cut = held.where(F.col("_before") + F.col("_n") > n).withColumn("_r", within)
+    cut = cut.where(F.col("_before") + F.col("_r") <= n).drop("_r")
+    return held.where(F.col("_before") + F.col("_n") <= n).unionByName(cut).select(*df.columns)
 
 
 def subset_by_position(df: DataFrame, positions: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def sliding_average(
     """
     short = df.groupBy(series).count().where(F.col("count") < window)
     if not short.isEmpty():
-        raise ValueError(f"not enough data to average over with window of size {window}")
+        raise ValueError(f"a series has fewer than {window} points, so no window is complete")
     chunk = max(CHUNK, window)
     own = F.floor(F.col(at) / chunk)
     borrowed = F.when((F.col(at) % chunk < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))

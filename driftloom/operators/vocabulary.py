@@ -15,10 +15,6 @@ from driftloom.functions.stopwords import STOPWORDS, remove_stopwords
 from driftloom.functions.text import clean_text, ngrams, term_counts_in_row, tokenize_words
 from driftloom.operators.numbering import number_rows
 
-# A vocabulary of at most this many terms (tens of MB) is broadcast.
-BROADCAST_TERMS = 1_000_000
-
-
 def document_terms(
     docs: DataFrame, text: str = "text", max_len: int = 2, stop: Sequence[str] = STOPWORDS,
     tokenize=tokenize_words,
@@ -60,16 +56,11 @@ def select_vocabulary(
 ) -> DataFrame:
     """(term_id, term, n, df, idf) of the most frequent terms, ids alphabetical.
 
-    Equal counts are decided by term. Up to BROADCAST_TERMS the capped table is
-    numbered by one ordered window; a larger or uncapped vocabulary (None) is
-    cut and numbered by distributed sorts.
+    Equal counts are decided by term; None takes all terms. Terms are cut and
+    numbered by distributed sorts, however many there are.
     """
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
     kept = within_df(stats, n_docs, min_df, max_df).select("term", "n", "df")
-    if max_features is not None and max_features <= BROADCAST_TERMS:
-        top = kept.orderBy(F.desc("n"), "term").limit(max_features)
-        ids = F.row_number().over(Window.partitionBy().orderBy("term")) - 1
-        return top.select(ids.cast("int").alias("term_id"), "term", "n", "df", idf.alias("idf"))
     if max_features is not None:
         ranked = number_rows(kept.withColumn("_less", -F.col("n")), ["_less", "term"])
         kept = ranked.where(F.col("pos") < max_features).select("term", "n", "df")
@@ -77,38 +68,32 @@ def select_vocabulary(
     return numbered.select(F.col("term_id").cast("int"), "term", "n", "df", idf.alias("idf"))
 
 
-def bounded_broadcast(vocabulary: DataFrame, max_features: int | None) -> DataFrame:
-    """Broadcast a vocabulary whose cap is small enough; otherwise let Spark choose."""
-    small = max_features is not None and max_features <= BROADCAST_TERMS
-    return F.broadcast(vocabulary) if small else vocabulary
-
-
-def bag_of_words(counts: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
+def bag_of_words(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Counts of the known terms: (…, term_id, n). Documents without any known
     term have no rows; they stay in the document table."""
-    lookup = bounded_broadcast(vocabulary.select("term", "term_id"), max_features)
+    lookup = vocabulary.select("term", "term_id")
     return counts.join(lookup, "term").drop("term")
 
 
-def tfidf(counts: DataFrame, vocabulary: DataFrame, max_features: int | None = 5000) -> DataFrame:
+def tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(…, term_id, x): n * idf scaled to length 1 per document.
 
     The one shuffle, by document, is also the layout the learners need.
     """
-    lookup = bounded_broadcast(vocabulary.select("term", "term_id", "idf"), max_features)
+    lookup = vocabulary.select("term", "term_id", "idf")
     weighted = counts.join(lookup, "term").withColumn("_w", F.col("n") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
     return weighted.withColumn("x", F.col("_w") / length).drop("term", "n", "idf", "_w")
 
 
 def tfidf_per_slice(
-    counts: DataFrame, vocabulary: DataFrame, docs_per_slice: DataFrame, max_features: int | None = 5000
+    counts: DataFrame, vocabulary: DataFrame, docs_per_slice: DataFrame
 ) -> DataFrame:
     """The same with df and idf taken inside each slice.
 
     `docs_per_slice(slice, n_docs)`; df rows are at most slices x vocabulary.
     """
-    bag = bag_of_words(counts, vocabulary, max_features)
+    bag = bag_of_words(counts, vocabulary)
     df = bag.groupBy("slice", "term_id").agg(F.count("*").alias("_df"))
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("_df"))) + 1
     idfs = df.join(docs_per_slice, "slice").select("slice", "term_id", idf.alias("_idf"))
@@ -117,13 +102,13 @@ def tfidf_per_slice(
     return weighted.withColumn("x", F.col("_w") / length).drop("n", "_idf", "_w")
 
 
-def log2_tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: int, max_features: int | None = 5000) -> DataFrame:
+def log2_tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: int) -> DataFrame:
     """The bag weighting used before LDA: n * log2(N / df), length 1 per document.
 
     Terms found in every document weigh 0 and are left out.
     """
     idf = F.log2(F.lit(n_docs) / F.col("df"))
-    lookup = bounded_broadcast(vocabulary.select("term", "term_id", idf.alias("_idf")), max_features)
+    lookup = vocabulary.select("term", "term_id", idf.alias("_idf"))
     weighted = counts.join(lookup, "term").withColumn("_w", F.col("n") * F.col("_idf")).where("_w > 0")
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
     return weighted.withColumn("x", F.col("_w") / length).drop("term", "n", "_idf", "_w")

@@ -66,7 +66,7 @@ class Corpus:
     @cached_property
     def weights(self) -> DataFrame:
         """(doc_id, source, term_id, x)."""
-        return tfidf(self.counts, self.vocabulary, self.max_features)
+        return tfidf(self.counts, self.vocabulary)
 
 
 def corpus(

@@ -41,7 +41,7 @@ def _start(spark, folder, rank: int = RANK):
     data = corpus(spark, folder)
     entries = data.weights.select("doc_id", "term_id", "x")
     terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.n_terms, rank, SEED)
-    documents = init_factor(data.docs.select("doc_id"), "doc_id", data.n_docs, rank, SEED)
+    documents = init_factor(data.docs.select("doc_id"), "doc_id", data.n_docs, rank, SEED, local=False)
     return data, entries, terms, documents
 
 
@@ -600,7 +600,7 @@ def lda_topics(spark, folder):
     data, vectors, model = fit_lda(spark, folder)
     vectors.unpersist()
     weights = lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w")
-    return topics.topic_keywords(join_term_lookup(weights, data.vocabulary, MAX_FEATURES), 10).select(
+    return topics.topic_keywords(join_term_lookup(weights, data.vocabulary), 10).select(
         "topic", "rank", "term", F.round("w", 6).alias("w")
     )
 
@@ -637,7 +637,7 @@ def method_comparison(spark, folder):
     }
     out = None
     for method, table in weights.items():
-        top = topics.topic_keywords(join_term_lookup(table, data.vocabulary, MAX_FEATURES), 5)
+        top = topics.topic_keywords(join_term_lookup(table, data.vocabulary), 5)
         rows = top.select(F.lit(method).alias("method"), "topic", "rank", "term")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -654,5 +654,5 @@ def load_model(spark, folder):
     weights = data.weights.groupBy("term_id", topic.alias("topic")).agg(F.round(F.sum("x"), 6).alias("w"))
     root = store.save_model({"weights": weights, "vocabulary": data.vocabulary}, scratch_path(spark, "model"))
     saved = store.load_model(spark, root, ["weights", "vocabulary"])
-    named = join_term_lookup(saved["weights"], saved["vocabulary"], MAX_FEATURES)
+    named = join_term_lookup(saved["weights"], saved["vocabulary"])
     return topics.topic_keywords(named.select("topic", "term", "w"), 5)

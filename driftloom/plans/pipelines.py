@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftloom.functions.records import Steps, is_english, is_repost
 from driftloom.functions.text import clean_text, tokenize_social
+from driftloom.operators.numbering import number_rows
 from driftloom.operators.sampling import sample_exact_n, sample_n_per_group
 from driftloom.operators.vocabulary import bag_of_words, counts_in_documents, document_terms, term_counts
 from driftloom.sources.scan import scan_json_records, scan_lines
@@ -48,9 +49,12 @@ def bags_per_file(
     spark: SparkSession, paths: str | Sequence[str], vocabulary: DataFrame, include_reposts: bool = False,
     samples_per_file: int | None = None, max_ngram_len: int = 2, seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents(file, doc_id), bag(file, doc_id, term_id, n)) for a fixed vocabulary."""
-    records = english_records(spark, paths, include_reposts)
-    records = records.withColumn("doc_id", F.xxhash64("file", "value", F.col("full_text")))
+    """(documents(file, doc_id), bag(file, doc_id, term_id, n)) for a fixed vocabulary.
+
+    Every record is a document of its own, equal ones too: they are numbered in
+    the order of file and line.
+    """
+    records = number_rows(english_records(spark, paths, include_reposts), ["file", "value"], name="doc_id")
     if samples_per_file is not None:
         records = sample_n_per_group(records, "file", samples_per_file, "doc_id", seed)
     texts = records.select("file", "doc_id", F.col("full_text").alias("text"))

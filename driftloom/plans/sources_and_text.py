@@ -50,13 +50,16 @@ def count_lines(spark, folder):
 def _event_lines(spark, folder):
     path = scratch_path(spark, "records")
     events = read_table(spark, folder, "events")
-    record = F.to_json(F.struct("event_id", "event_type", "value", F.parse_json("props").alias("props")))
+    # A third of the records has a place, a third a null one, the rest none.
+    plain = F.to_json(F.struct("event_id", "event_type", "value", F.parse_json("props").alias("props")))
+    place = F.when(F.col("event_id") % 3 == 0, '"place":"x",').when(F.col("event_id") % 3 == 1, '"place":null,').otherwise("")
+    record = F.concat(F.lit("{"), place, F.substring(plain, F.lit(2), F.length(plain)))
     events.select(record.alias("value")).write.option("compression", "gzip").text(path)
     return path
 
 
 @query("scan_json_records", """SELECT event_id, event_type, value, (props->>'k')::BIGINT AS k,
-    json_exists(props, '$.place') AS has_place FROM events""")
+    event_id % 3 <> 2 AS has_place FROM events""")
 def scan_json_records(spark, folder):
     lines = scan.scan_lines(spark, _event_lines(spark, folder))
     schema = "event_id bigint, event_type string, value double, props struct<k: bigint>"

@@ -31,7 +31,7 @@ def profile(spark, folder):
     """(topic, term, w): weights of the terms in each source."""
     data = corpus(spark, folder)
     sums = data.weights.groupBy("source", "term_id").agg(F.round(F.sum("x"), 6).alias("w"))
-    named = joins.join_term_lookup(sums, data.vocabulary, MAX_FEATURES)
+    named = joins.join_term_lookup(sums, data.vocabulary)
     return named.join(dense_index(data.docs, "source", "topic"), "source").select("topic", "term", "w")
 
 
@@ -43,7 +43,7 @@ def flagship(spark, folder):
     """Clean text -> n-grams -> vocabulary -> TF-IDF -> ten strongest terms per source."""
     data = corpus(spark, folder)
     sums = data.weights.groupBy("source", "term_id").agg(F.round(F.sum("x"), 6).alias("w"))
-    named = joins.join_term_lookup(sums, data.vocabulary, MAX_FEATURES).withColumnRenamed("source", "topic")
+    named = joins.join_term_lookup(sums, data.vocabulary).withColumnRenamed("source", "topic")
     top = topics.topic_keywords(named, 10)
     return top.select(F.col("topic").alias("source"), "term", F.col("w").alias("weight"), "rank")
 
@@ -56,14 +56,14 @@ def flagship(spark, folder):
 def join_term_lookup(spark, folder):
     data = corpus(spark, folder)
     sums = data.weights.groupBy("term_id").agg(F.round(F.sum("x"), 6).alias("w"))
-    return joins.join_term_lookup(sums, data.vocabulary, MAX_FEATURES).select("term", "w")
+    return joins.join_term_lookup(sums, data.vocabulary).select("term", "w")
 
 
 @query("semi_in_vocabulary", with_corpus(
     "SELECT doc_id, term, n FROM counts WHERE term IN (SELECT term FROM vocab)", upto="vocab"))
 def semi_in_vocabulary(spark, folder):
     data = corpus(spark, folder)
-    return joins.semi_in_vocabulary(data.counts, data.vocabulary, MAX_FEATURES).select("doc_id", "term", "n")
+    return joins.semi_in_vocabulary(data.counts, data.vocabulary).select("doc_id", "term", "n")
 
 
 def _df_cut(low: int, high: float) -> str:
@@ -89,12 +89,13 @@ def cross_param_grid(spark, folder):
 
 
 @query("zip_by_position", with_corpus("""SELECT a.topic, a.rank, a.term AS term, b.term AS other FROM top a JOIN top b
-    ON a.rank = b.rank AND b.topic = (a.topic + 1) % 20""", PROFILE, top_sql(10), upto="tfidf"))
+    ON a.rank = b.rank AND b.topic = (a.topic + 1) % (SELECT max(topic) + 1 FROM top)""", PROFILE, top_sql(10), upto="tfidf"))
 def zip_by_position(spark, folder):
     """Keywords of each topic beside those of the next topic."""
     top = topics.topic_keywords(profile(spark, folder), 10)
     place = F.struct("topic", "rank")
-    other = F.struct(((F.col("topic") + 19) % 20).alias("topic"), "rank")
+    n = top.agg(F.max("topic") + 1).scalar()
+    other = F.struct(((F.col("topic") + n - 1) % n).alias("topic"), "rank")
     paired = joins.zip_by_position(
         top.select(place.alias("at"), "term"), top.select(other.alias("at"), F.col("term").alias("other")), "at"
     )
@@ -111,9 +112,11 @@ def _daily(spark, folder):
 
 
 @query("range_window_slices", f"""WITH {DAILY} SELECT s::INT AS window_start, count(*) AS n, round(sum(value), 4) AS total
-    FROM daily JOIN range(0, 21, 5) w(s) ON t BETWEEN s AND s + 9 WHERE s + 10 <= 30 GROUP BY s""")
+    FROM daily JOIN (SELECT unnest(range(0, (SELECT max(t) + 1 FROM daily) - 9, 5)) AS s) w ON t BETWEEN s AND s + 9 GROUP BY s""")
 def range_window_slices(spark, folder):
-    windows = joins.range_window_slices(_daily(spark, folder), 30, length=10, slide=5)
+    daily = _daily(spark, folder)
+    n_days = (daily.agg(F.max("t")).first()[0] or 0) + 1
+    windows = joins.range_window_slices(daily, n_days, length=10, slide=5)
     return windows.groupBy("window_start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -205,7 +208,7 @@ def select_vocabulary(spark, folder):
     "SELECT source, doc_id, term_id, counts.n FROM counts JOIN vocab USING (term)", upto="vocab"))
 def bag_of_words(spark, folder):
     data = corpus(spark, folder)
-    return vocabulary.bag_of_words(data.counts, data.vocabulary, MAX_FEATURES)
+    return vocabulary.bag_of_words(data.counts, data.vocabulary)
 
 
 @query("bag_dims", with_corpus(
@@ -229,7 +232,7 @@ def tfidf_per_slice(spark, folder):
     data = corpus(spark, folder)
     counts = data.counts.withColumnRenamed("source", "slice")
     per_slice = data.docs.groupBy(F.col("source").alias("slice")).agg(F.count("*").alias("n_docs"))
-    weights = vocabulary.tfidf_per_slice(counts, data.vocabulary, per_slice, MAX_FEATURES)
+    weights = vocabulary.tfidf_per_slice(counts, data.vocabulary, per_slice)
     return weights.select("doc_id", "term_id", F.round("x", 6).alias("x"))
 
 
@@ -238,7 +241,7 @@ def tfidf_per_slice(spark, folder):
       FROM counts JOIN vocab USING (term)) WHERE w > 0""", upto="vocab"))
 def gensim_tfidf_option(spark, folder):
     data = corpus(spark, folder)
-    weights = vocabulary.log2_tfidf(data.counts, data.vocabulary, data.n_docs, MAX_FEATURES)
+    weights = vocabulary.log2_tfidf(data.counts, data.vocabulary, data.n_docs)
     return weights.select("doc_id", "term_id", F.round("x", 6).alias("x"))
 
 
@@ -332,7 +335,7 @@ def normalize_cols_factor(spark, folder):
 @query("sliding_average", """WITH hourly AS (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS h, sum(value) AS v
     FROM events GROUP BY ALL),
     types AS (SELECT DISTINCT event_type FROM events),
-    grid AS (SELECT event_type, g AS h FROM types, range(720) r(g)),
+    grid AS (SELECT event_type, unnest(range((SELECT min(h) FROM hourly), (SELECT max(h) + 1 FROM hourly))) AS h FROM types),
     dense AS (SELECT event_type, h, coalesce(v, 0) AS v FROM grid LEFT JOIN hourly USING (event_type, h))
     SELECT event_type, h AS hour, round(a, 6) AS average FROM (SELECT event_type, h, avg(v) OVER w AS a, count(*) OVER w AS c
       FROM dense WINDOW w AS (PARTITION BY event_type ORDER BY h ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)) WHERE c = 24""")
@@ -340,7 +343,9 @@ def sliding_average(spark, folder):
     events = read_table(spark, folder, "events")
     hour = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
     hourly = events.groupBy("event_type", hour.alias("hour")).agg(F.sum("value").alias("v"))
-    grid = events.select("event_type").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("hour"))
+    ends = events.agg(F.min(hour).alias("low"), F.max(hour).alias("high"))
+    hours = F.explode(F.sequence(ends.select("low").scalar(), ends.select("high").scalar()))
+    grid = events.select("event_type").distinct().withColumn("hour", hours)
     dense = grid.withColumn("hour", F.col("hour").cast("bigint")).join(hourly, ["event_type", "hour"], "left")
     dense = dense.withColumn("v", F.coalesce("v", F.lit(0.0)))
     return series.sliding_average(dense, "event_type", "hour", "v", 24).withColumn("average", F.round("average", 6))

@@ -1,18 +1,23 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+# Python workers import the package, too.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-from driftloom.session import build_session  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "8g",
-    })
+    """A session as any caller may have it: no operator may need other settings."""
+    builder = SparkSession.builder.appName("tests").master("local[4]").config("spark.sql.shuffle.partitions", "2")
+    session = builder.config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,26 +68,23 @@ def test_coupled_sweeps_without_rules_equal_row_sweeps(spark):
 
 
 @pytest.mark.parametrize("radius", [None, 0.05])
-def test_column_update_without_the_driver_equals_the_local_one(spark, monkeypatch, radius):
+def test_column_update_without_the_driver_equals_the_local_one(spark, radius):
     random = np.random.default_rng(3)
     factor, a = table(spark, "i", random.random((7, 3))), np.cov(random.random((3, 9)))
     b = table(spark, "i", random.random((6, 3))).table.withColumnRenamed("u", "b")
     local = algebra.update_columns(factor, b, a, radius, 2)
-    monkeypatch.setattr(algebra, "MODEL_CELLS", 0)
-    assert not factor.bounded
-    spread = algebra.update_columns(factor, b, a, radius, 2)
+    spread = algebra.update_columns(replace(factor, local=False), b, a, radius, 2)
     assert np.allclose(array(local.table, "i"), array(spread.table, "i"))
     assert (np.linalg.norm(array(spread.table, "i"), axis=0) <= 1 + 1e-9).all()
 
 
-def test_training_without_bounded_models_gives_the_same(spark, monkeypatch):
+def test_training_without_local_models_gives_the_same(spark):
     x = np.random.default_rng(4).random((8, 10))
     slices = [(entries(spark, x, "term_id", "pos"), 10)]
     start = table(spark, "term_id", np.random.default_rng(5).random((8, 2)))
     options = dict(iterations=3, batch_size=6, beta=0.7, alpha=0.1, seed=1)
     small, _ = online.onmf_train(slices, start, **options)
-    monkeypatch.setattr(algebra, "MODEL_CELLS", 0)
-    large, _ = online.onmf_train(slices, start, **options)
+    large, _ = online.onmf_train(slices, replace(start, local=False), **options)
     assert np.allclose(array(small.terms.table, "term_id"), array(large.terms.table, "term_id"))
 
 
@@ -200,3 +199,20 @@ def test_lda_distributions_sum_to_one(spark):
     for rows, key in ((lda.lda_doc_topics(model, vectors), "doc_id"), (lda.lda_topic_terms(spark, model), "topic")):
         sums = rows.groupBy(key).agg(F.sum("p").alias("s")).collect()
         assert all(r.s == pytest.approx(1.0) for r in sums)
+
+
+def test_a_local_factor_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(algebra, "MODEL_CELLS", 5)
+    with pytest.raises(ValueError, match="local=False"):
+        table(spark, "i", np.ones((2, 3)))
+
+
+def test_codes_do_not_depend_on_their_batch(spark):
+    random = np.random.default_rng(8)
+    g = np.cov(random.random((3, 9)))
+    b = table(spark, "i", random.random((40, 3)) * np.logspace(-6, 6, 40)[:, None]).table
+    code = coding.least_squares_codes(F.col("u"), g).alias("u")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    alone = array(b.select("i", code), "i")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(alone, array(b.coalesce(1).select("i", code), "i"), rtol=1e-9, atol=0)

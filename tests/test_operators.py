@@ -28,22 +28,24 @@ def test_number_rows_keeps_null_groups(spark):
     assert rows == {(1, 0), (2, 1), (3, 0)}
 
 
-def test_top_n_per_group_salted_equals_plain(spark, monkeypatch):
+def test_top_n_per_group_salted_equals_plain(spark):
     df = hot(spark)
     plain = numbering.top_n_per_group(df, ["g"], [F.desc("id")], 50).collect()
-    monkeypatch.setattr(numbering, "GROUP_LIMIT", 10)
+    spark.conf.set(numbering.GROUP_LIMIT_SETTING, "10")
     salted = numbering.top_n_per_group(df, ["g"], [F.desc("id")], 50)
+    rows = sorted(salted.collect())
+    spark.conf.unset(numbering.GROUP_LIMIT_SETTING)
     assert salted.columns == ["id", "g", "rank"]
-    assert sorted(salted.collect()) == sorted(plain)
+    assert rows == sorted(plain)
 
 
-def test_sample_exact_n_large_path_equals_small(spark, monkeypatch):
+def test_sample_exact_n_takes_the_smallest_hashes(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
-    small = {r.k for r in sampling.sample_exact_n(df, 700, "k", 3).collect()}
-    monkeypatch.setattr(sampling, "LIMIT_ROWS", 10)
-    assert {r.k for r in sampling.sample_exact_n(df.repartition(7), 700, "k", 3).collect()} == small
-    assert len(small) == 700
-    assert sampling.sample_exact_n(df, 9000, "k").count() == 5000
+    hashed = df.select("k", sampling.hash_text("k", 3).alias("h")).orderBy("h", "k")
+    for n in (0, 1, 700, 4999, 5000, 9000):
+        drawn = sampling.sample_exact_n(df.repartition(7), n, "k", 3)
+        assert drawn.columns == ["k"]
+        assert {r.k for r in drawn.collect()} == {r.k for r in hashed.limit(n).collect()}
 
 
 def test_subset_by_position(spark):
@@ -147,21 +149,21 @@ def test_labels_and_shares(spark):
     assert sum(r.n for r in words) == 300 and {r.term for r in words} == {"a", "b", "c"}
 
 
-def test_select_vocabulary_distributed_equals_capped(spark, monkeypatch):
+def test_select_vocabulary(spark):
     stats = spark.createDataFrame([(f"w{i % 50:02d}", (i * 7) % 11 + 1, i % 5 + 1) for i in range(50)], "term string, n bigint, df bigint")
-    small = vocabulary.select_vocabulary(stats, 10, 20, 2).orderBy("term_id").collect()
-    monkeypatch.setattr(vocabulary, "BROADCAST_TERMS", 5)
-    assert vocabulary.select_vocabulary(stats, 10, 20, 2).orderBy("term_id").collect() == small
+    want = sorted(stats.where("df >= 2").collect(), key=lambda r: (-r.n, r.term))[:20]
+    got = vocabulary.select_vocabulary(stats, 10, 20, 2).orderBy("term_id").collect()
+    assert [(r.term_id, r.term) for r in got] == list(enumerate(sorted(r.term for r in want)))
     assert vocabulary.select_vocabulary(stats, 10, None, 2).count() == stats.where("df >= 2").count()
 
 
-def test_top_k_large_equals_small(spark, monkeypatch):
-    df = spark.range(400).select("id", (F.col("id") % 37).alias("score"))
-    small = ranking.top_k_records(df, 60, "score", "id").collect()
-    monkeypatch.setattr(ranking, "LIMIT_ROWS", 5)
-    assert ranking.top_k_records(df, 60, "score", "id").collect() == small
-    doubled = df.unionByName(df)
-    assert ranking.top_k_records(doubled, 60, "score", "id", distinct=True).collect() == small
+def test_top_k_counts_ties_nulls_and_copies(spark):
+    rows = [("b", 1.0), ("a", None), ("c", 3.0), ("c", 3.0), ("d", 1.0), (None, 2.0), ("e", None)]
+    df = spark.createDataFrame(rows, "key string, score double")
+    want = [("c", 3.0), ("c", 3.0), (None, 2.0), ("d", 1.0), ("b", 1.0), ("e", None), ("a", None)]
+    for k in (1, 4, 6, 100):
+        assert [tuple(r) for r in ranking.top_k_records(df, k, "score", "key").collect()] == want[:k]
+    assert [tuple(r) for r in ranking.top_k_records(df, 3, "score", "key", distinct=True).collect()] == want[1:4]
 
 
 def test_folds_and_unfoldings(spark):

@@ -1,19 +1,12 @@
-"""Registered queries against their oracle SQL on the smallest tables.
-
-The learners and the stream queries take minutes together; their oracles are
-checked by `check_queries.py`, and their parts by the other tests.
-"""
+"""Registered queries against their oracle SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import TABLES, normal
-from driftloom.plans import learning, streams
 
-SLOW = {name for name, fn in queries().items() if fn.__module__ in (learning.__name__, streams.__name__)}
-SAMPLE_OF_SLOW = {"nmf_batch", "onmf_train", "ocpd_step", "stream_topk_per_day"}
-NAMES = [n for n in oracle_sql() if n not in SLOW or n in SAMPLE_OF_SLOW]
+NAMES = list(oracle_sql())
 
 
 @pytest.fixture(scope="session")
