@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from driftloom.learners import coding, factorise, lda, online
 from driftloom.learners.algebra import Factor, gram, init_factor, kept, update_columns
@@ -595,30 +595,54 @@ def fit_lda(spark, folder, n_topics: int = 4, passes: int = 5):
     return data, vectors, lda.lda_topics(vectors, n_topics, passes, SEED)
 
 
-@query("lda_topics")
+# SQL cannot fit the model. The queries below fit it on all documents and return
+# what must hold of it, keyed by what SQL can list.
+
+
+def _known_keywords(weights, data, n):
+    """(topic, rank, known, falling) of the n strongest terms."""
+    named = topics.topic_keywords(join_term_lookup(weights, data.vocabulary), n)
+    before = F.lag("w").over(Window.partitionBy("topic").orderBy("rank"))
+    return named.select(
+        F.col("topic").cast("int").alias("topic"), F.col("rank").cast("int").alias("rank"),
+        F.col("term").isNotNull().alias("known"), F.coalesce(before >= F.col("w"), F.lit(True)).alias("falling"),
+    )
+
+
+@query("lda_topics", """SELECT t::INT AS topic, r::INT AS rank, true AS known, true AS falling
+    FROM range(4) a(t), range(1, 11) b(r)""")
 def lda_topics(spark, folder):
     data, vectors, model = fit_lda(spark, folder)
     vectors.unpersist()
-    weights = lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w")
-    return topics.topic_keywords(join_term_lookup(weights, data.vocabulary), 10).select(
-        "topic", "rank", "term", F.round("w", 6).alias("w")
-    )
+    return _known_keywords(lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w"), data, 10)
 
 
-@query("lda_doc_topics")
+@query("lda_doc_topics", with_corpus("""SELECT doc_id, 4::BIGINT AS n_topics,
+    CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1 ELSE 0 END::DOUBLE AS total, true AS nonnegative FROM docs""", upto="tfidf"))
 def lda_doc_topics(spark, folder):
+    """A document without any known term has no topics."""
     _, vectors, model = fit_lda(spark, folder)
-    return lda.lda_doc_topics(model, vectors)
+    shares = store.load_table(spark, store.save_tables(lda.lda_doc_topics(model, vectors), scratch_path(spark, "shares"), []),
+                              "doc_id bigint, topic int, p double")
+    vectors.unpersist()
+    return shares.groupBy("doc_id").agg(
+        F.count("*").alias("n_topics"), F.round(F.sum("p"), 6).alias("total"), (F.min("p") >= 0).alias("nonnegative")
+    )
 
 
-@query("lda_topic_terms")
+@query("lda_topic_terms", with_corpus("""SELECT t::INT AS topic, term_id, true AS nonnegative, 1.0::DOUBLE AS total
+    FROM vocab, range(4) a(t)""", upto="vocab"))
 def lda_topic_terms(spark, folder):
     _, vectors, model = fit_lda(spark, folder)
     vectors.unpersist()
-    return lda.lda_topic_terms(spark, model)
+    total = F.round(F.sum("p").over(Window.partitionBy("topic")), 6)
+    return lda.lda_topic_terms(spark, model).select(
+        F.col("topic").cast("int").alias("topic"), "term_id", (F.col("p") >= 0).alias("nonnegative"), total.alias("total")
+    )
 
 
-@query("method_comparison")
+@query("method_comparison", """SELECT m AS method, t::INT AS topic, r::INT AS rank, true AS known, true AS falling
+    FROM (SELECT unnest(['nmf', 'onmf', 'ncpd', 'lda']) AS m), range(3) a(t), range(1, 6) b(r)""")
 def method_comparison(spark, folder):
     """Five keywords per topic of four learners over one corpus."""
     rank = 3
@@ -637,8 +661,7 @@ def method_comparison(spark, folder):
     }
     out = None
     for method, table in weights.items():
-        top = topics.topic_keywords(join_term_lookup(table, data.vocabulary), 5)
-        rows = top.select(F.lit(method).alias("method"), "topic", "rank", "term")
+        rows = _known_keywords(table, data, 5).select(F.lit(method).alias("method"), "topic", "rank", "known", "falling")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -69,9 +69,6 @@ def scan_json_records(spark, folder):
     )
 
 
-HOURS = "SELECT DISTINCT 'records-id-' || strftime(ts, '%Y-%m-%d-%H') || '.jsonl.gz' AS file_name FROM events"
-
-
 def _hour_files(spark, folder):
     """Distinct hourly file names, as the events would be stored."""
     hour = F.date_format("ts", "yyyy-MM-dd-HH")
@@ -79,10 +76,16 @@ def _hour_files(spark, folder):
     return read_table(spark, folder, "events").select(name.alias("file_name")).distinct()
 
 
-@query("files_in_range", f"""SELECT file_name FROM ({HOURS}) WHERE
-    regexp_extract(file_name, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') BETWEEN '2024-01-03-05' AND '2024-01-20-17'""")
+@query("files_in_range", """SELECT strftime(ts, '%Y-%m-%d-%H') AS date_hour, event_id::VARCHAR AS line FROM events
+    WHERE strftime(ts, '%Y-%m-%d-%H') BETWEEN '2024-01-03-05' AND '2024-01-20-17'""")
 def files_in_range(spark, folder):
-    return _hour_files(spark, folder).where(scan.in_range(F.col("file_name"), "2024-01-03-05", "2024-01-20-17"))
+    """Lines of the hourly files between two hours; the others are not opened."""
+    path = scratch_path(spark, "hours")
+    hour = F.date_format("ts", "yyyy-MM-dd-HH").alias("hour")
+    lines = read_table(spark, folder, "events").select(hour, F.col("event_id").cast("string").alias("value"))
+    lines.repartition("hour").write.partitionBy("hour").text(path)
+    found = scan.scan_files_in_range(spark, path, "2024-01-03-05", "2024-01-20-17", by="file_path")
+    return found.select(dates.extract_date_hour("file").alias("date_hour"), F.col("value").alias("line"))
 
 
 @query("scan_headlines_csv", """SELECT strftime(o_orderdate, '%Y%m%d')::INT AS publish_date,

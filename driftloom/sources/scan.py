@@ -61,11 +61,14 @@ def in_range(
 
 def scan_files_in_range(
     spark: SparkSession, path: str, low: str | None = None, high: str | None = None,
-    pattern: str = DATE_HOUR,
+    pattern: str = DATE_HOUR, by: str = "file_name",
 ) -> DataFrame:
-    """Lines of the files whose name lies in the range; other files are not opened."""
+    """Lines of the files whose name lies in the range; other files are not opened.
+
+    `by` is the part of a file's metadata that holds the date-hour.
+    """
     lines = spark.read.options(lineSep="\n", recursiveFileLookup=True).text(path)
-    name = F.col("_metadata.file_name")
+    name = F.col(f"_metadata.{by}")
     return lines.where(in_range(name, low, high, pattern)).select("value", name.alias("file"))
 
 

@@ -1,7 +1,9 @@
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from driftloom.learners import factorise
 from driftloom.streaming import streams
 
 
@@ -45,3 +47,43 @@ def test_sliding_windows_are_complete(spark):
     out = streams.sliding_slices(df, "ts", "10 days", "5 days", "2024-01-01", "2024-01-31", "3 days")
     counts = [r["count"] for r in out.groupBy("slice_start").count().collect()]
     assert counts == [10] * 5
+
+
+def test_term_counts_add_up_over_batches(spark, tmp_path):
+    versions = streams.Versions(spark, str(tmp_path))
+    each = streams.merge_term_counts(versions)
+    texts = ["alpha beta", "beta gamma", "gamma gamma", "delta alpha"]
+    batch = lambda k: spark.createDataFrame([(k, texts[k], "en"), (k + 10, "autre", "fr")], "doc_id long, text string, lang string")
+    for k in (0, 1, 2, 2, 3):
+        each(batch(k), k)
+    got = {r.term: r.n for r in versions.latest("counts").collect() if " " not in r.term}
+    assert got == {"alpha": 2, "beta": 2, "gamma": 3, "delta": 1}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["batch-2", "batch-3"]
+
+
+def test_windows_read_open_slices_only(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    sizes = {"t": 4, "v": 5, "d": 3}
+    factors = factorise.init_factors(spark, {"t": 4, "v": 5, "d": 2}, 2, 1)
+    rows = [(t, v, d, float(rng.random())) for t in range(8) for v in range(5) for d in range(3)]
+    cells = spark.createDataFrame(rows, "t int, v int, d int, x double")
+    read = []
+    reader = type(spark.read)
+    real = reader.parquet
+
+    def parquet(self, *paths):
+        read.extend(p for p in paths if p.endswith("cells"))
+        return real(self, *paths)
+
+    versions = streams.Versions(spark, str(tmp_path))
+    each = streams.learn_ocpd_windows(versions, factors, sizes["d"], 4, 2, iterations=2, patch_docs=2)
+    reader.parquet = parquet
+    try:
+        for k in range(4):
+            read.clear()
+            each(cells.where(F.col("t").between(2 * k, 2 * k + 1)), k)
+            # Itself for its reach, then the two batches of the window that has become complete.
+            assert [p.split("/")[-2] for p in read] == [f"batch-{i}" for i in ([k, k - 1, k] if k else [k])]
+    finally:
+        reader.parquet = real
+    assert versions.read(3, "done").first()["done"] == 3
