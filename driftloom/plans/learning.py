@@ -12,11 +12,11 @@ from driftloom.operators.joins import join_term_lookup
 from driftloom.operators.numbering import number_rows
 from driftloom.operators.vocabulary import document_terms
 from driftloom.plans import unrolled as sql
-from driftloom.plans.corpus import cells, corpus, dims, english
+from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, slices
 from driftloom.plans.oracle import MAX_FEATURES, with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import SEED, draws_sql
-from driftloom.plans.tables_and_topics import NUMBERED
+from driftloom.plans.tables_and_topics import CONDENSED, NUMBERED, _recursive, top_sql
 from driftloom.session import scratch_path
 from driftloom.sources import store
 
@@ -36,18 +36,18 @@ def _long(factor: DataFrame, axis: str, name: str | None = None, value: str = "w
     return rows.withColumn(value, F.round(value, 9))
 
 
-def _start(spark, folder, rank: int = RANK):
+def _start(spark, folder, rank: int = RANK, data: Corpus | None = None):
     """(corpus, cells(doc_id, term_id, x), terms, documents)."""
-    data = corpus(spark, folder)
+    data = data or corpus(spark, folder)
     entries = data.weights.select("doc_id", "term_id", "x")
     terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.n_terms, rank, SEED)
     documents = init_factor(data.docs.select("doc_id"), "doc_id", data.n_docs, rank, SEED, local=False)
     return data, entries, terms, documents
 
 
-def _tensor(spark, folder, rank: int = RANK):
+def _tensor(spark, folder, rank: int = RANK, data: Corpus | None = None):
     """(corpus, cells(t, v, d, x), factors)."""
-    data = corpus(spark, folder)
+    data = data or corpus(spark, folder)
     return data, cells(data), factorise.init_factors(spark, dims(data), rank, SEED)
 
 
@@ -98,7 +98,8 @@ def sparse_code_transform(spark, folder):
 # ---- batch NMF and CP -------------------------------------------------------
 
 
-def _nmf_sql() -> str:
+def _nmf_steps() -> tuple[list[str], str, str]:
+    """(tables of two iterations, name of the last W, of the last H)."""
     steps, w, h = [], "w0", "h0"
     for i in (1, 2):
         steps += [
@@ -108,11 +109,18 @@ def _nmf_sql() -> str:
             sql.multiply(f"w{i}", w, f"bw{i}", f"gh{i}"),
         ]
         w, h = f"w{i}", f"h{i}"
+    return steps, w, h
+
+
+def _nmf_sql() -> str:
+    steps, w, h = _nmf_steps()
     return with_corpus(_part_sql(terms=w, documents=h), ENTRIES, W0, H0, *steps, upto="tfidf")
 
 
-def fit_nmf(spark, folder, rank: int = RANK, iterations: int = 2, with_trace: bool = False):
-    data, entries, terms, documents = _start(spark, folder, rank)
+def fit_nmf(
+    spark, folder, rank: int = RANK, iterations: int = 2, with_trace: bool = False, data: Corpus | None = None
+):
+    data, entries, terms, documents = _start(spark, folder, rank, data)
     return data, factorise.nmf_batch(entries, terms, documents, iterations, with_trace)
 
 
@@ -122,6 +130,40 @@ def nmf_batch(spark, folder):
     return _two_part({a: (fit.factors[c].table, c) for a, c in (("terms", "term_id"), ("documents", "doc_id"))})
 
 
+# From a fitted model to its report. Weights are rounded before they are ranked.
+def _report_sql(query: str, *more: str) -> str:
+    steps, w, h = _nmf_steps()
+    named = f"""profile AS (SELECT topic, term, round(w, 6) AS w FROM ({sql.long(w, "term_id", digits=15)}) JOIN vocab USING (term_id))"""
+    codes = f"codes AS (SELECT doc_id, topic, h FROM ({sql.long(h, 'doc_id', 'h', digits=15)}))"
+    return with_corpus(query, ENTRIES, W0, H0, *steps, named, codes, *more, upto="slices")
+
+
+def _named_weights(data: Corpus, fit) -> DataFrame:
+    weights = topics.weights_long(fit.factors["term_id"].table, "term_id").withColumn("w", F.round("w", 6))
+    return join_term_lookup(weights, data.vocabulary).select("topic", "term", "w")
+
+
+@query("nmf_report_labels", _recursive(_report_sql("""SELECT topic, string_agg(term, ', ' ORDER BY r) || ': ' || topic AS label FROM
+    (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY w DESC, term) AS r FROM condensed)
+    WHERE r <= 3 GROUP BY topic""", top_sql(20), CONDENSED)))
+def nmf_report_labels(spark, folder):
+    """Fitted topics -> keywords -> bigrams that take over their words -> labels."""
+    data, fit = fit_nmf(spark, folder)
+    return topics.topic_labels(topics.condense_keywords(_named_weights(data, fit)))
+
+
+@query("nmf_report_prevalence", _report_sql("""SELECT t AS slice, topic, round(m / sum(m) OVER (PARTITION BY t), 6) AS prevalence FROM
+    (SELECT t, topic, sum(h) / any_value(n) AS m FROM codes JOIN slices USING (doc_id)
+      JOIN (SELECT t, count(*) AS n FROM slices GROUP BY t) USING (t) GROUP BY t, topic)"""))
+def nmf_report_prevalence(spark, folder):
+    """Share of each fitted topic in each slice."""
+    data, fit = fit_nmf(spark, folder)
+    places = slices(data).select("doc_id", F.col("t").alias("slice"))
+    codes = topics.weights_long(fit.factors["doc_id"].table, "doc_id", "h").join(places, "doc_id")
+    per_slice = places.groupBy("slice").agg(F.count("*").alias("n_docs"))
+    return topics.topic_prevalence(codes, per_slice).select("slice", "topic", F.round("prevalence", 6).alias("prevalence"))
+
+
 FACTORS = {"t": "u_t", "v": "u_v", "d": "u_d"}
 
 
@@ -287,9 +329,9 @@ N_SLICES, STEPS_PER_SLICE, BATCH = 3, 2, 60
 ONMF = dict(iterations=STEPS_PER_SLICE + 1, batch_size=BATCH, beta=0.7, alpha=1.0, seed=SEED)
 
 
-def _round_robin(spark, folder):
+def _round_robin(spark, folder, data: Corpus | None = None):
     """(corpus, entries(slice, pos, term_id, x), documents per slice)."""
-    data = corpus(spark, folder)
+    data = data or corpus(spark, folder)
     numbered = number_rows(data.docs.select("doc_id"), ["doc_id"], name="n")
     t, d = tensor.fold_round_robin(F.col("n"), N_SLICES)
     places = numbered.select("doc_id", t.alias("slice"), d.cast("bigint").alias("pos"))
@@ -316,8 +358,8 @@ def _train_sql(first: bool = True) -> str:
     return with_corpus(sql.long("w0", "term_id", version="0") + " UNION ALL " + last, NUMBERED, W0, *steps, upto="tfidf")
 
 
-def fit_onmf(spark, folder, rank: int = RANK, get_dicts=()):
-    data, entries, sizes = _round_robin(spark, folder)
+def fit_onmf(spark, folder, rank: int = RANK, get_dicts=(), data: Corpus | None = None):
+    data, entries, sizes = _round_robin(spark, folder, data)
     terms = init_factor(data.vocabulary.select("term_id"), "term_id", data.n_terms, rank, SEED)
     with kept(entries) as entries:
         slices = [(entries.where(F.col("slice") == s).drop("slice"), sizes[s]) for s in range(N_SLICES)]
@@ -582,15 +624,15 @@ def ocpd_train_sequential(spark, folder):
 # ---- LDA, comparison, stored models -----------------------------------------
 
 
-def _bags(spark, folder):
+def _bags(spark, folder, data: Corpus | None = None):
     """(corpus, bag vectors): the vocabulary list is capped at MAX_FEATURES."""
-    data = corpus(spark, folder)
+    data = data or corpus(spark, folder)
     terms = [r.term for r in data.vocabulary.orderBy("term_id").select("term").collect()]
     return data, lda.bag_vectors(document_terms(english(spark, folder)), terms)
 
 
-def fit_lda(spark, folder, n_topics: int = 4, passes: int = 5):
-    data, vectors = _bags(spark, folder)
+def fit_lda(spark, folder, n_topics: int = 4, passes: int = 5, data: Corpus | None = None):
+    data, vectors = _bags(spark, folder, data)
     vectors = vectors.select("doc_id", "source", "features").persist()
     return data, vectors, lda.lda_topics(vectors, n_topics, passes, SEED)
 
@@ -645,12 +687,12 @@ def lda_topic_terms(spark, folder):
     FROM (SELECT unnest(['nmf', 'onmf', 'ncpd', 'lda']) AS m), range(3) a(t), range(1, 6) b(r)""")
 def method_comparison(spark, folder):
     """Five keywords per topic of four learners over one corpus."""
-    rank = 3
-    data, nmf = fit_nmf(spark, folder, rank, 3)
-    _, onmf, _ = fit_onmf(spark, folder, rank)
-    _, tensor_cells, factors = _tensor(spark, folder, rank)
+    rank, data = 3, corpus(spark, folder)
+    _, nmf = fit_nmf(spark, folder, rank, 3, data=data)
+    _, onmf, _ = fit_onmf(spark, folder, rank, data=data)
+    _, tensor_cells, factors = _tensor(spark, folder, rank, data)
     cp = factorise.cp_mu(tensor_cells, factors, 2)
-    _, vectors, model = fit_lda(spark, folder, rank)
+    _, vectors, model = fit_lda(spark, folder, rank, data=data)
     vectors.unpersist()
     cp_terms = cp.factors["v"].table.withColumnRenamed("v", "term_id")
     weights = {

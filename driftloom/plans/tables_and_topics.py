@@ -8,7 +8,7 @@ from driftloom.functions import records
 from driftloom.functions.text import tokenize_social, tokenize_words
 from driftloom.operators import joins, ranking, sampling, series, tensor, topics, vocabulary
 from driftloom.operators.numbering import dense_index, number_rows
-from driftloom.plans.corpus import cells, corpus, dims, english, english_counts, slices
+from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, english_counts, slices
 from driftloom.plans.oracle import MAX_FEATURES, STOP, clean, tokens, uniform, with_bigrams, with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import EMOTICON_SQL, MONTHLY, SEED, SOCIAL_SQL
@@ -220,16 +220,17 @@ def bag_dims(spark, folder):
 
 
 @query("tfidf", with_corpus("SELECT doc_id, term_id, round(x, 6) AS x FROM tfidf", upto="tfidf"))
-def tfidf(spark, folder):
-    return corpus(spark, folder).weights.select("doc_id", "term_id", F.round("x", 6).alias("x"))
+def tfidf(spark, folder, data: Corpus | None = None):
+    data = data or corpus(spark, folder)
+    return data.weights.select("doc_id", "term_id", F.round("x", 6).alias("x"))
 
 
 @query("tfidf_per_slice", with_corpus("""SELECT doc_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM
     (SELECT doc_id, term_id, n * (ln((1 + n_docs) / (1 + count(*) OVER (PARTITION BY source, term_id))) + 1) AS w FROM
       (SELECT doc_id, source, term_id, counts.n FROM counts JOIN vocab USING (term))
       JOIN (SELECT source, count(*) AS n_docs FROM docs GROUP BY source) USING (source))""", upto="vocab"))
-def tfidf_per_slice(spark, folder):
-    data = corpus(spark, folder)
+def tfidf_per_slice(spark, folder, data: Corpus | None = None):
+    data = data or corpus(spark, folder)
     counts = data.counts.withColumnRenamed("source", "slice")
     per_slice = data.docs.groupBy(F.col("source").alias("slice")).agg(F.count("*").alias("n_docs"))
     weights = vocabulary.tfidf_per_slice(counts, data.vocabulary, per_slice)
@@ -520,7 +521,8 @@ def vocabulary_equal(spark, folder):
       JOIN (SELECT source, count(*) AS n_docs FROM docs GROUP BY source) USING (source)))""", upto="tfidf"))
 def matrix_equal(spark, folder):
     """Corpus-wide TF-IDF against the weights taken inside each slice."""
-    return tensor.matrix_equal(tfidf(spark, folder), tfidf_per_slice(spark, folder), ["doc_id", "term_id"])
+    data = corpus(spark, folder)
+    return tensor.matrix_equal(tfidf(spark, folder, data), tfidf_per_slice(spark, folder, data), ["doc_id", "term_id"])
 
 
 # ---- tensors ----------------------------------------------------------------
