@@ -12,6 +12,7 @@ from driftloom.plans.corpus import cells, corpus, dims, english, english_counts
 from driftloom.plans.oracle import (
     LINK, MAX_FEATURES, STOP, clean, hashed, quoted, tokens, with_bigrams, with_corpus,
 )
+from driftloom.plans import pipelines
 from driftloom.plans.registry import query
 from driftloom.session import read_table, scratch_path, spread
 from driftloom.sources import scan, store
@@ -353,6 +354,53 @@ def tokenize_social(spark, folder):
     return docs.select("doc_id", _joined(text.tokenize_social(post)).alias("tokens"))
 
 
+# ---- record pipelines -------------------------------------------------------
+
+POSTS = f"""posts AS (SELECT source, doc_id, {clean('text')} AS text FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0),
+    words AS (SELECT source, doc_id, list_filter(list_transform(regexp_extract_all(text, '{SOCIAL_SQL}'),
+        lambda w: CASE WHEN regexp_full_match(w, '{EMOTICON_SQL}') THEN w ELSE lower(w) END), lambda w: w NOT IN ({STOP})) AS words FROM posts),
+    terms AS (SELECT source, doc_id, term, count(*) AS n FROM
+        (SELECT source, doc_id, unnest({with_bigrams('words')}) AS term FROM words) GROUP BY ALL),
+    stats AS (SELECT source, term, sum(n)::BIGINT AS n, count(*) AS df FROM terms GROUP BY ALL)"""
+
+
+def _record_files(spark, folder):
+    """Documents as records of gzip files, a folder per source; every fifth is a repost."""
+    path = scratch_path(spark, "posts")
+    docs = read_table(spark, folder, "documents")
+    plain = F.to_json(F.struct(F.col("text").alias("full_text"), "lang"))
+    repost = F.when(F.col("doc_id") % 5 == 0, '"retweeted_status":{"id":1},').otherwise("")
+    record = F.concat(F.lit("{"), repost, F.substring(plain, F.lit(2), F.length(plain)))
+    docs.select("source", record.alias("value")).write.partitionBy("source").option("compression", "gzip").text(path)
+    return path
+
+
+@query("text_pipeline", f"WITH {POSTS} SELECT source, text FROM posts")
+def text_pipeline(spark, folder):
+    return pipelines.text_pipeline(spark, _record_files(spark, folder)).select(_file_source(), "text")
+
+
+@query("vocabulary_per_file", f"WITH {POSTS} SELECT source, term, n, df FROM stats")
+def vocabulary_per_file(spark, folder):
+    """A source may be several files: its counts are the sums of theirs."""
+    found = pipelines.vocabulary_per_file(spark, _record_files(spark, folder))
+    return found.groupBy(_file_source(), "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+@query("bags_per_file", f"""WITH {POSTS}, known AS (SELECT term FROM stats GROUP BY term HAVING sum(df) >= 5)
+    SELECT source, (SELECT count(*) FROM posts p WHERE p.source = s.source) AS n_docs, term, sum(n)::BIGINT AS n, count(*) AS n_bags
+    FROM terms s JOIN known USING (term) GROUP BY source, term""")
+def bags_per_file(spark, folder):
+    """Bags of terms in at least five posts; every record is a document, equal ones too."""
+    path = _record_files(spark, folder)
+    known = pipelines.vocabulary_per_file(spark, path).groupBy("term").agg(F.sum("df").alias("df")).where("df >= 5")
+    known = number_rows(known.select("term"), ["term"], name="term_id")
+    documents, bags = pipelines.bags_per_file(spark, path, known)
+    sizes = documents.groupBy(_file_source()).agg(F.countDistinct("doc_id").alias("n_docs"))
+    named = bags.join(known, "term_id").groupBy(_file_source(), "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_bags"))
+    return named.join(sizes, "source").select("source", "n_docs", "term", "n", "n_bags")
+
+
 @query("remove_stopwords", with_corpus(
     "SELECT doc_id, len(words) AS n_tokens, array_to_string(words, '|') AS tokens FROM toks", upto="toks"))
 def remove_stopwords(spark, folder):
