@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from driftloom.llm import arrays
 from driftloom.llm.words import WordIds
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     taken = docs.drop("ids")
     keep = taken.columns
     out = taken.withColumn("_text", F.col("text").cast("string")).mapInArrow(
-        _encoder(model, keep), taken.schema.add("ids", "array<int>")
+        _encoder(model, keep), StructType([*taken.schema, StructField("ids", ArrayType(IntegerType()))])
     )
     return out
 
@@ -297,7 +298,7 @@ def decode(coded: DataFrame, model: str, to: str = "decoded") -> DataFrame:
             found = [pieces.decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in ids]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, to])
 
-    return taken.mapInArrow(texts, taken.schema.add(to, "string"))
+    return taken.mapInArrow(texts, StructType([*taken.schema, StructField(to, StringType())]))
 
 
 def encoded_documents(docs: DataFrame, model: str) -> DataFrame:
