@@ -7,8 +7,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers, about 200 MB of them.
+REMEMBERED = 1_000_000
 #: Words that are tokenised in one call.
 AT_ONCE = 100_000
 
