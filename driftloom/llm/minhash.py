@@ -17,11 +17,16 @@ WORDS = 5
 PERCENT = 75
 #: 40 bands of 5 coordinates: a pair at similarity 0.75 shares no bucket with probability 2e-5.
 BANDS, ROWS = 40, 5
+#: Coordinates of a signature; the bands take the first, and all estimate a similarity.
+COORDINATES = 600
 #: Places of the circle that the permutations act on.
 CIRCLE = 1 << 20
 #: Pairs that agree in fewer coordinates than this share are not compared in
-#: full: at similarity 0.75 that is over six standard deviations off.
-AGREE = 0.55
+#: full: at similarity 0.75 that is over four standard deviations off, which is
+#: as rare as sharing no bucket.
+AGREE = 0.675
+#: Rounds in which each text is compared with its likeliest partner only.
+ROUNDS = 1
 #: Members of a bucket compared at once.
 BLOCK = 256
 
@@ -32,7 +37,7 @@ SIGNATURE = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary,
 def circle(seed: int = 1) -> np.ndarray:
     """Row x holds pi(x), pi(x + 1), …: the coordinates of an item at place x."""
     pi = np.random.default_rng(seed).permutation(CIRCLE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: BANDS * ROWS - 1]]), BANDS * ROWS)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: COORDINATES - 1]]), COORDINATES)
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -66,9 +71,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     circle (hashed), the second is read from there on, shifted by one a coordinate."""
     rows = circle()
     places = (arrays.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(CIRCLE)).astype(np.int64)
-    least = rows[places[:4096]].min(axis=0)
-    for k in range(4096, len(places), 4096):
-        np.minimum(least, rows[places[k:k + 4096]].min(axis=0), out=least)
+    least = rows[places[:2048]].min(axis=0)
+    for k in range(2048, len(places), 2048):
+        np.minimum(least, rows[places[k:k + 2048]].min(axis=0), out=least)
     return least
 
 
@@ -78,10 +83,10 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(part.column("text"))
         k1, k2, sigs, bands = [], [], [], []
         full = [i for i, s in enumerate(sets) if len(s)]
-        rows = np.array([signature(sets[i]) for i in full], np.uint32).reshape(len(full), BANDS * ROWS)
+        rows = np.array([signature(sets[i]) for i in full], np.uint32).reshape(len(full), COORDINATES)
         keys = np.zeros((len(full), BANDS), np.uint64) + band
         for k in range(ROWS):
-            keys = arrays.mix(keys * arrays.ODD + rows[:, k::ROWS].astype(np.uint64))
+            keys = arrays.mix(keys * arrays.ODD + rows[:, k:BANDS * ROWS:ROWS].astype(np.uint64))
         at = {i: k for k, i in enumerate(full)}
         low, keys = rows.astype(np.uint8), arrays.signed(keys)
         for i, s in enumerate(sets):
@@ -123,37 +128,51 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * union).select("a", "b")
 
 
-def _crossing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of a bucket that are in different components and agree enough."""
-    for table, starts in arrays.whole_groups(batches, ["bucket", "i", "j"]):
-        doc, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
-        block, i_, j_ = (table.column(c).to_numpy() for c in ("block", "i", "j"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        found_a, found_b = [], []
-        for lo, hi in zip(starts, [*starts[1:], len(doc)]):
-            i, j = i_[lo], j_[lo]
-            rows = np.arange(lo, hi)
-            left = rows if i == j else rows[block[lo:hi] == i]
-            right = rows if i == j else rows[block[lo:hi] == j]
-            for k in left:
-                other = right[(label[right] != label[k]) & (doc[right] > doc[k] if i == j else True)]
-                if len(other):
-                    other = other[(sig[other] == sig[k]).mean(axis=1) >= AGREE]
-                    found_a += [int(doc[k])] * len(other)
-                    found_b += doc[other].tolist()
-        yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+def _crossing(best: bool):
+    """Pairs of a block of a bucket that are in different components and agree
+    enough; with `best` only each text's most agreeing partner in the block."""
+    def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in arrays.whole_groups(batches, ["bucket", "i", "j"]):
+            doc, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+            block, i_, j_ = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            a, b, agree = [], [], []
+            for lo, hi in zip(starts, [*starts[1:], len(doc)]):
+                i, j = i_[lo], j_[lo]
+                rows = np.arange(lo, hi)
+                left = rows if i == j else rows[block[lo:hi] == i]
+                right = rows if i == j else rows[block[lo:hi] == j]
+                for k in left:
+                    other = right[label[right] != label[k]]
+                    if i == j and not best:
+                        other = other[doc[other] > doc[k]]
+                    if not len(other):
+                        continue
+                    share = (sig[other] == sig[k]).mean(axis=1)
+                    keep = share >= AGREE
+                    if best:
+                        keep &= np.arange(len(other)) == share.argmax()
+                    a += [int(doc[k])] * int(keep.sum())
+                    b += doc[other[keep]].tolist()
+                    agree += share[keep].tolist()
+            yield pa.record_batch(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64())], names=["a", "b", "agree"]
+            )
+    return cross
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs` (doc_id, text).
 
-    Texts with equal shingle sets form one class and are looked at once. In each
-    bucket of each band, every class is first compared with the bucket's
-    smallest; each takes the partner it meets in most bands. Links confirmed on
-    full sets give components. Then only buckets that still hold several
-    components are looked at again, in blocks, and every pair across components
-    is tested, so no pair that shares a bucket is skipped unless it is already
-    connected. A group of copies costs one comparison a member.
+    Texts with equal shingle sets form one class and are looked at once. First
+    every class is compared with the hub it meets in most buckets; a bucket's hub
+    is the member whose buckets are fullest, in a group of copies the text the
+    others are copied from. Links confirmed on full sets give components. Then,
+    in buckets that still hold several components, each text is compared with the
+    likeliest of another component, ROUNDS times, and at last with all of them,
+    in blocks. So no pair that shares a bucket is skipped unless it is already
+    connected or its signatures rule it out, and most of a group of copies costs
+    one comparison a member.
 
     A null or empty text, or white space only, has no shingles and is linked
     with nothing. Rows with the same doc_id are one node. Copies of a text
@@ -165,31 +184,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     full = feats.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
-    items = reps.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
-    buckets = items.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"))
-    met = store(
-        items.join(buckets.where("center < last").select("bucket", "center"), "bucket"), "buckets"
-    )
-    often = met.where("doc_id > center").groupBy("doc_id", "center").count()
-    first = often.groupBy(F.col("doc_id").alias("b")).agg(
-        F.max_by("center", F.struct("count", -F.col("center"))).alias("a")
-    )
+    items = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    full_ = items.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    met = store(items.join(full_, "bucket"), "buckets")
+    score = met.groupBy("doc_id").agg(F.sum("m").alias("score"))
+    rated = met.join(score, "doc_id").select("doc_id", "bucket", F.struct("score", (-F.col("doc_id")).alias("id")).alias("rate"))
+    hubs = rated.groupBy("bucket").agg((-F.max("rate")["id"]).alias("hub"))
+    often = met.join(hubs, "bucket").where("doc_id != hub").groupBy("doc_id", "hub").count()
+    first = often.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
     links = store(confirmed(docs, store(agreeing(first.select("a", "b"), reps), "pairs")), "links")
-    groups = store(components(links), "groups")
-    labelled = met.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "bucket", F.coalesce("component", "doc_id").alias("label")
-    )
-    open_ = store(
-        labelled.join(
-            labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo < hi").select("bucket", "m"),
-            "bucket",
-        ),
-        "open",
-    )
-    across = store(_blocks(open_, reps).mapInArrow(_crossing, "a bigint, b bigint").distinct(), "across")
-    more = confirmed(docs, across)
-    every = components(links.union(more))
+    every = store(components(links), "groups")
+    for turn in range(ROUNDS + 1):
+        best = turn < ROUNDS
+        labelled = met.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "doc_id", "bucket", "m", F.coalesce("component", "doc_id").alias("label")
+        )
+        ends = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        open_ = store(labelled.join(ends.select("bucket"), "bucket"), "open")
+        across = _blocks(open_, reps).mapInArrow(_crossing(best), "a bigint, b bigint, agree double")
+        if best:
+            across = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+            across = across.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+        pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = store(links.union(confirmed(docs, store(pairs, "across"))), "links")
+        every = store(components(links), "groups")
     named = classes.join(every, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")
     )
@@ -207,10 +225,10 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     right = reps.select(F.col("doc_id").alias("b"), F.hex("sig").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
     same = F.aggregate(
-        F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), F.lit(0),
+        F.sequence(F.lit(0), F.lit(COORDINATES - 1)), F.lit(0),
         lambda n, k: n + (F.substring("sa", 2 * k + 1, F.lit(2)) == F.substring("sb", 2 * k + 1, F.lit(2))).cast("int"),
     )
-    return joined.where(same >= AGREE * BANDS * ROWS).select("a", "b")
+    return joined.where(same >= AGREE * COORDINATES).select("a", "b")
 
 
 def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
