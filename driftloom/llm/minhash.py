@@ -130,15 +130,18 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _crossing(best: bool):
     """Pairs of a block of a bucket that are in different components and agree
-    enough; with `best` only each text's most agreeing partner in the block."""
+    enough; with `best` only each text's most agreeing partner in the block.
+
+    A pair counts in the first band whose bucket it shares, and in no later one.
+    """
     def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in arrays.whole_groups(batches, ["bucket", "i", "j"]):
             doc, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
-            block, i_, j_ = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+            block, i_, j_, band_ = (table.column(c).to_numpy() for c in ("block", "i", "j", "band"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             a, b, agree = [], [], []
             for lo, hi in zip(starts, [*starts[1:], len(doc)]):
-                i, j = i_[lo], j_[lo]
+                i, j, earlier = i_[lo], j_[lo], int(band_[lo]) * ROWS
                 rows = np.arange(lo, hi)
                 left = rows if i == j else rows[block[lo:hi] == i]
                 right = rows if i == j else rows[block[lo:hi] == j]
@@ -148,7 +151,13 @@ def _crossing(best: bool):
                         other = other[doc[other] > doc[k]]
                     if not len(other):
                         continue
-                    share = (sig[other] == sig[k]).mean(axis=1)
+                    equal = sig[other] == sig[k]
+                    if earlier:
+                        first = ~equal[:, :earlier].reshape(len(other), -1, ROWS).all(axis=2).any(axis=1)
+                        other, equal = other[first], equal[first]
+                        if not len(other):
+                            continue
+                    share = equal.mean(axis=1)
                     keep = share >= AGREE
                     if best:
                         keep &= np.arange(len(other)) == share.argmax()
@@ -184,7 +193,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     full = feats.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
-    items = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    items = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     full_ = items.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     met = store(items.join(full_, "bucket"), "buckets")
     score = met.groupBy("doc_id").agg(F.sum("m").alias("score"))
@@ -197,7 +206,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS + 1):
         best = turn < ROUNDS
         labelled = met.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "doc_id", "bucket", "m", F.coalesce("component", "doc_id").alias("label")
+            "doc_id", "band", "bucket", "m", F.coalesce("component", "doc_id").alias("label")
         )
         ends = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_ = store(labelled.join(ends.select("bucket"), "bucket"), "open")
@@ -237,7 +246,7 @@ def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
     dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id").select(
-        "bucket", "doc_id", "label", "block", "sig",
+        "bucket", "band", "doc_id", "label", "block", "sig",
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
     )
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
