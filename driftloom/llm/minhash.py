@@ -28,7 +28,7 @@ AGREE = 0.675
 #: Rounds in which each text is compared with its likeliest partner only.
 ROUNDS = 1
 #: Members of a bucket compared at once.
-BLOCK = 256
+BLOCK = 1024
 
 SIGNATURE = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>"
 
