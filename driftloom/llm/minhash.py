@@ -132,16 +132,21 @@ def _crossing(best: bool):
     """Pairs of a block of a bucket that are in different components and agree
     enough; with `best` only each text's most agreeing partner in the block.
 
-    A pair counts in the first band whose bucket it shares, and in no later one.
+    A pair counts in the first band whose bucket it shares, and in no later one;
+    the buckets' own keys decide that, as bytes of a signature may be equal by chance.
     """
     def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in arrays.whole_groups(batches, ["bucket", "i", "j"]):
             doc, label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
-            block, i_, j_, band_ = (table.column(c).to_numpy() for c in ("block", "i", "j", "band"))
+            block, i_, j_ = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+            before = table.column("before").combine_chunks()
+            before, cuts = before.flatten().to_numpy(), np.append(0, np.cumsum(before.value_lengths().to_numpy()))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             a, b, agree = [], [], []
             for lo, hi in zip(starts, [*starts[1:], len(doc)]):
-                i, j, earlier = i_[lo], j_[lo], int(band_[lo]) * ROWS
+                i, j = i_[lo], j_[lo]
+                # All members of a bucket have as many earlier bands.
+                met = before[cuts[lo]:cuts[hi]].reshape(hi - lo, -1)
                 rows = np.arange(lo, hi)
                 left = rows if i == j else rows[block[lo:hi] == i]
                 right = rows if i == j else rows[block[lo:hi] == j]
@@ -151,13 +156,10 @@ def _crossing(best: bool):
                         other = other[doc[other] > doc[k]]
                     if not len(other):
                         continue
-                    equal = sig[other] == sig[k]
-                    if earlier:
-                        first = ~equal[:, :earlier].reshape(len(other), -1, ROWS).all(axis=2).any(axis=1)
-                        other, equal = other[first], equal[first]
-                        if not len(other):
-                            continue
-                    share = equal.mean(axis=1)
+                    other = other[~(met[other - lo] == met[k - lo]).any(axis=1)]
+                    if not len(other):
+                        continue
+                    share = (sig[other] == sig[k]).mean(axis=1)
                     keep = share >= AGREE
                     if best:
                         keep &= np.arange(len(other)) == share.argmax()
@@ -245,8 +247,8 @@ def _blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id").select(
-        "bucket", "band", "doc_id", "label", "block", "sig",
+    dealt = dealt.join(reps.select("doc_id", "sig", "bands"), "doc_id").select(
+        "bucket", "doc_id", "label", "block", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
     )
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from driftloom.llm import embedding_dedup, minhash
 from driftloom.llm.components import components
 from tests.llm import brute
@@ -53,6 +56,35 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert found == brute.near_groups(docs.select("doc_id", "text").collect())
 
 
+def test_a_pair_counts_once_where_bytes_are_equal_by_chance():
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(1200):
+        # Two texts of 200 words, a third of the pairs each near 0.75, 0.8 and 0.85.
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+        cut = int(rng.choice([28, 22, 16]))
+        texts += [" ".join(words), " ".join([f"x{x}" for x in rng.integers(0, 1 << 40, cut)] + words[cut:])]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    signed = [r for part in minhash._signatures([batch]) for r in part.to_pylist()]
+    rows, want, by_bytes = [], set(), 0
+    for x, y in zip(signed[::2], signed[1::2]):
+        same = [k for k in range(minhash.BANDS) if x["bands"][k] == y["bands"][k]]
+        alike = np.frombuffer(x["sig"], np.uint8) == np.frombuffer(y["sig"], np.uint8)
+        if not same or alike.mean() < minhash.AGREE:
+            continue
+        want.add((x["doc_id"], y["doc_id"]))
+        by_bytes += bool(alike[: same[0] * minhash.ROWS].reshape(-1, minhash.ROWS).all(axis=1).any())
+        rows += [
+            (r["bands"][k], r["doc_id"], r["doc_id"], 0, r["sig"], r["bands"][:k], 0, 0, k) for k in same for r in (x, y)
+        ]
+    assert len(want) > 1100 and by_bytes > 2
+    names = ["bucket", "doc_id", "label", "block", "sig", "before", "i", "j", "band"]
+    block = pa.record_batch([pa.array(c) for c in zip(*sorted(rows, key=lambda r: r[:2]))], names=names)
+    for best, n in ((False, 1), (True, 2)):
+        found = [(r["a"], r["b"]) for part in minhash._crossing(best)([block]) for r in part.to_pylist()]
+        assert len(found) == n * len(want) and {(min(p), max(p)) for p in found} == want
+
+
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
     vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     want = brute.near_vectors(vectors.select("vec_id", "embedding", "label").collect(), 0.93)
