@@ -1,7 +1,8 @@
-"""Line dedup: content-defined chunks of lines, removed where they repeat."""
+"""Line dedup: runs of whole lines, removed where they repeat."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,80 +12,69 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftloom.llm import arrays
 from driftloom.llm.components import store
 
-#: Lines whose hashes decide whether a chunk ends behind the last of them.
-WINDOW = 2
-#: A chunk ends behind one place in so many, on average.
-MEAN = 4
-#: A chunk of fewer words stays. A line that has as many is a paragraph, that is
-#: several lines on one, and a chunk of its own.
+#: A run of lines of fewer words stays.
 LEAST_WORDS = 20
-#: Occurrences of a chunk that one copy of its text is compared with.
-SALT_ROWS = 2000
 
-CHUNKS = "id bigint, key bigint, start bigint, end bigint, hash bigint"
+WINDOWS = "id bigint, key bigint, start bigint, end bigint, digest binary"
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start, end and hash of each chunk that is large enough to be removed.
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start and end, in bytes of the text, of each window.
 
-    Bytes in the text; a chunk has the line feeds between its lines but not the
-    last. Boundaries depend on the lines beside them only, so inserted lines
-    move no boundary farther on.
+    From every line with words the least run of lines down, and up, that holds
+    LEAST_WORDS words. Those inside a passage cover it from its first line to its
+    last, whatever stands beside it. There are at most two a line. A window has
+    the line feeds between its lines but not the last.
     """
     feeds = np.flatnonzero(data == 10)
     starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], feeds + 1)
     starts = starts[starts < len(data)]
     if not len(starts):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 3
     marks = np.union1d(feeds, offsets[1:])
     ends = np.where(data[starts] == 10, starts, marks[np.searchsorted(marks, starts, side="right")])
-    owner = np.searchsorted(offsets, starts, side="right") - 1
     word_starts, _, _ = arrays.words(data, offsets)
     n_words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
-    hashes = arrays.part_hashes(data, starts, ends)
-    rolling = hashes.copy()
-    for k in range(1, WINDOW):
-        same = owner[k:] == owner[:-k]
-        rolling[k:] = arrays.mix(rolling[k:] * arrays.ODD + np.where(same, hashes[:-k], np.uint64(0)))
-    heavy = n_words >= LEAST_WORDS
-    last = np.ones(len(starts), bool)
-    last[:-1] = (owner[1:] != owner[:-1]) | heavy[:-1] | heavy[1:] | (rolling[:-1] % np.uint64(MEAN) == 0)
-    end_lines = np.flatnonzero(last)
-    start_lines = np.concatenate([[0], end_lines[:-1] + 1])
-    a, z = starts[start_lines], ends[end_lines]
-    total = np.add.reduceat(n_words, start_lines)
-    big = (total >= LEAST_WORDS) & ((end_lines > start_lines) | heavy[start_lines])
-    a, z, who = a[big], z[big], owner[start_lines][big]
-    return who, a - offsets[who], z - offsets[who], arrays.part_hashes(data, a, z)
-
-
-def _chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    starts, ends, n_words = (x[n_words > 0] for x in (starts, ends, n_words))
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    n, sums = len(starts), np.append(0, np.cumsum(n_words))
+    line = np.arange(n)
+    down = np.searchsorted(sums[1:], sums[:-1] + LEAST_WORDS)
+    up = np.searchsorted(sums[:-1], sums[1:] - LEAST_WORDS, side="right") - 1
+    first, last = np.concatenate([line, up]), np.concatenate([down, line])
+    inside = (first >= 0) & (last < n)
+    first, last = first[inside], last[inside]
+    pairs = np.unique((first * n + last)[owner[first] == owner[last]])
+    first, last = pairs // max(n, 1), pairs % max(n, 1)
+    who = owner[first]
+    return who, starts[first] - offsets[who], ends[last] - offsets[who]
+
+
+def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in arrays.slices(batches, "_text"):
         data, offsets = arrays.utf8(part.column("_text"))
-        who, a, z, hashes = chunks(data, offsets)
+        who, a, z = windows(data, offsets)
+        held, base = memoryview(data), offsets[who]
+        digests = [
+            hashlib.blake2b(held[i:j], digest_size=16).digest() for i, j in zip((base + a).tolist(), (base + z).tolist())
+        ]
         rows = pa.array(who)
         yield pa.record_batch(
             [part.column("_id").take(rows), part.column("_key").take(rows), pa.array(a, pa.int64()),
-             pa.array(z, pa.int64()), pa.array(arrays.signed(hashes))],
-            names=["id", "key", "start", "end", "hash"],
+             pa.array(z, pa.int64()), pa.array(digests, pa.binary())],
+            names=["id", "key", "start", "end", "digest"],
         )
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks that later ones are compared with."""
-    for batch in batches:
-        for part in arrays.slices([batch], "_text"):
-            hashes, salts, texts = [], [], []
-            for text, wanted in zip(part.column("_text").to_pylist(), part.column("wanted").to_pylist()):
-                raw = text.encode()
-                for w in wanted:
-                    hashes.append(w["hash"])
-                    salts.append(w["salts"])
-                    texts.append(raw[w["start"]:w["end"]])
-            yield pa.record_batch(
-                [pa.array(hashes, pa.int64()), pa.array(salts, pa.int64()), pa.array(texts, pa.binary())],
-                names=["hash", "salts", "bytes"],
-            )
+def _joined(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    found: list[tuple[int, int]] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if found and start < found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
+        else:
+            found.append((start, end))
+    return found
 
 
 def _remover(columns: list[str]):
@@ -97,13 +87,11 @@ def _remover(columns: list[str]):
                     if spans:
                         raw = text.encode()
                         kept, at = [], 0
-                        for s in sorted(spans, key=lambda s: s["start"]):
-                            # Byte for byte, or the chunk stays.
-                            if raw[s["start"]:s["end"]] == s["bytes"]:
-                                kept.append(raw[at:s["start"]])
-                                at = min(len(raw), s["end"] + 1)
-                                n += s["end"] - s["start"]
-                        # A chunk at the end takes the line feed before it along.
+                        for start, end in _joined(spans):
+                            kept.append(raw[at:start])
+                            at = min(len(raw), end + 1)
+                            n += end - start
+                        # A run at the end takes the line feed before it along.
                         rest = raw[at:]
                         text = (b"".join(kept) + rest).decode()
                         if n and at >= len(raw) and not raw.endswith(b"\n") and text.endswith("\n"):
@@ -123,12 +111,14 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def without_repeats(docs: DataFrame, removed: str | None = None) -> DataFrame:
-    """`docs` (doc_id, text, …) without chunks of lines that stand earlier in the table.
+    """`docs` (doc_id, text, …) without runs of lines that stand earlier in the table.
 
-    Of every chunk the occurrence with the least doc_id, then place, stays; the
-    others go with their line feeds once their bytes equal the kept one's. All
-    rows and columns stay; n_chars, if there, is counted anew where text went,
-    and `removed` names a column for the number of bytes taken out.
+    Whole lines go where they are part of a window (at least LEAST_WORDS words)
+    whose bytes, as 128 bits of BLAKE2 tell, stand at a lesser doc_id or place,
+    and not overlapping it. So of every line that goes, an earlier copy stays.
+    They go with their line feeds. All rows and columns stay; n_chars, if there,
+    is counted anew where text went, and `removed` names a column for the number
+    of bytes taken out.
 
     A null text stays null. A text of repeats only becomes empty. Rows equal in
     doc_id and text count as one document and get the same result. A null doc_id
@@ -141,27 +131,16 @@ def without_repeats(docs: DataFrame, removed: str | None = None) -> DataFrame:
         id_.alias("_id"), key.alias("_key"), F.col("text").cast("string").alias("_text"),
         *[F.col(f"`{c}`").alias(n) for c, n in plain.items()],
     )
-    found = store(keyed.select("_id", "_key", "_text").mapInArrow(_chunk_rows, CHUNKS), "chunks")
+    found = store(keyed.select("_id", "_key", "_text").mapInArrow(_window_rows, WINDOWS), "windows")
     place = F.struct("id", "key", "start", "end")
     repeated = store(
-        found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated"
+        found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated"
     )
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("bigint")
-    first = repeated.groupBy(F.col("first.id").alias("_id"), F.col("first.key").alias("_key")).agg(
-        F.collect_list(F.struct("hash", salts.alias("salts"), F.col("first.start").alias("start"), F.col("first.end").alias("end")))
-        .alias("wanted")
+    again = found.join(repeated, "digest").where(
+        (F.col("id") != F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("start") >= F.col("first.end"))
     )
-    # Both joins deal out the same table by the same keys, so Spark does it once.
-    texts = keyed.join(first, ["_id", "_key"])
-    texts = texts.select("_id", "_key", "_text", *plain.values(), "wanted").mapInArrow(
-        _texts, "hash bigint, salts bigint, bytes binary"
-    ).dropDuplicates(["hash"])
-    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
-    again = found.join(repeated, "hash").where(
-        (F.col("id") != F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start"))
-    ).select("id", "key", "start", "end", "hash", F.pmod(F.xxhash64("id", "start"), salts).alias("salt")).distinct()
-    spans = again.join(texts, ["hash", "salt"]).groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.collect_list(F.struct("start", "end", "bytes")).alias("spans")
+    spans = again.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")
     )
     held = keyed.join(spans, ["_id", "_key"], "left")
     kept = [*plain.values()]

@@ -156,6 +156,32 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_of_short_lines_go_whole(spark):
+    rng, rows, want = np.random.default_rng(7), [], {}
+
+    def lines(n, least=1, most=9):
+        return [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(least, most + 1))) for _ in range(n)]
+
+    for k in range(5, 21):
+        passage = lines(k, 4)
+        passage.insert(2, "")
+        for copy in range(3):
+            head, tail = lines(4), lines(4)
+            rows.append((len(rows), "\n".join(head + passage + tail)))
+            want[len(rows) - 1] = "\n".join(head + (passage if copy == 0 else []) + tail)
+    # 19 words stay; a passage beside paragraphs goes with them; one in its own text only stays once.
+    short, heavy = lines(1, 9, 9) + lines(1, 10, 10), lines(1, 30, 30)
+    beat = ["five words in a line"] * 10
+    for text, left in (
+        (short + ["a"], short + ["a"]), (["b"] + short, ["b"] + short), (["c", "d", *heavy, "e"], ["c", "d", *heavy, "e"]),
+        (["f", "d", *heavy, "e", "g"], ["f", "g"]), (beat, beat[:4]),
+    ):
+        rows.append((len(rows), "\n".join(text)))
+        want[len(rows) - 1] = "\n".join(left)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == want
+
+
 def test_line_dedup_on_documents_removes_repeats_only(spark, documents):
     rows = {r.doc_id: r.text for r in documents.collect()}
     out = line_dedup.without_repeats(documents, "gone").collect()
