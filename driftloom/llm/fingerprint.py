@@ -26,9 +26,12 @@ def fingerprints(texts: list[str]) -> list[str]:
     """`block size:signature:signature at twice the size` of each text.
 
     A chunk ends where the hash of the last WINDOW bytes is a multiple of the
-    block size, the smallest power of two that gives at most CHUNKS chunks. Each
-    chunk is written as two characters. So an edit changes the chunks it touches
-    and no others, and equal texts have equal fingerprints.
+    block size, a power of two. It starts at a size that gives most texts more
+    than CHUNKS chunks, and grows to the first that gives at most CHUNKS. A text
+    with less than half as many there, as its windows are few and repeat, takes
+    the next smaller size that gives half of CHUNKS, or 1; of more than CHUNKS
+    the last takes the rest. Each chunk is written as two characters. So an edit changes the chunks it touches and no others, and
+    equal texts have equal fingerprints.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -42,24 +45,36 @@ def fingerprints(texts: list[str]) -> list[str]:
     hashes = np.ones(n + 1, np.uint64)
     if n >= WINDOW:
         hashes[WINDOW:] = arrays.mix((sums[WINDOW:] - sums[:-WINDOW]) * back[: n + 1 - WINDOW])
-    least = np.maximum(1, np.floor(np.log2(np.maximum(sizes, 1) / CHUNKS)).astype(np.int64) - 1)
-    masks = np.repeat((np.uint64(1) << least.astype(np.uint64)) - np.uint64(1), sizes)
-    at = np.flatnonzero((hashes[1:] & masks) == 0) + 1
-    owner = np.searchsorted(offsets, at, side="left") - 1
-    inside = (at - offsets[owner] >= WINDOW) & (at < offsets[owner + 1])
-    at, owner = at[inside], owner[inside]
-    low = hashes[at] & (~hashes[at] + np.uint64(1))
-    level = np.where(low == 0, 64, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64)
-    chosen = least.copy()
+    start = np.maximum(1, np.floor(np.log2(np.maximum(sizes, 1) / CHUNKS)).astype(np.int64) - 1)
+    at, owner, level = _ends(hashes, offsets, start)
+    few = np.bincount(owner, minlength=len(raw)) + 1 < CHUNKS // 2
+    if (few & (start > 0)).any():
+        start[few] = 0
+        at, owner, level = _ends(hashes, offsets, start)
+    chosen = start.copy()
     open_ = np.ones(len(raw), bool)
     while open_.any():
         many = np.bincount(owner[level >= chosen[owner]], minlength=len(raw)) >= CHUNKS
         open_ = many & (chosen < LARGEST)
         chosen[open_] += 1
+    while (few := (np.bincount(owner[level >= chosen[owner]], minlength=len(raw)) + 1 < CHUNKS // 2) & (chosen > start)).any():
+        chosen[few] -= 1
     signatures = [_signatures(at, owner, level >= chosen[owner] + k, offsets, sums, back) for k in (0, 1)]
     return [f"{1 << k}:{a}:{b}" for k, a, b in zip(chosen.tolist(), *signatures)]
 
 
+def _ends(hashes: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where chunks end at block size 2 ** start, whose text that is, and up to which power it still is an end."""
+    masks = np.repeat((np.uint64(1) << start.astype(np.uint64)) - np.uint64(1), np.diff(offsets))
+    at = np.flatnonzero((hashes[1:] & masks) == 0) + 1
+    owner = np.searchsorted(offsets, at, side="left") - 1
+    inside = (at - offsets[owner] >= WINDOW) & (at < offsets[owner + 1])
+    at, owner = at[inside], owner[inside]
+    low = hashes[at] & (~hashes[at] + np.uint64(1))
+    level = np.where(low == 0, 64, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64)
+    return at, owner, level
+
+
 def _signatures(at, owner, used, offsets, sums, back) -> list[str]:
     at, owner = at[used], owner[used]
     # Of texts that have more ends at any block size, the first count.

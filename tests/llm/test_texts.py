@@ -40,6 +40,18 @@ def test_fingerprints_against_each_next_document(spark, documents):
     assert np.quantile([x[2] for x in long], 0.9) < 0.1
 
 
+def test_fingerprints_of_texts_with_few_windows():
+    other = " ".join(f"w{k}" for k in range(20_000))
+    for phrase in ("one repeated phrase of few words ", "ab", "- - - - - = "):
+        for times in (100, 1000, 10_000):
+            text = phrase * times
+            own, new = fingerprint.fingerprints([text, fingerprint.edited(text, other)])
+            assert fingerprint.CHUNKS // 2 <= len(own.split(":")[1]) // 2 <= fingerprint.CHUNKS
+            # What is edited has other windows, so its size may differ; a cut text has not.
+            cut = fingerprint.fingerprints([text[: len(text) * 3 // 4]])[0]
+            assert fingerprint.likeness([own], [cut])[0] > 0.9
+
+
 def test_likeness_is_edit_distance_of_chunks():
     a, b = "AaBbCcDdEe", "AaXxCcEeDd"
     chunks = [[t[k:k + 2] for k in range(0, len(t), 2)] for t in (a, b)]
