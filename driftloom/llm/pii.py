@@ -402,13 +402,14 @@ def fit(docs: DataFrame) -> Model:
     """Train on windows of the fixed patterns' spans in a bounded sample of documents.
 
     SAMPLE_ROWS documents with a digit or an @ are drawn by hash, and of their
-    windows SAMPLE_WINDOWS with and as many without a span.
+    windows SAMPLE_WINDOWS with and as many without a span. Of rows with one
+    doc_id the first text in order counts; rows without a doc_id or text are not drawn.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).distinct()
     # SAMPLE_ROWS numbers at most are broadcast.
-    rows = docs.join(F.broadcast(store(chosen, "sample")), "doc_id")
+    rows = usable.join(F.broadcast(store(chosen, "sample")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     cuts = store(rows.mapInArrow(_labelled, "doc_id bigint, place bigint, some boolean, x binary, y binary"), "windows")
     order = [F.xxhash64("doc_id", "place"), "doc_id", "place", "x"]
     drawn = [
