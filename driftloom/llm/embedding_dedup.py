@@ -7,7 +7,7 @@ from math import acos
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftloom.llm import arrays
 from driftloom.llm.components import components, store
@@ -22,7 +22,6 @@ BLOCK = 2048
 SLACK = 1e-6
 
 UNITS = "vec_id bigint, label int, h1 bigint, h2 bigint, unit binary"
-PLACED = "rep bigint, label int, unit binary, cell int, angle double, angles array<double>"
 
 
 def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,48 +41,42 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x) for x in column.to_pylist()])
-
-
 def _same_size(units: list[bytes]) -> Iterator[np.ndarray]:
     sizes = np.array([len(u) for u in units])
     for size in np.unique(sizes):
         yield np.flatnonzero(sizes == size)
 
 
-def _places(pivots: dict[int, np.ndarray]):
-    """Home cell of each vector and its angle to all pivots of its label."""
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(pivots: dict[int, np.ndarray], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Label, rows and their angles to all pivots of the label; other rows are in the one cell 0 of their label."""
+    labels = batch.column("label").to_numpy(zero_copy_only=False)
+    units = batch.column("unit").to_pylist()
+    for label in np.unique(labels).tolist():
+        own = pivots.get(label)
+        if own is None:
+            continue
+        rows = np.array([i for i in np.flatnonzero(labels == label) if len(units[i]) == own.shape[1] * 8], np.int64)
+        for lo in range(0, len(rows), BLOCK):
+            part = rows[lo:lo + BLOCK]
+            yield label, part, np.arccos(np.clip(np.stack([np.frombuffer(units[i]) for i in part]) @ own.T, -1, 1))
+
+
+def _reach(pivots: dict[int, np.ndarray]):
+    """Angle of the farthest vector of each cell, by task."""
+    def reach(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = {label: np.full(len(p), -1.0) for label, p in pivots.items()}
         for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
-            units = batch.column("unit").to_pylist()
-            cell, near = np.zeros(len(units), np.int32), np.zeros(len(units))
-            angles: list = [[0.0]] * len(units)
-            for label in np.unique(labels):
-                if int(label) not in pivots:
-                    continue
-                for size in {len(units[i]) for i in np.flatnonzero(labels == label)}:
-                    rows = [i for i in np.flatnonzero(labels == label) if len(units[i]) == size]
-                    own = pivots[int(label)]
-                    if own.shape[1] * 8 != size:
-                        continue
-                    d = np.arccos(np.clip(np.stack([np.frombuffer(units[i]) for i in rows]) @ own.T, -1, 1))
-                    cell[rows] = d.argmin(axis=1)
-                    near[rows] = d.min(axis=1)
-                    for i, x in zip(rows, d):
-                        angles[i] = x
-            yield pa.record_batch(
-                [
-                    batch.column("rep"), batch.column("label"), batch.column("unit"), pa.array(cell),
-                    pa.array(near), pa.array(angles, pa.list_(pa.float64())),
-                ],
-                names=["rep", "label", "unit", "cell", "angle", "angles"],
-            )
-    return place
+            for label, _, angles in _placed(pivots, batch):
+                np.maximum.at(far[label], angles.argmin(axis=1), angles.min(axis=1))
+        rows = [(label, k, x) for label, own in far.items() for k, x in enumerate(own.tolist()) if x >= 0]
+        yield pa.record_batch(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64()))],
+            names=["label", "cell", "far"],
+        )
+    return reach
 
 
-def _copies(least: float, reach: dict[int, np.ndarray]):
+def _copies(least: float, pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray]):
     """Each vector in its home cell, and in lower cells that may hold a partner.
 
     A partner at angle t lies in cell j only if the vector's angle to pivot j is
@@ -94,26 +87,23 @@ def _copies(least: float, reach: dict[int, np.ndarray]):
 
     def copy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, cells, outer = [], [], []
-            for i, (label, home, near, angles) in enumerate(zip(
-                *(batch.column(c).to_pylist() for c in ("label", "cell", "angle", "angles"))
-            )):
-                take.append(i)
-                cells.append(home)
-                outer.append(False)
-                if home:
-                    d = np.array(angles[:home])
-                    near_cells = np.flatnonzero((d <= near + 2 * t) & (d <= reach[label][:home] + t))
-                    take += [i] * len(near_cells)
-                    cells += near_cells.tolist()
-                    outer += [True] * len(near_cells)
-            rows = pa.array(take, pa.int64())
+            home = np.zeros(batch.num_rows, np.int32)
+            take, cells = [np.arange(batch.num_rows)], [home]
+            for label, rows, d in _placed(pivots, batch):
+                home[rows] = d.argmin(axis=1)
+                near = d.min(axis=1)[:, None]
+                who, cell = np.nonzero(
+                    (d <= near + 2 * t) & (d <= reach[label] + t) & (np.arange(d.shape[1]) < home[rows][:, None])
+                )
+                take.append(rows[who])
+                cells.append(cell.astype(np.int32))
+            rows = np.concatenate(take)
             yield pa.record_batch(
                 [
-                    batch.column("rep").take(rows), batch.column("label").take(rows),
-                    pa.array(cells, pa.int32()), pa.array(outer, pa.bool_()), batch.column("unit").take(rows),
+                    *(batch.column(c).take(pa.array(rows)) for c in ("rep", "label", "copies", "unit")),
+                    pa.array(np.concatenate(cells)), pa.array(np.arange(len(rows)) >= batch.num_rows),
                 ],
-                names=["rep", "label", "cell", "outer", "unit"],
+                names=["rep", "label", "copies", "unit", "cell", "outer"],
             )
     return copy
 
@@ -187,9 +177,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     A vector that is null, empty, zero or holds a null or non-finite component,
     and a row without a label, has no links and is kept. Vectors of different
-    lengths are never linked. Repeated rows link with each other. Rows with the
-    same vec_id are one node; a null vec_id counts as a link of others, and its
-    component is that of its class. Further columns are ignored.
+    lengths are never linked. Links are counted by row: repeated rows, and rows of
+    one vec_id, link with each other if their vectors do. In components the rows
+    of one vec_id are one node, whatever their vectors and labels; a row without
+    vec_id is a node like others, names no component, and is kept. An empty table
+    gives no rows. Further columns are ignored.
     """
     raw = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"),
@@ -203,34 +195,41 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     valid = units.where("unit is not null and label is not null")
     classes = store(
         valid.groupBy("label", "h1", "h2").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")
-        ),
+            F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit")
+        ).withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    named = classes.where("rep is not null")
+    named = classes.drop("least")
     pivots = _pivots(named)
-    placed = store(named.select("rep", "label", "unit").mapInArrow(_places(pivots), PLACED), "placed")
-    reach: dict[int, np.ndarray] = {label: np.full(len(p), -1.0) for label, p in pivots.items()}
+    inside = named.select("rep", "label", "copies", "unit")
+    reach = {label: np.full(len(p), -1.0) for label, p in pivots.items()}
     # One row per pivot at most.
-    for row in placed.where(F.col("label").isin(list(pivots)) if pivots else F.lit(False)).groupBy("label", "cell").agg(
-        F.max("angle").alias("far")
-    ).collect():
+    far = inside.mapInArrow(_reach(pivots), "label int, cell int, far double").groupBy("label", "cell").agg(F.max("far").alias("far"))
+    for row in far.collect() if pivots else []:
         reach[row["label"]][row["cell"]] = row["far"]
     dealt = store(
-        placed.mapInArrow(_copies(least, reach), "rep bigint, label int, cell int, outer boolean, unit binary").join(
-            named.select("rep", "label", "copies"), ["rep", "label"]
-        ),
+        inside.mapInArrow(_copies(least, pivots, reach), "rep bigint, label int, copies bigint, unit binary, cell int, outer boolean"),
         "dealt",
     )
     found = store(_in_blocks(dealt).mapInArrow(_pairs(least), "rep bigint, links bigint, to bigint"), "found")
-    groups = components(found.where("to is not null"), "rep", "to")
+    # The classes that one vec_id is in are one node.
+    member = valid.select("vec_id", "label", "h1", "h2").where("vec_id is not null")
+    several = member.groupBy("vec_id").agg(*[F.count_distinct(c).alias(c) for c in ("label", "h1", "h2")]).where(
+        "label > 1 or h1 > 1 or h2 > 1"
+    ).select("vec_id")
+    same = member.join(several, "vec_id").join(classes.select("label", "h1", "h2", "rep"), ["label", "h1", "h2"])
+    ends = same.groupBy("vec_id").agg(F.min("rep").alias("to"))
+    edges = found.where("to is not null").select("rep", "to").union(same.join(ends, "vec_id").select("rep", "to"))
+    groups = components(edges, "rep", "to")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = (
-        classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+    joined = store(
+        classes.drop("unit").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep")),
+        "groups",
+    )
+    least_id = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    about = joined.join(least_id, "component").select(
+        "label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     held = valid.select("vec_id", "label", "h1", "h2").join(about, ["label", "h1", "h2"])
     out = held.select("vec_id", "n_links", "component_id").union(
@@ -251,14 +250,15 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
         wanted = {k: max(2, n * MAX_PIVOTS // total) for k, n in wanted.items()}
     if not wanted:
         return {}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("rep"), "rep")
-    most = max(wanted.values())
-    drawn = (
-        classes.where(F.col("label").isin(list(wanted))).select("label", "rep", "unit")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).collect()
-    )
+    # Of a label's hashes, spread evenly over [0, 1), those below some twice the share wanted are read: a bounded number.
+    size = {r["label"]: r["count"] for r in sizes}
+    h = F.pmod(F.xxhash64("h1"), F.lit(1 << 30)) / float(1 << 30)
+    below = F.lit(0.0)
+    for label, n in wanted.items():
+        below = F.when(F.col("label") == label, float((2 * n + 64) / size[label])).otherwise(below)
+    drawn = classes.where(h < below).select("label", "unit", h.alias("h"), "h1", "h2").collect()
     found: dict[int, list[bytes]] = {}
-    for r in sorted(drawn, key=lambda r: r["rank"]):
+    for r in sorted(drawn, key=lambda r: (r["h"], r["h1"], r["h2"])):
         own = found.setdefault(r["label"], [])
         if len(own) < wanted[r["label"]] and (not own or len(own[0]) == len(r["unit"])):
             own.append(bytes(r["unit"]))

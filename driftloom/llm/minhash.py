@@ -186,8 +186,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     one comparison a member.
 
     A null or empty text, or white space only, has no shingles and is linked
-    with nothing. Rows with the same doc_id are one node. Copies of a text
-    without any doc_id have a null component and are kept. Further columns of
+    with nothing. Rows with the same doc_id are one node, whatever their texts, so
+    they have one component. Copies of a text without any doc_id have a null
+    component and are kept. An empty table gives no rows. Further columns of
     `docs` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,7 +204,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hubs = rated.groupBy("bucket").agg((-F.max("rate")["id"]).alias("hub"))
     often = met.join(hubs, "bucket").where("doc_id != hub").groupBy("doc_id", "hub").count()
     first = often.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
-    links = store(confirmed(docs, store(agreeing(first.select("a", "b"), reps), "pairs")), "links")
+    # A doc_id that stands in several classes is one node with all of them.
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1")
+    own = full.join(several.select("doc_id"), "doc_id").join(classes, ["k1", "k2"])
+    own = own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = confirmed(docs, store(agreeing(first.select("a", "b"), reps), "pairs")).union(own)
+    links = store(links, "links")
     every = store(components(links), "groups")
     for turn in range(ROUNDS + 1):
         best = turn < ROUNDS

@@ -108,3 +108,27 @@ def test_near_vectors_on_odd_rows(spark):
         (1, 3, 1, True), (2, 3, 1, False), (12, 3, 1, False), (12, 3, 1, False), (13, 1, 13, True), (14, 1, 13, False),
     ])
     assert embedding_dedup.near_vectors(vectors.limit(0)).count() == 0
+
+
+def test_one_id_with_several_vectors_is_one_node(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(1, [1.0, 0.0], 1), (1, [0.9999, 0.01], 1), (2, [1.0, 0.001], 1), (None, [1.0, 0.002], 1)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found)) == [
+        (0, 3, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False),
+    ]
+    # Vectors apart, joined by their id only, in two labels; a class without any id links them to others.
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 2), (7, [0.0, 1.0], 2), (None, [1.0, 0.1], 1), (8, [1.0, 0.3], 1), (None, [-1.0, 0.0], 1)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in found)) == [
+        (0, 0, 0), (0, 2, 5), (5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5),
+    ]
+
+
+def test_one_id_with_several_texts_is_one_node(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, "alone"), (11, "c c c"), (11, "d d d"), (12, "d d d")]
+    found = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [
+        (3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (11, 11), (11, 11), (12, 11),
+    ]
