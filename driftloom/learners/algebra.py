@@ -60,9 +60,14 @@ class Factor:
 
 
 def init_factor(
-    index: DataFrame, axis: str, size: int, rank: int, seed: int = 0, local: bool = True
+    index: DataFrame, axis: str, size: int, rank: int, seed: int = 0, local: bool | None = None
 ) -> Factor:
-    """Uniform [0, 1) numbers that depend on axis, index, component and seed only."""
+    """Uniform [0, 1) numbers that depend on axis, index, component and seed only.
+
+    Unless told otherwise a factor is local if it has at most MODEL_CELLS numbers.
+    """
+    if local is None:
+        local = size * rank <= MODEL_CELLS
     u = F.array(*[hash_uniform(F.lit(axis), axis, k, seed) for k in range(rank)])
     return Factor(index.select(axis, u.alias("u")), axis, size, rank, local=local)
 

@@ -31,7 +31,7 @@ class Fit:
 
 
 def init_factors(
-    spark, dims: dict[str, int], rank: int, seed: int = 0, local: bool = True
+    spark, dims: dict[str, int], rank: int, seed: int = 0, local: bool | None = None
 ) -> dict[str, Factor]:
     """Hashed uniform factors for axes counted 0 .. size-1."""
     return {axis: init_factor(axis_index(spark, axis, n), axis, n, rank, seed, local) for axis, n in dims.items()}

@@ -1,7 +1,8 @@
 """Tables the queries share, derived from `documents`.
 
 English documents stand for the records; a source stands for a file and is the
-time slice; the weights are TF-IDF over the capped (1, 2)-gram vocabulary.
+time slice; the weights are TF-IDF over the (1, 2)-gram vocabulary, all terms of
+it unless a query asks for fewer.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from driftloom.operators.tensor import position_in_slice
 from driftloom.operators.vocabulary import (
     counts_in_documents, document_terms, select_vocabulary, term_counts, tfidf,
 )
-from driftloom.plans.oracle import MAX_FEATURES, MIN_DF
-from driftloom.session import read_table, settle, spread
+from driftloom.session import read_table, spread, stored
 
 
 def english(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def english_counts(spark: SparkSession, folder: str) -> DataFrame:
 class Corpus:
     """The corpus tables; each is planned when first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, max_features: int, min_df: int):
+    def __init__(self, spark: SparkSession, folder: str, max_features: int | None, min_df: int):
         self.spark, self.folder = spark, folder
         self.max_features, self.min_df = max_features, min_df
 
@@ -49,15 +49,16 @@ class Corpus:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """(doc_id, source, term, n)."""
-        return english_counts(self.spark, self.folder)
+        """(doc_id, source, term, n). Written, as the vocabulary and the weights both
+        read it: the texts are tokenised once."""
+        return stored(english_counts(self.spark, self.folder), "counts")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        """(term_id, term, n, df, idf). Checkpointed: choosing it is one pass over
-        the texts, and everything below uses the chosen, capped table again."""
+        """(term_id, term, n, df, idf). Written, as all that is below reads it again;
+        Spark knows its size and may broadcast a small one."""
         stats = term_counts(self.counts)
-        return settle(select_vocabulary(stats, self.n_docs, self.max_features, self.min_df))
+        return stored(select_vocabulary(stats, self.n_docs, self.max_features, self.min_df), "vocabulary")
 
     @cached_property
     def n_terms(self) -> int:
@@ -70,7 +71,7 @@ class Corpus:
 
 
 def corpus(
-    spark: SparkSession, folder: str, max_features: int = MAX_FEATURES, min_df: int = MIN_DF
+    spark: SparkSession, folder: str, max_features: int | None = None, min_df: int = 1
 ) -> Corpus:
     return Corpus(spark, folder, max_features, min_df)
 

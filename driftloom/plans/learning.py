@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftloom.learners import coding, factorise, lda, online
-from driftloom.learners.algebra import Factor, gram, init_factor, kept, update_columns
+from driftloom.learners.algebra import MODEL_CELLS, Factor, gram, init_factor, kept, update_columns
 from driftloom.operators import tensor, topics
 from driftloom.operators.joins import join_term_lookup
 from driftloom.operators.numbering import number_rows
 from driftloom.operators.vocabulary import document_terms
 from driftloom.plans import unrolled as sql
 from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, slices
-from driftloom.plans.oracle import MAX_FEATURES, with_corpus
+from driftloom.plans.oracle import with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import SEED, draws_sql
 from driftloom.plans.tables_and_topics import CONDENSED, NUMBERED, _recursive, top_sql
@@ -33,7 +33,7 @@ UT, UV, UD = (sql.start(f"u_{a}", a, ids, SEED) for a, ids in (("t", SLICE_IDS),
 
 def _long(factor: DataFrame, axis: str, name: str | None = None, value: str = "w", column: str = "u") -> DataFrame:
     rows = factor.select(F.col(axis).alias(name or axis), F.posexplode(column).alias("topic", value))
-    return rows.withColumn(value, F.round(value, 9))
+    return rows.withColumn(value, F.round(value, 6))
 
 
 def _start(spark, folder, rank: int = RANK, data: Corpus | None = None):
@@ -56,7 +56,7 @@ def _two_part(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     for name, (table, axis) in parts.items():
         rows = table.select(
             F.lit(name).alias("part"), F.col(axis).cast("bigint").alias("id"), F.posexplode("u").alias("topic", "w")
-        ).withColumn("w", F.round("w", 9))
+        ).withColumn("w", F.round("w", 6))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -229,14 +229,14 @@ def cp_als(spark, folder):
 
 
 @query("reconstruct_at_nonzeros", with_corpus(
-    "SELECT t, v, d, round(xhat, 9) AS xhat FROM (SELECT c.t, c.v, c.d, "
+    "SELECT t, v, d, round(xhat, 6) AS xhat FROM (SELECT c.t, c.v, c.d, "
     + " + ".join(f"u_t.u{k} * u_v.u{k} * u_d.u{k}" for k in sql.K)
     + " AS xhat FROM tensor c JOIN u_t ON u_t.idx = c.t JOIN u_v ON u_v.idx = c.v JOIN u_d ON u_d.idx = c.d)",
     TENSOR, UT, UV, UD))
 def reconstruct_at_nonzeros(spark, folder):
     _, tensor_cells, factors = _tensor(spark, folder)
     model = tensor.reconstruct_at_nonzeros(tensor_cells, {a: f.table for a, f in factors.items()}, RANK)
-    return model.select("t", "v", "d", F.round("xhat", 9).alias("xhat"))
+    return model.select("t", "v", "d", F.round("xhat", 6).alias("xhat"))
 
 
 @query("reconstruction_error", with_corpus(
@@ -291,8 +291,8 @@ def _codes_and_stats(spark, folder):
 
 @query("sufficient_stats", with_corpus(
     " UNION ALL ".join(
-        [f"SELECT 'A' AS part, {i}::BIGINT AS id, {j} AS topic, round(g{i}{j}, 9) AS value FROM hh" for i in sql.K for j in sql.K]
-        + [f"SELECT 'B', idx::BIGINT, {k}, round(b{k}, 9) FROM hx" for k in sql.K]),
+        [f"SELECT 'A' AS part, {i}::BIGINT AS id, {j} AS topic, round(g{i}{j}, 6) AS value FROM hh" for i in sql.K for j in sql.K]
+        + [f"SELECT 'B', idx::BIGINT, {k}, round(b{k}, 6) FROM hx" for k in sql.K]),
     *STATS_STEPS, upto="tfidf"))
 def sufficient_stats(spark, folder):
     _, a, b = _codes_and_stats(spark, folder)
@@ -301,7 +301,7 @@ def sufficient_stats(spark, folder):
         "part string, id bigint, topic int, value double",
     )
     large = b.select(F.lit("B").alias("part"), F.col("term_id").cast("bigint").alias("id"), F.posexplode("b").alias("topic", "value"))
-    return small.unionByName(large).withColumn("value", F.round("value", 9))
+    return small.unionByName(large).withColumn("value", F.round("value", 6))
 
 
 @query("onmf_update_dict", with_corpus(
@@ -454,7 +454,7 @@ def cp_gram(spark, folder):
 
 
 @query("cp_mttkrp_agg", with_corpus(
-    " UNION ALL ".join(f"SELECT '{axis}' AS mode, idx::BIGINT AS id, {k} AS topic, round(b{k}, 9) AS b FROM b_{axis}"
+    " UNION ALL ".join(f"SELECT '{axis}' AS mode, idx::BIGINT AS id, {k} AS topic, round(b{k}, 6) AS b FROM b_{axis}"
                        for axis in "tv" for k in sql.K),
     *CODED, sql.sums("b_t", "b", "t", {"v": "u_v"}, lambda k: f"c.b{k}"),
     sql.sums("b_v", "b", "v", {"t": "u_t"}, lambda k: f"c.b{k}")))
@@ -466,7 +466,7 @@ def cp_mttkrp_agg(spark, folder):
             F.lit(axis).alias("mode"), F.col(axis).cast("bigint").alias("id"), F.posexplode("b").alias("topic", "b")
         )
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("b", F.round("b", 9))
+    return out.withColumn("b", F.round("b", 6))
 
 
 def _update_sql(radius: float) -> str:
@@ -592,7 +592,7 @@ def _patch_factors(spark, n_slices: int, n_terms: int):
 
 
 def _loading_long(table: DataFrame, *columns: str) -> DataFrame:
-    return table.select(*columns, "idx", F.posexplode("u").alias("topic", "w")).withColumn("w", F.round("w", 9))
+    return table.select(*columns, "idx", F.posexplode("u").alias("topic", "w")).withColumn("w", F.round("w", 6))
 
 
 @query("ocpd_train_patches", _patches_sql())
@@ -625,8 +625,11 @@ def ocpd_train_sequential(spark, folder):
 
 
 def _bags(spark, folder, data: Corpus | None = None):
-    """(corpus, bag vectors): the vocabulary list is capped at MAX_FEATURES."""
+    """(corpus, bag vectors). The list of terms comes to the driver, as the fitted
+    model does: no more than a local factor may have."""
     data = data or corpus(spark, folder)
+    if data.n_terms > MODEL_CELLS:
+        raise ValueError(f"over {MODEL_CELLS} terms: choose a vocabulary with max_features")
     terms = [r.term for r in data.vocabulary.orderBy("term_id").select("term").collect()]
     return data, lda.bag_vectors(document_terms(english(spark, folder)), terms)
 

@@ -48,9 +48,9 @@ SLICES = """slices AS (SELECT doc_id, source, (dense_rank() OVER (ORDER BY sourc
     row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS d FROM docs)"""
 
 
-def vocab(max_features: int, min_df: int = 1) -> str:
-    return f"""picked AS (SELECT term, n, df FROM stats WHERE df >= {min_df}
-        ORDER BY n DESC, term LIMIT {max_features}),
+def vocab(max_features: int | None = None, min_df: int = 1) -> str:
+    limit = "" if max_features is None else f"LIMIT {max_features}"
+    return f"""picked AS (SELECT term, n, df FROM stats WHERE df >= {min_df} ORDER BY n DESC, term {limit}),
     vocab AS (SELECT (row_number() OVER (ORDER BY term) - 1)::INT AS term_id, term, n, df,
         ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1 AS idf FROM picked)"""
 
@@ -59,15 +59,13 @@ WEIGHTS = """weights AS (SELECT doc_id, source, term_id, counts.n * idf AS w FRO
     tfidf AS (SELECT doc_id, source, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM weights)"""
 CELLS = "cells AS (SELECT t, term_id AS v, d::INT AS d, x FROM tfidf JOIN slices USING (doc_id))"
 
-MAX_FEATURES = 2000
-MIN_DF = 2
 
 
-def with_corpus(body: str, *more: str, upto: str = "cells") -> str:
-    """A query over the corpus tables, which are listed as far as `upto`."""
+def with_corpus(body: str, *more: str, upto: str = "cells", vocabulary: str | None = None) -> str:
+    """A query over the corpus tables, which are listed as far as `upto`; all terms are in the vocabulary unless it is given."""
     parts = {
         "docs": DOCS, "toks": TOKENS, "terms": TERMS, "counts": COUNTS, "stats": STATS,
-        "vocab": vocab(MAX_FEATURES, MIN_DF), "tfidf": WEIGHTS, "slices": SLICES, "cells": CELLS,
+        "vocab": vocabulary or vocab(), "tfidf": WEIGHTS, "slices": SLICES, "cells": CELLS,
     }
     names = list(parts)
     ctes = [parts[n] for n in names[: names.index(upto) + 1]]

@@ -10,7 +10,7 @@ from driftloom.operators.joins import anti_join
 from driftloom.operators.numbering import number_rows
 from driftloom.plans.corpus import cells, corpus, dims, english, english_counts
 from driftloom.plans.oracle import (
-    LINK, MAX_FEATURES, STOP, clean, hashed, quoted, tokens, with_bigrams, with_corpus,
+    LINK, STOP, clean, hashed, quoted, tokens, with_bigrams, with_corpus,
 )
 from driftloom.plans import pipelines
 from driftloom.plans.registry import query
@@ -560,11 +560,11 @@ def scale_weights(spark, folder):
     return corpus(spark, folder).weights.select("doc_id", "term_id", scaled.alias("x"))
 
 
-@query("vector_norms", with_corpus(f"""SELECT round(sum(x), 6) AS l1, round(sqrt(sum(x * x)), 6) AS l2,
-    round(sum(x) / ({MAX_FEATURES} * (SELECT count(*) FROM docs)) * 1000, 6) AS mean_size FROM tfidf""", upto="tfidf"))
+@query("vector_norms", with_corpus("""SELECT round(sum(x), 6) AS l1, round(sqrt(sum(x * x)), 6) AS l2,
+    round(sum(x) / ((SELECT count(*) FROM vocab) * (SELECT count(*) FROM docs)) * 100000, 6) AS mean_size FROM tfidf""", upto="tfidf"))
 def vector_norms(spark, folder):
     data = corpus(spark, folder)
-    norms = series.vector_norms(data.weights, "x", MAX_FEATURES * data.n_docs)
+    norms = series.vector_norms(data.weights, "x", data.n_terms * data.n_docs)
     return norms.select(
-        F.round("l1", 6).alias("l1"), F.round("l2", 6).alias("l2"), F.round(F.col("mean_size") * 1000, 6).alias("mean_size")
+        F.round("l1", 6).alias("l1"), F.round("l2", 6).alias("l2"), F.round(F.col("mean_size") * 100000, 6).alias("mean_size")
     )

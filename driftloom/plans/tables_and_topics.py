@@ -9,7 +9,7 @@ from driftloom.functions.text import tokenize_social, tokenize_words
 from driftloom.operators import joins, ranking, sampling, series, tensor, topics, vocabulary
 from driftloom.operators.numbering import dense_index, number_rows
 from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, english_counts, slices
-from driftloom.plans.oracle import MAX_FEATURES, STOP, clean, tokens, uniform, with_bigrams, with_corpus
+from driftloom.plans.oracle import STOP, clean, tokens, uniform, vocab, with_bigrams, with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import EMOTICON_SQL, MONTHLY, SEED, SOCIAL_SQL
 from driftloom.session import read_table
@@ -66,6 +66,10 @@ def semi_in_vocabulary(spark, folder):
     return joins.semi_in_vocabulary(data.counts, data.vocabulary).select("doc_id", "term", "n")
 
 
+#: Terms that a vocabulary of the most frequent ones has.
+TOP_TERMS = 5000
+
+
 def _df_cut(low: int, high: float) -> str:
     return f"df >= {low} AND df <= {high} * (SELECT count(*) FROM docs)"
 
@@ -81,7 +85,7 @@ def cross_param_grid(spark, folder):
     data = corpus(spark, folder)
     grid = joins.param_grid(spark, min_df=[1, 2, 5], max_df=[0.5, 0.95])
     runs = grid.agg(F.collect_list(F.struct("min_df", "max_df"))).scalar()
-    stats = vocabulary.term_counts(data.counts).select("n", "df", F.explode(runs).alias("run"))
+    stats = vocabulary.term_counts(english_counts(spark, folder)).select("n", "df", F.explode(runs).alias("run"))
     inside = (F.col("df") >= F.col("run.min_df")) & (F.col("df") <= F.col("run.max_df") * data.n_docs)
     return stats.where(inside).groupBy("run").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n")).select(
         "run.min_df", "run.max_df", "n_terms", "n"
@@ -194,14 +198,17 @@ def combined_vocabulary(spark, folder):
 @query("document_frequency", with_corpus(
     f"SELECT term, df FROM stats WHERE {_df_cut(2, 0.7)}", upto="stats"))
 def document_frequency(spark, folder):
-    data = corpus(spark, folder)
-    return vocabulary.within_df(vocabulary.term_counts(data.counts), data.n_docs, 2, 0.7).select("term", "df")
+    stats = vocabulary.term_counts(english_counts(spark, folder))
+    return vocabulary.within_df(stats, corpus(spark, folder).n_docs, 2, 0.7).select("term", "df")
 
 
 @query("select_vocabulary", with_corpus(
-    "SELECT term_id, term, n, df, round(idf, 6) AS idf FROM vocab", upto="vocab"))
+    "SELECT term_id, term, n, df, round(idf, 6) AS idf FROM vocab", upto="vocab", vocabulary=vocab(TOP_TERMS, 2)))
 def select_vocabulary(spark, folder):
-    return corpus(spark, folder).vocabulary.withColumn("idf", F.round("idf", 6))
+    """The most frequent terms of at least two documents."""
+    stats = vocabulary.term_counts(english_counts(spark, folder))
+    chosen = vocabulary.select_vocabulary(stats, corpus(spark, folder).n_docs, TOP_TERMS, 2)
+    return chosen.withColumn("idf", F.round("idf", 6))
 
 
 @query("bag_of_words", with_corpus(
@@ -416,7 +423,7 @@ def topic_keywords(spark, folder):
 @query("keyword_shares", with_corpus(
     "SELECT topic, term, rank, round(share, 6) AS share FROM shares", PROFILE, top_sql(20), SHARES, upto="tfidf"))
 def keyword_shares(spark, folder):
-    shares = topics.keyword_shares(profile(spark, folder), 20, MAX_FEATURES)
+    shares = topics.keyword_shares(profile(spark, folder), 20)
     return shares.select("topic", "term", "rank", F.round("share", 6).alias("share"))
 
 
@@ -552,13 +559,15 @@ def fold_round_robin(spark, folder):
 
 
 @query("concat_time", with_corpus("""SELECT t - 12 AS t, v, d, round(x, 6) AS x FROM cells WHERE t >= 12 UNION ALL
-    SELECT (t + 8)::INT, v, d, round(x, 6) FROM cells WHERE t < 12 UNION ALL
-    SELECT (t - 12 + 20)::INT, v, d, round(x, 6) FROM cells WHERE t >= 12"""))
+    SELECT (t + (SELECT max(t) - 11 FROM slices))::INT, v, d, round(x, 6) FROM cells WHERE t < 12 UNION ALL
+    SELECT (t - 12 + (SELECT max(t) + 1 FROM slices))::INT, v, d, round(x, 6) FROM cells WHERE t >= 12"""))
 def concat_time(spark, folder):
     """Late slices, early slices, late slices again."""
-    whole = cells(corpus(spark, folder)).withColumn("x", F.round("x", 6))
-    late, early = tensor.slice_time(whole, 12, 8), tensor.slice_time(whole, 0, 12)
-    return tensor.concat_time([(late, 8), (early, 12), (late, 8)])
+    data = corpus(spark, folder)
+    whole = cells(data).withColumn("x", F.round("x", 6))
+    n_late = max(0, data.docs.select("source").distinct().count() - 12)
+    late, early = tensor.slice_time(whole, 12, n_late), tensor.slice_time(whole, 0, 12)
+    return tensor.concat_time([(late, n_late), (early, 12), (late, n_late)])
 
 
 @query("matricize", with_corpus(

@@ -104,7 +104,7 @@ def fold_in(name: str, old: str | None, new: str, keys: str, weight: float) -> s
     return f"{name} AS MATERIALIZED (SELECT {keys}, sum(b0) AS b0, sum(b1) AS b1 FROM ({union}) GROUP BY ALL)"
 
 
-def long(factor: str, idx: str = "idx", value: str = "w", digits: int = 9, **constants: str) -> str:
+def long(factor: str, idx: str = "idx", value: str = "w", digits: int = 6, **constants: str) -> str:
     """SELECT of (…constants, idx, topic, value)."""
     extra = "".join(f"{v} AS {k}, " for k, v in constants.items())
     return " UNION ALL ".join(
