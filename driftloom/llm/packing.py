@@ -23,17 +23,34 @@ GROUP = 4096
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+#: Words that are tokenised as one text: a call for each word would cost more than its ids.
+JOINED = 2000
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """The worker's memory of words, shared by its tasks.
 
-    This tokenizer drops white space and never joins what stands on both sides of it.
+    This tokenizer drops white space and never joins what stands on both sides of
+    it, so words go in as a text and its ids are cut where the words begin.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
+        ids, sizes = [], []
+        for part, found in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids.append(np.array(found.ids, np.uint32))
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            ends = np.cumsum(lengths + 1)
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            sizes.append(np.diff(np.searchsorted(begins, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return WordIds(encode_words)
 
 
 def _cutter(path: str, length: int):
