@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from driftloom.llm import arrays
 from driftloom.llm.words import WordIds
@@ -19,6 +19,8 @@ from driftloom.llm.words import WordIds
 BLOCK = 4 << 20
 #: A longer word is relaxed by a queue, not in rounds with the others.
 LONG = 48
+#: Bytes of words and ids that a worker remembers.
+REMEMBERED = 128 << 20
 #: Bits of an edge's key that hold its length.
 LENGTH_BITS = 8
 
@@ -115,9 +117,12 @@ class Pieces:
 
     # -- relaxation ------------------------------------------------------------
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word: its characters, of which the neighbours that form the
-        piece of best score (the first of equals) are joined until none do."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has.
+
+        A word is its characters, of which the neighbours that form the piece of
+        best score (the first of equals) are joined until none do.
+        """
         # Code 0 ends a word; as a word it is a byte.
         nul = [k for k, w in enumerate(words) if w == "\0"]
         text = "\0".join(["" if w == "\0" else w for w in words] if nul else words) + "\0"
@@ -147,10 +152,10 @@ class Pieces:
         for i, raw in spelled.items():
             out[place[i]:place[i] + len(raw)] = self.byte_ids[list(raw)]
         cuts = np.append(place, len(out))[np.searchsorted(at, np.append(starts, len(codes)))]
-        result = [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-        for k in nul:
-            result[k] = self.byte_ids[:1]
-        return result
+        count = np.diff(cuts)
+        out = np.insert(out, cuts[nul], self.byte_ids[0])
+        count[nul] = 1
+        return out.astype(np.uint32), count
 
     @staticmethod
     def _look_up(at: np.ndarray, length: np.ndarray, keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -248,7 +253,7 @@ class PieceIds(WordIds):
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        super().__init__(self.pieces.encode_words)
+        super().__init__(self.pieces.encode_words, REMEMBERED)
 
     def cut(self, text: str) -> list[str]:
         return self.pieces.words.findall(self.pieces.model.normalize(text))
@@ -259,7 +264,7 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
-def _encoder(path: str, keep: list[str]):
+def _encoder(path: str, keep: list[str], undo: bool):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = piece_ids(path)
         for part in arrays.slices(batches, "_text", BLOCK):
@@ -268,23 +273,31 @@ def _encoder(path: str, keep: list[str]):
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             flat = np.concatenate(found).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.record_batch([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
+            columns, names = [*(part.column(c) for c in keep), ids], [*keep, "ids"]
+            if undo:
+                same = [words.pieces.decode(x.astype(np.int64)) == t for x, t in zip(found, texts)]
+                columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
+            yield pa.record_batch(columns, names=names)
     return encode
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, undo: bool = False) -> DataFrame:
     """`docs` with `ids`, the model's ids of each whole text.
 
+    With `undo` also round_trip: whether the ids decode to the text, found out in
+    the same pass, so a task needs one worker with one model.
+
     `model` is the path of a BPE model on every machine. Ids equal those of the
-    model's own library. A null or empty text has no ids. A column named ids
-    is replaced, others stay. Repeated rows are encoded alike.
+    model's own library. A null or empty text has no ids. Columns with the new
+    names are replaced, others stay. Repeated rows are encoded alike, an empty
+    table gives no rows. Any length of text is encoded whole.
     """
-    taken = docs.drop("ids")
+    new = [StructField("ids", ArrayType(IntegerType()))] + [StructField("round_trip", BooleanType())] * undo
+    taken = docs.drop(*[f.name for f in new])
     keep = taken.columns
-    out = taken.withColumn("_text", F.col("text").cast("string")).mapInArrow(
-        _encoder(model, keep), StructType([*taken.schema, StructField("ids", ArrayType(IntegerType()))])
+    return taken.withColumn("_text", F.col("text").cast("string")).mapInArrow(
+        _encoder(model, keep, undo), StructType([*taken.schema, *new])
     )
-    return out
 
 
 def decode(coded: DataFrame, model: str, to: str = "decoded") -> DataFrame:
@@ -303,8 +316,6 @@ def decode(coded: DataFrame, model: str, to: str = "decoded") -> DataFrame:
 
 def encoded_documents(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): ids of every document, and whether they decode to its text."""
-    coded = encode(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return decode(coded, model).select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    taken = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    coded = encode(taken, model, undo=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "round_trip")

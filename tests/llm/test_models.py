@@ -10,6 +10,7 @@ import pytest
 
 from driftloom.llm import pii, piece_codec, toxicity
 from driftloom.llm.queries import tokenizer_path
+from driftloom.llm.words import ENTRY, WordIds
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -184,6 +185,12 @@ def test_personal_data_of_documents(spark):
         assert set(line.split(",")) - {""} <= set(own[0].spans.split(","))
 
 
+def test_a_null_text_beside_a_sampled_id(spark):
+    rows = [(1, "call +1 555 010 9999 now"), (1, None), (1, "x@y.zz"), (2, None), (3, "")]
+    found = pii.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_phone) for r in found) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 0, 0), (3, 0, 0)]
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.scan_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -209,9 +216,29 @@ def test_ids_equal_the_models_library(spark):
     for r in coded:
         assert r.ids == plain.encode(r.text or "")
         assert r.decoded == (r.text or "")
+    whole = piece_codec.encoded_documents(spark.createDataFrame(rows, "doc_id long, text string, ids array<int>"), path).collect()
+    assert all(r.round_trip for r in whole)
+    assert sorted((r.doc_id or -1, r.n_ids, r.ids) for r in whole) == sorted((r.doc_id or -1, len(r.ids), r.ids) for r in coded)
     assert piece_codec.encoded_documents(spark.createDataFrame(rows[:0], "doc_id long, text string, ids array<int>"), path).count() == 0
 
 
+def test_words_forgotten_are_learnt_again():
+    calls = []
+
+    def encode(words):
+        calls.append(list(words))
+        return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words])
+
+    ids = WordIds(encode, remembered=4 * ENTRY)
+    rng = np.random.default_rng(0)
+    for turn in range(200):
+        texts = [" ".join(chr(97 + x) * int(x % 3) for x in rng.integers(0, 12, int(rng.integers(0, 6)))) for _ in range(3)]
+        assert ["".join(map(chr, x)) for x in ids.all(texts)] == [t.replace(" ", "") for t in texts]
+        assert ids.now.known <= 2 + 18
+    # A word of late is not encoded again, one of long ago is.
+    assert sum(map(len, calls)) < 12 * 200 and sum("b" in c for c in calls) > 1
+
+
 def test_suffix_array_sorts_suffixes():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 3, 200).astype(np.uint32)
