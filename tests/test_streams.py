@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.learners import factorise
 from driftloom.streaming import streams
+from driftloom.streaming.runs import Runs, add_counts
 
 
 def events(spark, *days):
@@ -49,18 +51,6 @@ def test_sliding_windows_are_complete(spark):
     assert counts == [10] * 5
 
 
-def test_term_counts_add_up_over_batches(spark, tmp_path):
-    versions = streams.Versions(spark, str(tmp_path))
-    each = streams.merge_term_counts(versions)
-    texts = ["alpha beta", "beta gamma", "gamma gamma", "delta alpha"]
-    batch = lambda k: spark.createDataFrame([(k, texts[k], "en"), (k + 10, "autre", "fr")], "doc_id long, text string, lang string")
-    for k in (0, 1, 2, 2, 3):
-        each(batch(k), k)
-    got = {r.term: r.n for r in versions.latest("counts").collect() if " " not in r.term}
-    assert got == {"alpha": 2, "beta": 2, "gamma": 3, "delta": 1}
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["batch-2", "batch-3"]
-
-
 def test_windows_read_open_slices_only(spark, tmp_path):
     rng = np.random.default_rng(0)
     sizes = {"t": 4, "v": 5, "d": 3}
@@ -87,3 +77,70 @@ def test_windows_read_open_slices_only(spark, tmp_path):
     finally:
         reader.parquet = real
     assert versions.read(3, "done").first()["done"] == 3
+
+
+def counts_of(spark, words):
+    return spark.createDataFrame([(w, 1) for w in words], "term string, n long")
+
+
+def as_dict(df):
+    return {r.term: r.n for r in df.collect()}
+
+
+def test_a_batch_writes_its_own_terms_only(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"), ["term"], ["n"], fan=3)
+    total, written = Counter(), []
+    for number in range(11):
+        words = [f"w{number}", f"w{number}", "often", f"w{number % 4}"]
+        total.update(words)
+        before = runs.complete()
+        runs.add(counts_of(spark, words), number)
+        assert as_dict(runs.table()) == total and runs.batches() == number + 1
+        new = runs.complete() - before
+        written.append(sorted(new))
+        assert spark.read.parquet(runs.path(0, number)).count() == len(set(words))
+    # Batches 2, 5 and 8 end a merge of three, 8 also one of nine; the others write one run.
+    assert [len(w) for w in written] == [1, 1, 2, 1, 1, 2, 1, 1, 3, 1, 1]
+    assert runs.complete() == {(2, 0), (0, 9), (0, 10)}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"), ["term"], ["n"], fan=2)
+    for number in range(8):
+        for _ in range(3):
+            runs.add(counts_of(spark, ["a", f"b{number}"]), number)
+            assert as_dict(runs.table()) == {"a": number + 1} | {f"b{k}": 1 for k in range(number + 1)}
+    assert runs.covering(7) == [(2, 0), (1, 2), (0, 6)] and runs.covering(8) == [(3, 0)]
+
+
+def test_a_run_cut_short_does_not_count(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"), ["term"], ["n"], fan=2)
+    runs.add(counts_of(spark, ["a"]), 0)
+    (tmp_path / "runs" / "run-0-1").mkdir()
+    assert as_dict(runs.table()) == {"a": 1}
+    runs.add(counts_of(spark, ["a", "b"]), 1)
+    assert as_dict(runs.table()) == {"a": 2, "b": 1}
+
+
+def test_counts_of_a_restarted_stream(spark, tmp_path):
+    landing, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
+    runs = Runs(spark, str(tmp_path / "runs"), ["term"], ["n"], fan=2)
+    fail = {1}
+
+    def once_cut(batch, number):
+        runs.add(streams.term_counts(batch), number)
+        if number in fail:
+            fail.remove(number)
+            raise RuntimeError("lost")
+
+    schema = "doc_id int, lang string, text string"
+    for k, text in enumerate(["tea pot", "tea", "pot lid"]):
+        rows = [(k, "en", text), (10 + k, "de", "tee")]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
+        for _ in range(2):
+            try:
+                streams.run_available(streams.read_stream(spark, landing, schema, maxFilesPerTrigger=10), checkpoint, each=once_cut)
+                break
+            except Exception as error:
+                assert "lost" in str(error)
+    assert as_dict(runs.table()) == {"tea": 2, "pot": 2, "lid": 1, "tea pot": 1, "pot lid": 1} and not fail
