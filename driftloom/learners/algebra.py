@@ -10,11 +10,12 @@ numbers in one are an error.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftloom.operators.sampling import hash_uniform
@@ -114,13 +115,21 @@ def contract(
 
 
 def gram(table: DataFrame, rank: int, column: str = "u") -> np.ndarray:
-    """rank x rank matrix of the column products, in one pass."""
-    u = F.col(column)
-    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
-    row = table.agg(*[F.sum(u[i] * u[j]) for i, j in pairs]).first()
+    """rank x rank matrix of the column products, in one pass: every task adds up its rows."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rank, rank))
+        for batch in batches:
+            u = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)
+            total += u.T @ u
+        columns = [pa.array(total[:, k]) for k in range(rank)]
+        yield pa.record_batch([pa.array(range(rank), pa.int32()), *columns], names=["i", *(f"g{k}" for k in range(rank))])
+
+    schema = ", ".join(["i int", *(f"g{k} double" for k in range(rank))])
+    sums = table.select(F.col(column).alias("u")).mapInArrow(work, schema).groupBy("i")
+    found = sums.agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(rank)]).toArrow()
     out = np.zeros((rank, rank))
-    for (i, j), value in zip(pairs, row):
-        out[i, j] = out[j, i] = value or 0.0
+    out[found.column("i").to_numpy()] = np.column_stack([found.column(f"g{k}").to_numpy() for k in range(rank)])
     return out
 
 
@@ -159,15 +168,42 @@ def multiply_update(factor: Factor, sums: DataFrame, g: np.ndarray) -> Factor:
 
 def to_array(table: DataFrame, axis: str, columns: Sequence[str]) -> tuple[list, list[np.ndarray]]:
     """Rows of a bounded table in axis order, as arrays."""
-    rows = table.select(axis, *columns).toPandas().sort_values(axis)
-    return rows[axis].tolist(), [np.vstack(rows[c].to_list()) for c in columns]
-
-
-def from_array(like: Factor, keys: list, values: np.ndarray) -> Factor:
-    spark = like.table.sparkSession
-    schema = like.table.select(like.axis, "u").schema
-    # Plain numbers: what Spark makes of arrays depends on the session.
-    return like.using(spark.createDataFrame(list(zip(keys, values.tolist())), schema), values)
+    rows = table.select(axis, *columns).toArrow()
+    order = np.argsort(rows.column(axis).to_numpy(), kind="stable")
+    found = []
+    for c in columns:
+        flat = rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        found.append(flat.reshape(len(order), -1)[order])
+    return rows.column(axis).to_numpy()[order].tolist(), found
+
+
+def array_table(like: Factor, keys: Sequence[int], values: np.ndarray, name: str = "u") -> DataFrame:
+    """(axis, name): the rows of an array under the axis of `like`."""
+    axis = like.table.select(like.axis).schema
+    ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    rows = pa.table({like.axis: pa.array(keys, pa.int64()), name: pa.ListArray.from_arrays(ends, pa.array(values.ravel()))})
+    out = like.table.sparkSession.createDataFrame(rows)
+    return out.select(F.col(like.axis).cast(axis[0].dataType).alias(like.axis), name)
+
+
+def from_array(like: Factor, keys: Sequence[int], values: np.ndarray) -> Factor:
+    return like.using(array_table(like, keys, values), values)
+
+
+def update_columns_array(
+    u: np.ndarray, b: np.ndarray, a: np.ndarray, radius: float | None = None, sub_iter: int = 1
+) -> np.ndarray:
+    """The update of `update_columns` on arrays."""
+    u = u.copy()
+    for k in range(u.shape[1]):
+        for i in range(sub_iter):
+            slope = u @ a[:, k] - b[:, k]
+            step = 1.0 / ((i + 1) * (a[k, k] + 1.0))
+            if radius is not None:
+                step *= radius / max(radius, step * np.linalg.norm(slope))
+            column = np.maximum(u[:, k] - step * slope, 0.0)
+            u[:, k] = column / max(1.0, np.linalg.norm(column))
+    return u
 
 
 def update_columns(
@@ -188,11 +224,7 @@ def update_columns(
 
     if factor.local:
         keys, (u, b) = to_array(table, factor.axis, ["u", "b"])
-        for k, i in steps:
-            slope = u @ a[:, k] - b[:, k]
-            column = np.maximum(u[:, k] - reach(k, i, np.linalg.norm(slope)) * slope, 0.0)
-            u[:, k] = column / max(1.0, np.linalg.norm(column))
-        return from_array(factor, keys, u)
+        return from_array(factor, keys, update_columns_array(u, b, a, radius, sub_iter))
 
     u = F.col("u")
     for k, i in steps:

@@ -21,65 +21,73 @@ from driftloom.session import settle
 ROUNDS = 100_000
 
 
-def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-9) -> Column:
-    """h >= 0 minimising |x - W h|^2 / 2 + alpha * sum(h).
+def least_squares_array(b: np.ndarray, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-9) -> np.ndarray:
+    """h >= 0 minimising |x - W h|^2 / 2 + alpha * sum(h), for every row b = W'x.
 
     Coordinate descent finds which entries are positive; their values then come
     from the normal equations of those entries.
     """
-    rank = len(g)
+    target = b - alpha
+    h = np.zeros_like(target)
+    # Each row stops by its own moves, so no row depends on its batch.
+    open_ = np.arange(len(h))
+    for _ in range(ROUNDS):
+        part, goal = h[open_], target[open_]
+        moved = np.zeros(len(open_))
+        for k in range(len(g)):
+            if g[k, k] <= 0:
+                continue
+            new = np.maximum(part[:, k] + (goal[:, k] - part @ g[:, k]) / g[k, k], 0.0)
+            moved = np.maximum(moved, np.abs(new - part[:, k]))
+            part[:, k] = new
+        h[open_] = part
+        open_ = open_[moved > tolerance * part.max(axis=1)]
+        if not len(open_):
+            break
+    else:
+        raise ArithmeticError(f"{len(open_)} codes did not settle in {ROUNDS} rounds")
+    supports, member = np.unique(h > 0, axis=0, return_inverse=True)
+    for number, support in enumerate(supports):
+        rows = np.flatnonzero(member.ravel() == number)
+        on = np.flatnonzero(support)
+        if len(on) and np.linalg.matrix_rank(g[np.ix_(on, on)]) == len(on):
+            exact = np.linalg.solve(g[np.ix_(on, on)], target[np.ix_(rows, on)].T).T
+            fits = (exact >= 0).all(axis=1)
+            h[np.ix_(rows[fits], on)] = exact[fits]
+    return h
+
+
+def least_squares_codes(b: Column, g: np.ndarray, alpha: float = 0.0, tolerance: float = 1e-9) -> Column:
+    """The codes of `least_squares_array` for a column of sums."""
 
     @F.pandas_udf("array<double>")
     def solve(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return batch
-        target = np.vstack(batch.to_list()) - alpha
-        h = np.zeros_like(target)
-        # Each row stops by its own moves, so no row depends on its batch.
-        open_ = np.arange(len(h))
-        for _ in range(ROUNDS):
-            part, goal = h[open_], target[open_]
-            moved = np.zeros(len(open_))
-            for k in range(rank):
-                if g[k, k] <= 0:
-                    continue
-                new = np.maximum(part[:, k] + (goal[:, k] - part @ g[:, k]) / g[k, k], 0.0)
-                moved = np.maximum(moved, np.abs(new - part[:, k]))
-                part[:, k] = new
-            h[open_] = part
-            open_ = open_[moved > tolerance * part.max(axis=1)]
-            if not len(open_):
-                break
-        else:
-            raise ArithmeticError(f"{len(open_)} codes did not settle in {ROUNDS} rounds")
-        supports, member = np.unique(h > 0, axis=0, return_inverse=True)
-        for number, support in enumerate(supports):
-            rows = np.flatnonzero(member.ravel() == number)
-            on = np.flatnonzero(support)
-            if len(on) and np.linalg.matrix_rank(g[np.ix_(on, on)]) == len(on):
-                exact = np.linalg.solve(g[np.ix_(on, on)], target[np.ix_(rows, on)].T).T
-                fits = (exact >= 0).all(axis=1)
-                h[np.ix_(rows[fits], on)] = exact[fits]
-        return pd.Series(list(h))
+        return pd.Series(list(least_squares_array(np.vstack(batch.to_list()), g, alpha, tolerance)))
 
     return solve(b)
 
 
+def sweep_array(h: np.ndarray, b: np.ndarray, g: np.ndarray, sweeps: int = 10, alpha: float = 0.0) -> np.ndarray:
+    """The sweeps of `swept_codes` on arrays."""
+    h = h.copy()
+    for i in range(sweeps):
+        for k in range(len(g)):
+            slope = h @ g[k] - b[:, k] + alpha
+            h[:, k] = np.maximum(h[:, k] - slope / ((i + 1) * (g[k, k] + 1.0)), 0.0)
+    return h
+
+
 def swept_codes(b: Column, h0: Column, g: np.ndarray, sweeps: int = 10, alpha: float = 0.0) -> Column:
     """A fixed number of projected gradient sweeps from h0: entry k moves by
     1/((i+1)(G_kk+1)) in sweep i and is clipped at 0."""
-    rank = len(g)
 
     @F.pandas_udf("array<double>")
     def sweep(batch: pd.Series, start: pd.Series) -> pd.Series:
         if batch.empty:
             return batch
-        target, h = np.vstack(batch.to_list()), np.vstack(start.to_list())
-        for i in range(sweeps):
-            for k in range(rank):
-                slope = h @ g[k] - target[:, k] + alpha
-                h[:, k] = np.maximum(h[:, k] - slope / ((i + 1) * (g[k, k] + 1.0)), 0.0)
-        return pd.Series(list(h))
+        return pd.Series(list(sweep_array(np.vstack(start.to_list()), np.vstack(batch.to_list()), g, sweeps, alpha)))
 
     return sweep(b, h0)
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners.algebra import (
-    Factor, axis_index, contract, gram, gram_product, init_factor, kept, multiply_update, times,
+    EPSILON, Factor, axis_index, contract, from_array, gram, gram_product, init_factor, kept, multiply_update, times,
     vector, with_sums,
 )
-from driftloom.learners.coding import swept_codes, swept_codes_coupled
+from driftloom.learners.coding import sweep_array, swept_codes, swept_codes_coupled
+from driftloom.learners.passes import Rows, Rule, Sums, cell_sums, dense
 from driftloom.session import settle
 
 
@@ -41,7 +44,60 @@ def _others(factors: dict[str, Factor], axis: str) -> list[Factor]:
     return [f for name, f in factors.items() if name != axis]
 
 
-def _sweeps(cells, factors, axes, iterations, update, with_trace) -> Fit:
+def _passes(cells, factors, axes, iterations, rule, with_trace) -> Fit:
+    """Sweeps in passes over the cells, or over the rows of the one factor that is not local.
+
+    The rows' own move waits for the next pass, which needs it first. `rule`
+    takes (u, b, Gram matrix, step), for rows in a task and for a held factor alike.
+    """
+    fit, spent = Fit(dict(factors)), 0.0
+    by = next((axis for axis, f in factors.items() if not f.local), None)
+    held = {axis: dense(f) for axis, f in factors.items() if axis != by}
+    grams = {axis: u.T @ u for axis, u in held.items()}
+    rows = None if by is None else Rows(cells, factors[by], list(held))
+    if by is not None:
+        grams[by] = factors[by].gram()
+    waits: Rule | None = None
+
+    def g_of(axis: str) -> np.ndarray:
+        return np.prod([grams[a] for a in factors if a != axis], axis=0)
+
+    def run(want: str | None) -> Sums:
+        nonlocal waits
+        if rows is None:
+            return cell_sums(cells, held, want)
+        out = rows.run(held, want, waits, None if waits is None else g_of(by))
+        grams[by], waits = out.gram, None
+        return out
+
+    with kept(cells) if by is None else nullcontext(cells) as cells:
+        norm2 = (cells.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0) if with_trace else 0.0
+        for step in range(iterations):
+            start = time.perf_counter()
+            for axis in axes:
+                if axis == by:
+                    waits = partial(rule, step=step)
+                    continue
+                sums = run(axis).axis
+                held[axis] = rule(held[axis], sums, g_of(axis), step=step)
+                grams[axis] = held[axis].T @ held[axis]
+            spent += time.perf_counter() - start
+            if with_trace:
+                inner = run(None).inner
+                model2 = np.prod(list(grams.values()), axis=0).sum()
+                fit.trace.append((step, spent, float(np.sqrt(max(norm2 - 2.0 * inner + model2, 0.0)))))
+        if waits is not None:
+            run(None)
+    fit.factors = {
+        axis: rows.result() if axis == by else from_array(f, range(f.size), held[axis]) for axis, f in factors.items()
+    }
+    return fit
+
+
+def _sweeps(cells, factors, axes, iterations, update, with_trace, rule=None) -> Fit:
+    """Passes where a rule for rows is given and at most one factor is not local; else a join and an update an axis."""
+    if rule is not None and sum(not f.local for f in factors.values()) <= 1:
+        return _passes(cells, factors, axes, iterations, rule, with_trace)
     factors = dict(factors)
     fit, spent = Fit(factors), 0.0
     # Only the factor just updated needs a new Gram matrix.
@@ -70,7 +126,10 @@ def cp_mu(
     def update(factor: Factor, sums: DataFrame, g: np.ndarray, step: int) -> Factor:
         return multiply_update(factor, sums, g)
 
-    return _sweeps(cells, factors, order or list(factors), iterations, update, with_trace)
+    def rule(u: np.ndarray, b: np.ndarray, g: np.ndarray, step: int) -> np.ndarray:
+        return u * b / (u @ g + EPSILON)
+
+    return _sweeps(cells, factors, order or list(factors), iterations, update, with_trace, rule)
 
 
 def cp_als(
@@ -92,7 +151,11 @@ def cp_als(
         table = swept_codes_coupled(table, factor.axis, g, sweeps, radius=radius, least_move=least_move)
         return factor.using(table.select(factor.axis, "u"))
 
-    return _sweeps(cells, factors, list(factors), iterations, update, with_trace)
+    def rule(u: np.ndarray, b: np.ndarray, g: np.ndarray, step: int) -> np.ndarray:
+        return sweep_array(u, b, g, sweeps)
+
+    rowwise = beta is None and least_move is None
+    return _sweeps(cells, factors, list(factors), iterations, update, with_trace, rule if rowwise else None)
 
 
 def nmf_batch(

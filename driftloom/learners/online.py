@@ -10,18 +10,20 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners.algebra import (
-    Factor, contract, gram, gram_product, update_columns, vector,
+    Factor, array_table, contract, from_array, gram, gram_product, to_array, update_columns, update_columns_array, vector,
 )
-from driftloom.learners.coding import cp_codes, least_squares_codes
+from driftloom.learners.coding import cp_codes, least_squares_array, least_squares_codes
 from driftloom.learners.factorise import reconstruction_error
+from driftloom.learners.passes import coded_sums, dense, gather
 from driftloom.operators.sampling import draws
 from driftloom.operators.tensor import slice_time
-from driftloom.session import settle
+from driftloom.session import settle, stored
 
 
 @dataclass
@@ -87,7 +89,43 @@ def _batches(entries: DataFrame, column: str, population: int, steps: int, size:
     At most steps x size rows of the matrix are taken, whatever its length.
     """
     drawn = draws(entries.sparkSession, steps, size, population, seed).withColumnRenamed("pos", column)
-    return settle(drawn.join(entries, column).drop(column))
+    return drawn.join(entries, column).drop(column)
+
+
+def _steps(
+    entries: DataFrame, column: str, population: int, state: MatrixState, first: int, steps: int, size: int,
+    beta: float, alpha: float, seed: int, use_fresh_stats: bool = False,
+) -> MatrixState:
+    """`steps` steps, numbered from `first`, on batches drawn by `column` from entries(column, axis, x).
+
+    A step reads its own batch only: batches are written by their number. With a
+    local dictionary a batch is rows of cells, and a step one pass over them.
+    """
+    terms, axis = state.terms, state.terms.axis
+    batches = _batches(entries, column, population, steps, size, seed)
+    if not terms.local:
+        batches = stored(batches.repartitionByRange("iter", "draw"), "batches", "iter")
+        for i in range(steps):
+            batch = batches.where(F.col("iter") == i + 1).drop("iter")
+            _, state = onmf_step(batch, state, first + i, beta, alpha, use_fresh_stats=use_fresh_stats)
+        return state
+    rows = gather(batches, ["iter", "draw"], [axis]).repartitionByRange("iter", "draw")
+    rows = stored(rows, "batches", "iter")
+    w, a, b = dense(terms), state.a, np.zeros((terms.size, terms.rank))
+    if state.b is not None:
+        keys, (values,) = to_array(state.b, axis, ["b"])
+        b[keys] = values
+    for i in range(steps):
+        code = partial(least_squares_array, g=w.T @ w, alpha=alpha)
+        sums = coded_sums(rows.where(F.col("iter") == i + 1), axis, w, code)
+        weight = float(first + i) ** -beta
+        new_a, new_b = (1.0 - weight) * a + weight * sums.gram, (1.0 - weight) * b + weight * sums.axis
+        w = update_columns_array(w, new_b, new_a) if use_fresh_stats else update_columns_array(w, b, a)
+        a, b = new_a, new_b
+    if not steps:
+        return state
+    every = range(terms.size)
+    return MatrixState(from_array(terms, every, w), a, array_table(terms, every, b, "b"), first + steps - 1)
 
 
 def onmf_slice(
@@ -95,12 +133,10 @@ def onmf_slice(
     batch_size: int = 100, beta: float = 1.0, alpha: float = 1.0, seed: int = 0, use_fresh_stats: bool = False,
 ) -> MatrixState:
     """iterations - 1 steps on batches drawn from slice `number`, entries(pos, axis, x)."""
-    batches = _batches(entries, "pos", n_docs, iterations - 1, batch_size, seed + number)
-    for i in range(1, iterations):
-        batch = batches.where(F.col("iter") == i).drop("iter")
-        t = i + number * iterations
-        _, state = onmf_step(batch, state, t, beta, alpha, use_fresh_stats=use_fresh_stats)
-    return state
+    return _steps(
+        entries, "pos", n_docs, state, number * iterations + 1, iterations - 1, batch_size, beta, alpha,
+        seed + number, use_fresh_stats,
+    )
 
 
 def onmf_train(
@@ -130,13 +166,8 @@ def ontf_train(
     `rows.axis` is the unfolding's row axis. A state given continues its count.
     """
     state = state or MatrixState(rows, np.zeros((rows.rank, rows.rank)))
-    start = state.t
     entries = unfolding.withColumnRenamed("row", rows.axis)
-    batches = _batches(entries, "col", n_columns, iterations - 1, batch_size, seed)
-    for i in range(1, iterations):
-        batch = batches.where(F.col("iter") == i).drop("iter")
-        _, state = onmf_step(batch, state, start + i, 1.0, alpha)
-    return state
+    return _steps(entries, "col", n_columns, state, state.t + 1, iterations - 1, batch_size, 1.0, alpha, seed)
 
 
 # ---- CP dictionaries --------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.learners import algebra, coding, factorise, lda, online
+from driftloom.learners import algebra, coding, factorise, lda, online, passes
 from driftloom.learners.algebra import Factor
 from driftloom.operators.tensor import unfold_mode
 
@@ -216,3 +216,78 @@ def test_codes_do_not_depend_on_their_batch(spark):
     alone = array(b.select("i", code), "i")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.allclose(alone, array(b.coalesce(1).select("i", code), "i"), rtol=1e-9, atol=0)
+
+
+# -- passes ------------------------------------------------------------------
+
+
+def test_passes_equal_joins_at_rank_25(spark, monkeypatch):
+    """One factor in rows, or all held: the same numbers as the join for every axis."""
+    random = np.random.default_rng(4)
+    x = random.random((30, 40)) * (random.random((30, 40)) < 0.3)
+    x[:, 7] = 0
+    cells = entries(spark, x, "term_id", "doc_id")
+    starts = [random.random((n, 25)) for n in (30, 40)]
+    terms, docs = table(spark, "term_id", starts[0]), table(spark, "doc_id", starts[1])
+    far = replace(docs, local=False)
+    monkeypatch.setattr(passes, "CELLS", 64)
+    monkeypatch.setattr(passes, "SENT", 7)
+    monkeypatch.setattr(passes, "KEPT", 2)
+    w, h = starts
+    for _ in range(5):
+        h = h * (x.T @ w) / (h @ (w.T @ w) + 1e-12)
+        w = w * (x @ h) / (w @ (h.T @ h) + 1e-12)
+    for documents in (far, docs):
+        fit = factorise.nmf_batch(cells, terms, documents, 5, with_trace=True)
+        assert np.allclose(array(fit.factors["term_id"].table, "term_id"), w)
+        assert np.allclose(array(fit.factors["doc_id"].table, "doc_id"), h)
+        assert np.isclose(fit.trace[-1][2], np.linalg.norm(x - w @ h.T))
+    joined = factorise._sweeps(cells, {"doc_id": far, "term_id": terms}, ["doc_id", "term_id"], 5,
+                               lambda f, s, g, step: algebra.multiply_update(f, s, g), False)
+    assert np.allclose(array(joined.factors["term_id"].table, "term_id"), w)
+
+
+def test_a_sweep_is_one_shuffle(spark):
+    """A move of the rows and the sums of the held factor: the cells are not shuffled again."""
+    x = np.ones((4, 6))
+    cells = entries(spark, x, "term_id", "doc_id")
+    docs = replace(table(spark, "doc_id", np.ones((6, 2))), local=False)
+    rows = passes.Rows(cells, docs, ["term_id"])
+    seen = []
+    monkey = passes.added
+
+    def added(sums, rank, size):
+        keyed = sums.where("key is not null").groupBy("key").agg(F.sum(F.col("b")[0]))
+        plan = keyed._jdf.queryExecution().executedPlan().toString()
+        seen.append(plan.count("Exchange "))
+        return monkey(sums, rank, size)
+
+    passes.added = added
+    try:
+        for _ in range(3):
+            rows.run({"term_id": np.ones((4, 2))}, "term_id", lambda u, b, g: u, np.eye(2))
+    finally:
+        passes.added = monkey
+    # The exchange of an earlier sweep is behind the cache.
+    assert [n for n in seen] == [1, 1, 1]
+
+
+def test_online_steps_in_passes_equal_steps_in_joins(spark):
+    random = np.random.default_rng(6)
+    x = random.random((12, 20)) * (random.random((12, 20)) < 0.5)
+    slices = [(entries(spark, x, "term_id", "pos"), 20)] * 2
+    start = random.random((12, 3))
+    held = table(spark, "term_id", start)
+    for fresh in (False, True):
+        options = dict(iterations=4, batch_size=6, beta=0.7, alpha=0.1, seed=3, use_fresh_stats=fresh)
+        one, _ = online.onmf_train(slices, held, **options)
+        two, _ = online.onmf_train(slices, replace(held, local=False), **options)
+        assert np.allclose(array(one.terms.table, "term_id"), array(two.terms.table, "term_id"))
+        assert np.allclose(one.a, two.a) and one.t == two.t
+        assert np.allclose(array(one.b, "term_id", "b"), array(two.b, "term_id", "b"))
+
+
+def test_held_factors_count_from_zero(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "v int, u array<double>")
+    with pytest.raises(ValueError, match="0 … 1"):
+        passes.dense(Factor(rows, "v", 2, 1))
