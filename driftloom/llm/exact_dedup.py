@@ -11,6 +11,9 @@ from driftloom.llm.components import store
 #: Characters that do not count: space and the ASCII controls from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Tasks that the texts of one frequent digest are read by.
+SALTS = 32
+
 
 def normalised(text: Column) -> Column:
     """The text without white space; a null is empty."""
@@ -77,8 +80,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         levels.append(store(merge(levels[-1], ["digest"], width), "level"))
         left = -(-left // width)
     top = levels.pop()
-    again = top.where("size > 1").select("digest")
-    texts = whole.select("run", "digest", "text").join(again, "digest", "left_semi")
+    again = top.where("size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id", "run"), F.lit(SALTS)).cast("int").alias("salt")
+    texts = whole.select("run", "digest", "text", salt).join(again, ["salt", "digest"], "left_semi").drop("salt")
     clash = distinct_texts(texts, width, runs).groupBy("digest").count().where("count > 1")
     if clash.head(1):
         raise ValueError("two texts have one digest")
