@@ -1,8 +1,7 @@
-"""Line dedup: runs of whole lines, removed where they repeat."""
+"""Line dedup: content-defined chunks of lines, removed where their bytes repeat."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,25 +11,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftloom.llm import arrays
 from driftloom.llm.components import store
 
-#: A run of lines of fewer words stays.
+#: A chunk has so many words at least.
 LEAST_WORDS = 20
+#: Bytes of text whose chunks are read at once for comparison.
+BLOCK = 1 << 19
 
-WINDOWS = "id bigint, key bigint, start bigint, end bigint, digest binary"
+CHUNKS = "id bigint, key bigint, start bigint, end bigint, h1 bigint, h2 bigint"
+SPANS = "array<struct<start:bigint,end:bigint,h1:bigint,h2:bigint,goes:boolean>>"
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start and end, in bytes of the text, of each window.
+def rolled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the lines first … last, for every pair, rolled over hashes of lines.
 
-    From every line with words the least run of lines down, and up, that holds
-    LEAST_WORDS words. Those inside a passage cover it from its first line to its
-    last, whatever stands beside it. There are at most two a line. A window has
-    the line feeds between its lines but not the last.
+    A line counts with the blank lines behind it, but the last one ends with its
+    own text. Sums over all lines so far give any run's hash in one step.
+    """
+    if not len(first):
+        return np.empty(0, np.uint64)
+    salt = arrays.mix(np.uint64(seed) + np.zeros(1, np.uint64))
+    whole = arrays.mix(arrays.part_hashes(data, starts, np.append(starts[1:], ends[-1])) ^ salt)
+    own = arrays.mix(arrays.part_hashes(data, starts, ends) ^ ~salt)
+    sums = np.zeros(len(starts) + 1, np.uint64)
+    np.cumsum((whole + np.uint64(1)) * arrays.powers(arrays.ODD, len(starts))[:-1], out=sums[1:])
+    inner = (sums[last] - sums[first]) * arrays.powers(arrays.INVERSE, len(starts))[first]
+    return arrays.mix(inner ^ arrays.mix(own[last] + (last - first).astype(np.uint64)))
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start and end, in bytes of the text, and two hashes of each chunk.
+
+    Every line with words is a boundary: from it the least run of lines down, and
+    up, that holds LEAST_WORDS words is a chunk. Boundaries depend on nothing but
+    the lines, so they shift with them; chunks inside a passage cover it from its
+    first line to its last, whatever stands beside it. There are at most two a
+    line. A chunk has the line feeds between its lines but not the last.
     """
     feeds = np.flatnonzero(data == 10)
     starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], feeds + 1)
     starts = starts[starts < len(data)]
     if not len(starts):
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     marks = np.union1d(feeds, offsets[1:])
     ends = np.where(data[starts] == 10, starts, marks[np.searchsorted(marks, starts, side="right")])
     word_starts, _, _ = arrays.words(data, offsets)
@@ -47,29 +67,44 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pairs = np.unique((first * n + last)[owner[first] == owner[last]])
     first, last = pairs // max(n, 1), pairs % max(n, 1)
     who = owner[first]
-    return who, starts[first] - offsets[who], ends[last] - offsets[who]
-
-
-def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in arrays.slices(batches, "_text"):
-        data, offsets = arrays.utf8(part.column("_text"))
-        who, a, z = windows(data, offsets)
-        held, base = memoryview(data), offsets[who]
-        digests = [
-            hashlib.blake2b(held[i:j], digest_size=16).digest() for i, j in zip((base + a).tolist(), (base + z).tolist())
-        ]
-        rows = pa.array(who)
+    h1, h2 = (rolled(data, starts, ends, first, last, seed) for seed in (1, 2))
+    return who, starts[first] - offsets[who], ends[last] - offsets[who], h1, h2
+
+
+def _chunk_rows(bits: int):
+    def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrays.slices(batches, "_text"):
+            data, offsets = arrays.utf8(part.column("_text"))
+            who, a, z, h1, h2 = chunks(data, offsets)
+            if bits < 128:
+                h1, h2 = h1 >> np.uint64(64 - min(bits, 64)), h2 >> np.uint64(64 - max(1, bits - 64))
+            rows = pa.array(who)
+            yield pa.record_batch(
+                [part.column("_id").take(rows), part.column("_key").take(rows), pa.array(a, pa.int64()),
+                 pa.array(z, pa.int64()), pa.array(arrays.signed(h1)), pa.array(arrays.signed(h2))],
+                names=["id", "key", "start", "end", "h1", "h2"],
+            )
+    return rows_of
+
+
+def _chunk_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of every span of every text."""
+    for part in arrays.slices(batches, "_text", BLOCK):
+        rows = []
+        for i, text, key, spans in zip(*(part.column(c).to_pylist() for c in ("_id", "_text", "_key", "spans"))):
+            raw = (text or "").encode()
+            rows += [(i, key, s["start"], s["end"], s["h1"], s["h2"], raw[s["start"]:s["end"]]) for s in spans or ()]
+        columns = list(zip(*rows)) or [()] * 7
         yield pa.record_batch(
-            [part.column("_id").take(rows), part.column("_key").take(rows), pa.array(a, pa.int64()),
-             pa.array(z, pa.int64()), pa.array(digests, pa.binary())],
-            names=["id", "key", "start", "end", "digest"],
+            [*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())],
+            names=["id", "key", "start", "end", "h1", "h2", "raw"],
         )
 
 
 def _joined(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
     """Spans in order, those that overlap as one."""
     found: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
+    for start, end in sorted((s["start"], s["end"]) for s in spans if s["goes"]):
         if found and start < found[-1][1]:
             found[-1] = (found[-1][0], max(end, found[-1][1]))
         else:
@@ -110,19 +145,51 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("bigint"), missing), F.xxhash64("doc_id", "text")
 
 
-def without_repeats(docs: DataFrame, removed: str | None = None) -> DataFrame:
-    """`docs` (doc_id, text, …) without runs of lines that stand earlier in the table.
+def _repeated(found: DataFrame, same: list[str]) -> DataFrame:
+    """(same, first): the first place of what stands more than once."""
+    place = F.struct("id", "key", "start", "end")
+    return found.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+
+
+def _spans(again: DataFrame) -> DataFrame:
+    """(_id, _key, spans) of chunks beside their first place; all but the first and what overlaps it go."""
+    goes = (F.col("id") != F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("start") >= F.col("first.end"))
+    return again.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.collect_set(F.struct("start", "end", "h1", "h2", goes.alias("goes"))).cast(SPANS).alias("spans")
+    )
+
 
-    Whole lines go where they are part of a window (at least LEAST_WORDS words)
-    whose bytes, as 128 bits of BLAKE2 tell, stand at a lesser doc_id or place,
-    and not overlapping it. So of every line that goes, an earlier copy stays.
-    They go with their line feeds. All rows and columns stay; n_chars, if there,
-    is counted anew where text went, and `removed` names a column for the number
-    of bytes taken out.
+def _by_bytes(held: DataFrame, raw: DataFrame, clash: DataFrame) -> DataFrame:
+    """`held` with the spans of hashes that several texts share decided by the texts."""
+    again = raw.join(_repeated(raw, ["h1", "h2", "raw"]), ["h1", "h2", "raw"])
+    right = _spans(again).withColumnRenamed("spans", "right")
+    each = held.select("_id", "_key", F.explode("spans").alias("s")).select("_id", "_key", "s.*")
+    wrong = each.join(clash, ["h1", "h2"], "left_semi").groupBy("_id", "_key").agg(
+        F.collect_set(F.struct("start", "end", "h1", "h2", "goes")).cast(SPANS).alias("wrong")
+    )
+    none = F.array().cast(SPANS)
+    joined = held.join(wrong, ["_id", "_key"], "left").join(right, ["_id", "_key"], "left")
+    kept = F.concat(
+        F.array_except(F.coalesce("spans", none), F.coalesce("wrong", none)), F.coalesce("right", none)
+    )
+    return joined.withColumn("spans", kept).drop("wrong", "right")
+
+
+def without_repeats(docs: DataFrame, removed: str | None = None, bits: int = 128) -> DataFrame:
+    """`docs` (doc_id, text, …) without chunks of lines that stand earlier in the table.
+
+    Chunks (see `chunks`) are matched by rolling hashes, of which `bits` bits are
+    used; then the bytes of all chunks of one hash are compared, so fewer bits only
+    mean more comparisons. Whole lines go where they are part of a chunk
+    whose bytes stand at a lesser doc_id or place, and not overlapping it. So of
+    every line that goes, an earlier copy stays. They go with their line feeds.
+    All rows and columns stay; n_chars, if there, is counted anew where text went,
+    and `removed` names a column for the number of bytes taken out.
 
     A null text stays null. A text of repeats only becomes empty. Rows equal in
     doc_id and text count as one document and get the same result. A null doc_id
-    comes first. Other columns, whatever their names, are passed on.
+    comes first. Texts of any length are read whole; an empty table gives no
+    rows. Other columns, whatever their names, are passed on.
     """
     columns = [c for c in docs.columns if c != "text"]
     plain = {c: f"_c{k}" for k, c in enumerate(columns)}
@@ -131,18 +198,15 @@ def without_repeats(docs: DataFrame, removed: str | None = None) -> DataFrame:
         id_.alias("_id"), key.alias("_key"), F.col("text").cast("string").alias("_text"),
         *[F.col(f"`{c}`").alias(n) for c, n in plain.items()],
     )
-    found = store(keyed.select("_id", "_key", "_text").mapInArrow(_window_rows, WINDOWS), "windows")
-    place = F.struct("id", "key", "start", "end")
-    repeated = store(
-        found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated"
-    )
-    again = found.join(repeated, "digest").where(
-        (F.col("id") != F.col("first.id")) | (F.col("key") != F.col("first.key")) | (F.col("start") >= F.col("first.end"))
-    )
-    spans = again.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")
-    )
-    held = keyed.join(spans, ["_id", "_key"], "left")
+    found = store(keyed.select("_id", "_key", "_text").mapInArrow(_chunk_rows(bits), CHUNKS), "chunks")
+    hashes = ["h1", "h2"]
+    spans = _spans(found.join(_repeated(found, hashes), hashes))
+    held = store(keyed.join(spans, ["_id", "_key"], "left"), "held")
+    # Bytes are compared by grouping them: a hash of several texts is no match of all its chunks.
+    raw = held.where("spans is not null").mapInArrow(_chunk_bytes, f"{CHUNKS}, raw binary")
+    clash = store(raw.select(*hashes, "raw").distinct().groupBy(*hashes).count().where("count > 1").select(*hashes), "clash")
+    if clash.head(1):
+        held = _by_bytes(held, raw.join(clash, hashes), clash)
     kept = [*plain.values()]
     types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in plain.items())
     out = held.select("_text", "spans", *kept).mapInArrow(_remover(kept), f"{types}, _text string, _removed bigint")

@@ -194,6 +194,70 @@ def test_passages_of_short_lines_go_whole(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == want
 
 
+def plain_line_dedup(rows):
+    """doc_id -> text, by every run of lines that `chunks` describes and a dictionary of their texts."""
+    places, own = defaultdict(list), {}
+    for i, text in rows:
+        raw, runs, at, lines = (text or "").encode(), set(), 0, []
+        for line in raw.split(b"\n"):
+            n = len(re.findall(rb"[^\x20\x09-\x0d]+", line))
+            if n:
+                lines.append((at, at + len(line), n))
+            at += len(line) + 1
+        for k in range(len(lines)):
+            for step in (1, -1):
+                n = m = 0
+                while 0 <= k + m * step < len(lines) and n < line_dedup.LEAST_WORDS:
+                    n += lines[k + m * step][2]
+                    m += 1
+                if n >= line_dedup.LEAST_WORDS:
+                    ends = sorted((k, k + (m - 1) * step))
+                    runs.add((lines[ends[0]][0], lines[ends[1]][1]))
+        own[i] = (raw, runs)
+        for a, z in runs:
+            places[raw[a:z]].append((i, a, z))
+    out = {}
+    for i, (raw, runs) in own.items():
+        gone = np.zeros(len(raw) + 1, bool)
+        for a, z in runs:
+            first = min(places[raw[a:z]])
+            if first[0] != i or a >= first[2]:
+                gone[a:z + 1] = True
+        text = bytes(b for b, g in zip(raw, gone) if not g)
+        if gone[:len(raw)].any() and gone[len(raw)] and text.endswith(b"\n"):
+            text = text[:-1]
+        out[i] = text.decode()
+    return out
+
+
+def odd_line_rows():
+    rng = np.random.default_rng(11)
+    shared = [[" ".join(f"s{x}" for x in rng.integers(0, 50, rng.integers(1, 12))) for _ in range(9)] for _ in range(6)]
+    rows = []
+    for k in range(150):
+        lines = []
+        for _ in range(int(rng.integers(1, 5))):
+            part = shared[int(rng.integers(6))]
+            a, z = sorted(rng.integers(0, 10, 2))
+            lines += part[a:z] + ["", f"own {k} {rng.integers(9)}", " " * int(rng.integers(3))][: int(rng.integers(4))]
+        rows.append((k, "\n".join(lines)))
+    long = "\n".join(f"line {k} of a very long text with some words in it é" for k in range(30_000))
+    return rows + [(200, long), (201, "head\n" + long), (202, ""), (203, " \n \n")]
+
+
+@pytest.mark.parametrize("bits", [128, 7])
+def test_line_dedup_equals_plain_version(spark, documents, bits):
+    """With few bits chunks of different bytes meet, and their bytes decide."""
+    rows = odd_line_rows() + [(1000 + r.doc_id, r.text) for r in documents.collect()]
+    if bits < 128:
+        rows = [r for r in rows if len(r[1]) < 10_000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(docs, bits=bits).collect()}
+    want = plain_line_dedup(rows)
+    assert sum(want[i] != t for i, t in rows) > 100
+    assert found == want
+
+
 def test_line_dedup_on_documents_removes_repeats_only(spark, documents):
     rows = {r.doc_id: r.text for r in documents.collect()}
     out = line_dedup.without_repeats(documents, "gone").collect()
