@@ -46,6 +46,8 @@ RULES = (
     Rule("jwt", 1, r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", needs=("eyJ",)),
 )
 
+#: Tasks that the copies of one text are masked by.
+SALTS = 32
 LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,rule:string,start:bigint,end:bigint>>"
 
 
@@ -163,9 +165,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     ledger = scratch_path(docs.sparkSession, "ledger")
     found = scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), ledger)
     blobs = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    # Copies of one text are read by SALTS tasks: only blobs with findings are repeated for that.
+    blobs = blobs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Columns of `docs` stay in one struct, so no name of theirs can clash.
     rows = docs.select(F.struct("*").alias("_row")).withColumn("_blob", F.sha2("_row.text", 256))
-    held = rows.join(blobs, "_blob", "left").withColumn("_text", F.col("_row.text"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row.doc_id"), F.lit(SALTS)).cast("int"))
+    held = rows.join(blobs, ["_salt", "_blob"], "left").withColumn("_text", F.col("_row.text"))
     # (place reached, text so far) over the spans in order.
     state = F.aggregate(
         F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("a"), s["end"].cast("int").alias("z")))),
