@@ -6,14 +6,18 @@ aggregation over the cells and a small solver applied to Arrow batches of b.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftloom.learners.algebra import (
     Factor, contract, gram, gram_product, times, vector,
 )
-from driftloom.operators.sampling import hash_uniform
+from driftloom.operators.sampling import hash_int, hash_uniform
 from driftloom.session import settle
 
 
@@ -92,6 +96,84 @@ def swept_codes(b: Column, h0: Column, g: np.ndarray, sweeps: int = 10, alpha: f
     return sweep(b, h0)
 
 
+def sketched_codes(bs: Column, h0: Column, gs: np.ndarray, alpha: float = 0.0) -> Column:
+    """Sweeps of which each has sums and a Gram matrix of its own: bs[i] and gs[i]."""
+
+    @F.pandas_udf("array<double>")
+    def sweep(batch: pd.Series, start: pd.Series) -> pd.Series:
+        if batch.empty:
+            return batch
+        target, h = np.stack([np.vstack(r) for r in batch]), np.vstack(start.to_list())
+        for i, g in enumerate(gs):
+            for k in range(len(g)):
+                slope = h @ g[k] - target[:, i, k] + alpha
+                h[:, k] = np.maximum(h[:, k] - slope / ((i + 1) * (g[k, k] + 1.0)), 0.0)
+        return pd.Series(list(h))
+
+    return sweep(bs, h0)
+
+
+def sketch(
+    cells: DataFrame, factors: Sequence[Factor], by: str, ratio: int, sweeps: int = 10, seed: int = 0
+) -> tuple[DataFrame, np.ndarray]:
+    """(by, bs) and Gram matrices, a pair for every sweep, from drawn rows of the dictionary.
+
+    The dictionary's rows are the tuples of indices of `factors`. A sweep draws
+    one in `ratio` of their number, with replacement, index by index from hashes
+    of axis, sweep, draw and seed; a row drawn twice counts twice. Only drawn
+    rows are formed: the cells that lie on them are found by one equi-join, which
+    serves all sweeps.
+    """
+    if ratio < 1:
+        raise ValueError("one row in `ratio` is drawn: it must be 1 at least")
+    rank, axes = factors[0].rank, [f.axis for f in factors]
+    n = max(1, math.prod(f.size for f in factors) // ratio)
+    turn, draw = F.floor(F.col("id") / n), F.col("id") % n
+    drawn = cells.sparkSession.range(sweeps * n).select(
+        turn.cast("int").alias("_turn"),
+        *[(hash_int(F.lit(f.axis), turn, draw, seed) % f.size).cast("int").alias(f.axis) for f in factors],
+    )
+    counts = drawn.groupBy("_turn", *axes).agg(F.count("*").alias("_m"))
+    joined = counts
+    for f in factors:
+        joined = joined.join(f.joinable(f"_{f.axis}"), f.axis)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((sweeps, rank, rank))
+        for batch in batches:
+            m, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_m", "_turn"))
+            product = np.ones((len(m), rank))
+            for axis in axes:
+                product *= batch.column(f"_{axis}").flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)
+            for i in np.unique(at):
+                own = product[at == i]
+                total[i] += (own * m[at == i, None]).T @ own
+        flat = total.reshape(sweeps * rank, rank)
+        columns = [pa.array(flat[:, k]) for k in range(rank)]
+        yield pa.record_batch([pa.array(range(len(flat)), pa.int32()), *columns], names=["i", *(f"g{k}" for k in range(rank))])
+
+    schema = ", ".join(["i int", *(f"g{k} double" for k in range(rank))])
+    sent = joined.select("_turn", "_m", *[f"_{a}" for a in axes]).mapInArrow(work, schema).groupBy("i")
+    found = sent.agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(rank)]).toArrow()
+    gs = np.zeros((sweeps * rank, rank))
+    gs[found.column("i").to_numpy()] = np.column_stack([found.column(f"g{k}").to_numpy() for k in range(rank)])
+    sums = contract(
+        cells.join(counts, axes), factors, [by, "_turn"], rank, value=lambda k: F.col("x") * F.col("_m")
+    ).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_turn", "b"))).alias("_b"))
+    zeros = F.array(*[F.lit(0.0)] * rank)
+    every = F.transform(F.sequence(F.lit(0), F.lit(sweeps - 1)), lambda i: F.coalesce(F.try_element_at("_b", i), zeros))
+    return sums.select(by, every.alias("bs")), gs.reshape(sweeps, rank, rank)
+
+
+def _no_sketch(sweeps: int, rank: int) -> Column:
+    return F.array(*[F.array(*[F.lit(0.0)] * rank)] * sweeps)
+
+
+def with_sketch(table: DataFrame, sums: DataFrame, by: str, sweeps: int, rank: int) -> DataFrame:
+    """`table` with the sums of every sweep beside it, 0 for a row no drawn cell lies in."""
+    return table.join(sums, by, "left").withColumn("bs", F.coalesce("bs", _no_sketch(sweeps, rank)))
+
+
 def swept_codes_coupled(
     table: DataFrame, axis: str, g: np.ndarray, sweeps: int = 10, alpha: float = 0.0,
     radius: float | None = None, least_move: float | None = None,
@@ -100,15 +182,19 @@ def swept_codes_coupled(
 
     A move is at most `radius` long over all rows, and is left out when its
     length is no more than `least_move` times the spectral norm of the codes.
+    With a Gram matrix for every sweep (an array of three axes) the table holds
+    the sums of every sweep in `bs`.
     """
-    rank = len(g)
+    each, rank = g if g.ndim == 3 else None, g.shape[-1]
     u = F.col("u")
     for i in range(sweeps):
+        g = g if each is None else each[i]
+        b = F.col("b") if each is None else F.col("bs")[i]
         size = 0.0
         if least_move is not None:
             size = float(np.sqrt(np.linalg.eigvalsh(gram(table, rank))[-1].clip(0)))
         for k in range(rank):
-            slope = times(u, g, k) - F.col("b")[k] + alpha
+            slope = times(u, g, k) - b[k] + alpha
             length = table.agg(F.sqrt(F.sum(slope * slope))).first()[0] or 0.0
             step = 1.0 / ((i + 1) * (g[k, k] + 1.0))
             if radius is not None:
@@ -150,18 +236,26 @@ def sparse_code_transform(cells: DataFrame, dictionary: Factor, alpha: float = 1
 
 def cp_codes(
     cells: DataFrame, factors: list[Factor], by: str, rows: DataFrame, alpha: float = 0.0,
-    sweeps: int = 10, seed: int = 0, least_move: float | None = None,
+    sweeps: int = 10, seed: int = 0, least_move: float | None = None, subsample_ratio: int | None = None,
 ) -> DataFrame:
     """(by, h): codes against a CP dictionary, which is given by its factors.
 
     `rows(by)` lists all rows to be coded; each starts from a hashed random
     code. `least_move` turns on the rule that leaves out small moves, which
-    looks at all rows together.
+    looks at all rows together. With `subsample_ratio` every sweep sees one in so
+    many rows of the dictionary, drawn anew.
     """
     rank = factors[0].rank
-    sums = contract(cells, factors, [by], rank)
     zeros = F.array(*[F.lit(0.0)] * rank)
     start = vector(rank, lambda k: hash_uniform(F.lit("code"), by, k, seed))
+    if subsample_ratio is not None:
+        sums, gs = sketch(cells, factors, by, subsample_ratio, sweeps, seed)
+        table = with_sketch(rows.select(by, start.alias("u")), sums, by, sweeps, rank)
+        if least_move is None:
+            return table.select(by, sketched_codes(F.col("bs"), F.col("u"), gs, alpha).alias("h"))
+        swept = swept_codes_coupled(table, by, gs, sweeps, alpha, least_move=least_move)
+        return swept.select(by, F.col("u").alias("h"))
+    sums = contract(cells, factors, [by], rank)
     table = rows.select(by).join(sums, by, "left").select(
         by, start.alias("u"), F.coalesce("b", zeros).alias("b")
     )

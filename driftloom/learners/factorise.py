@@ -15,7 +15,7 @@ from driftloom.learners.algebra import (
     EPSILON, Factor, axis_index, contract, from_array, gram, gram_product, init_factor, kept, multiply_update, times,
     vector, with_sums,
 )
-from driftloom.learners.coding import sweep_array, swept_codes, swept_codes_coupled
+from driftloom.learners.coding import sketch, sketched_codes, sweep_array, swept_codes, swept_codes_coupled, with_sketch
 from driftloom.learners.passes import Rows, Rule, Sums, cell_sums, dense
 from driftloom.session import settle
 
@@ -135,16 +135,22 @@ def cp_mu(
 def cp_als(
     cells: DataFrame, factors: dict[str, Factor], iterations: int = 100, beta: float | None = None,
     radius_const: float = 1000.0, sweeps: int = 10, least_move: float | None = None, with_trace: bool = False,
+    subsample_ratio: int | None = None, seed: int = 0,
 ) -> Fit:
     """Alternating least squares by projected gradient sweeps.
 
     With `beta` a step stays within radius_const * (step+1)^-beta / ln(step+2)
-    of the factor it starts from.
+    of the factor it starts from. With `subsample_ratio` every sweep sees one in
+    so many rows of the other factors' product, drawn anew by `seed`.
     """
+    if subsample_ratio is not None:
+        return _sketched_als(
+            cells, factors, iterations, beta, radius_const, sweeps, least_move, with_trace, subsample_ratio, seed
+        )
 
     def update(factor: Factor, sums: DataFrame, g: np.ndarray, step: int) -> Factor:
         table = with_sums(factor, sums)
-        radius = None if beta is None else radius_const * (step + 1.0) ** -beta / np.log(step + 2.0)
+        radius = _radius(beta, radius_const, step)
         if radius is None and least_move is None:
             new = swept_codes(F.col("b"), F.col("u"), g, sweeps)
             return factor.using(settle(table.select(factor.axis, new.alias("u"))))
@@ -158,6 +164,32 @@ def cp_als(
     return _sweeps(cells, factors, list(factors), iterations, update, with_trace, rule if rowwise else None)
 
 
+def _radius(beta: float | None, radius_const: float, step: int) -> float | None:
+    return None if beta is None else radius_const * (step + 1.0) ** -beta / np.log(step + 2.0)
+
+
+def _sketched_als(cells, factors, iterations, beta, radius_const, sweeps, least_move, with_trace, ratio, seed) -> Fit:
+    factors = dict(factors)
+    fit, spent = Fit(factors), 0.0
+    with kept(cells) as cells:
+        for step in range(iterations):
+            start = time.perf_counter()
+            for place, axis in enumerate(list(factors)):
+                factor, others = factors[axis], _others(factors, axis)
+                sums, gs = sketch(cells, others, axis, ratio, sweeps, seed + step * len(factors) + place)
+                table = with_sketch(factor.table.select(axis, "u"), sums, axis, sweeps, factor.rank)
+                radius = _radius(beta, radius_const, step)
+                if radius is None and least_move is None:
+                    table = table.select(axis, sketched_codes(F.col("bs"), F.col("u"), gs).alias("u"))
+                else:
+                    table = swept_codes_coupled(table, axis, gs, sweeps, radius=radius, least_move=least_move).select(axis, "u")
+                factors[axis] = factor.using(settle(table))
+            spent += time.perf_counter() - start
+            if with_trace:
+                fit.trace.append((step, spent, reconstruction_error(cells, factors)[0]))
+    return fit
+
+
 def nmf_batch(
     cells: DataFrame, terms: Factor, documents: Factor, iterations: int = 200, with_trace: bool = False
 ) -> Fit:

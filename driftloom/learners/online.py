@@ -216,18 +216,19 @@ def ocpd_update_factors(
 def ocpd_step(
     batch: DataFrame, rows: DataFrame, state: CPState, t: int, by: str, beta: float | None = None,
     alpha: float = 0.0, radius_const: float = 10_000.0, sub_iter: int = 1, sweeps: int = 10,
-    seed: int = 0, least_move: float | None = None,
+    seed: int = 0, least_move: float | None = None, subsample_ratio: int | None = None,
 ) -> tuple[DataFrame, CPState]:
     """One step on `batch(axes, by, x)`, whose items are listed in `rows(by)`.
 
     Codes, then A and B with weight t^-beta, then the factors from the new A and
     B within a radius that falls with t. Without beta the weight is 1/t and the
-    radius does not fall by beta.
+    radius does not fall by beta. With `subsample_ratio` codes come from drawn rows
+    of the dictionary; A, B and the factors see all cells of the batch.
     """
     rank = state.rank
     factors = list(state.factors.values())
     axes = list(state.factors)
-    codes = settle(cp_codes(batch, factors, by, rows, alpha, sweeps, seed + t, least_move))
+    codes = settle(cp_codes(batch, factors, by, rows, alpha, sweeps, seed + t, least_move, subsample_ratio))
     weight = float(t) ** -(1.0 if beta is None else beta)
     a = (1.0 - weight) * state.a + weight * gram(codes, rank, "h")
     joined = batch.join(codes, by)
@@ -243,7 +244,7 @@ def ocpd_train(
     cells: DataFrame, factors: dict[str, Factor], batch_axis: str, n_items: int, iterations: int = 500,
     batch_size: int | None = 20, beta: float | None = None, alpha: float = 0.0, seed: int = 0,
     sub_iter: int = 1, sweeps: int = 10, radius_const: float = 10_000.0, state: CPState | None = None,
-    with_trace: bool = False,
+    with_trace: bool = False, subsample_ratio: int | None = None,
 ) -> CPState:
     """iterations - 1 steps over the items of `batch_axis`.
 
@@ -273,7 +274,8 @@ def ocpd_train(
             items = drawn.where(F.col("iter") == i).select("draw", batch_axis)
             rows = items.select("draw")
         codes, state = ocpd_step(
-            batch, rows, state, start + i, "draw", beta, alpha, radius_const, sub_iter, sweeps, seed
+            batch, rows, state, start + i, "draw", beta, alpha, radius_const, sub_iter, sweeps, seed,
+            subsample_ratio=subsample_ratio,
         )
         # An item drawn twice in a batch is added once: its last draw counts.
         last = items.groupBy(batch_axis).agg(F.max("draw").alias("draw"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from driftloom.operators.pool import sweep  # noqa: F401 (a grid's jobs)
+
 
 def join_term_lookup(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Replace term ids by terms."""
@@ -31,16 +32,6 @@ def param_grid(spark: SparkSession, **choices: Sequence) -> DataFrame:
     return grid.drop("id")
 
 
-def sweep(spark: SparkSession, job, **choices: Sequence) -> DataFrame:
-    """Union of `job(**params)` over the grid, parameters kept as columns."""
-    runs = []
-    for row in param_grid(spark, **choices).collect():
-        params = row.asDict()
-        out = job(**params)
-        runs.append(out.select(*[F.lit(v).alias(k) for k, v in params.items()], *out.columns))
-    return reduce(DataFrame.unionByName, runs)
-
-
 def zip_by_position(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
     """Pair two tables by an explicit index column."""
     return left.join(right, index)

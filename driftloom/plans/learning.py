@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftloom.learners import coding, factorise, lda, online
+from driftloom.learners import coding, factorise, lda, online, trials
 from driftloom.learners.algebra import MODEL_CELLS, Factor, gram, init_factor, kept, update_columns
-from driftloom.operators import tensor, topics
+from driftloom.operators import series, tensor, topics
 from driftloom.operators.joins import join_term_lookup
 from driftloom.operators.numbering import number_rows
 from driftloom.operators.vocabulary import document_terms
@@ -260,6 +260,61 @@ def error_trace(spark, folder):
     return fit.trace_table("cp_mu").select("method", "trial", "iter", F.round("error", 6).alias("error"))
 
 
+RUNS = [dict(method="mu"), dict(method="als", sweeps=2)]
+TRIALS = 2
+
+
+def _trials_sql() -> str:
+    """Two steps of both methods from two starts: tables run(method, run, trial, iter, error)."""
+    steps, rows = [TENSOR], []
+    for trial in range(TRIALS):
+        start = {a: f"u{trial}_{a}" for a in FACTORS}
+        ids = {"t": SLICE_IDS, "v": VOCAB_IDS, "d": PLACE_IDS}
+        steps += [sql.start(start[a], a, ids[a], SEED + trial) for a in FACTORS]
+        for run, method in enumerate(("mu", "als")):
+            current = dict(start)
+            for i in range(2):
+                for axis in FACTORS:
+                    tag = f"{method}{trial}{i}{axis}"
+                    others = _others(current, axis)
+                    steps += [sql.sums(f"b_{tag}", "tensor", axis, others), sql.gram(f"g_{tag}", list(others.values()))]
+                    if method == "mu":
+                        steps.append(sql.multiply(f"f_{tag}", current[axis], f"b_{tag}", f"g_{tag}"))
+                    else:
+                        steps += sql.swept(f"f_{tag}", current[axis], f"b_{tag}", f"g_{tag}", 2)
+                    current[axis] = f"f_{tag}"
+                steps += _error_tables(f"e_{method}{trial}{i}", current)
+                rows.append(f"SELECT '{method}' AS method, {run} AS run, {trial} AS trial, {i} AS iter, error FROM e_{method}{trial}{i}")
+    return steps, " UNION ALL ".join(rows)
+
+
+TRIAL_STEPS, TRIAL_ROWS = _trials_sql()
+
+
+def _trials(spark, folder):
+    data = corpus(spark, folder)
+    return trials.learner_trials(cells(data), dims(data), RUNS, TRIALS, SEED)
+
+
+@query("learner_trials", with_corpus(
+    f"SELECT method, run, trial, iter, round(error, 6) AS error FROM ({TRIAL_ROWS})", *TRIAL_STEPS))
+def learner_trials(spark, folder):
+    """Error traces of two methods from two starts, learned side by side; the times are left out."""
+    return _trials(spark, folder).select("method", "run", "trial", "iter", F.round("error", 6).alias("error"))
+
+
+@query("learner_trials_band", with_corpus(
+    """SELECT method, g::INT AS grid, round(avg(y), 6) AS mean_error, round(stddev_pop(y), 6) AS std_error FROM
+    (SELECT method, trial, g, min_by(error, iter) + (g / 4.0::DOUBLE) * (max_by(error, iter) - min_by(error, iter)) AS y
+      FROM traces, range(4) r(g) GROUP BY method, trial, g) GROUP BY method, g""",
+    *TRIAL_STEPS, f"traces AS ({TRIAL_ROWS})"))
+def learner_trials_band(spark, folder):
+    """Mean error and its deviation over the trials of each method, at five even points of two steps."""
+    traces = _trials(spark, folder).withColumn("elapsed", F.col("iter").cast("double"))
+    band = series.error_band(series.resample_trace(traces, 5))
+    return band.select("method", "grid", F.round("mean_error", 6).alias("mean_error"), F.round("std_error", 6).alias("std_error"))
+
+
 @query("nndsvd_init")
 def nndsvd_init(spark, folder):
     _, entries, terms, documents = _start(spark, folder, 3)
@@ -423,6 +478,37 @@ def ocpd_code(spark, folder):
     return _long(codes, "d", value="h", column="h")
 
 
+SIZES = {"t": "SELECT max(t) + 1 FROM slices", "v": "SELECT count(*) FROM vocab", "d": "SELECT max(d) + 1 FROM slices"}
+
+
+@query("ocpd_code_sketched", with_corpus(
+    sql.long("h", "d", "h"), TENSOR, UT, UV, sql.start("c0", "code", PLACE_IDS, SEED),
+    *sql.sketched("h", "c0", "tensor", "d", CP_FACTORS, {a: SIZES[a] for a in "tv"}, 50, 3, SEED)))
+def ocpd_code_sketched(spark, folder):
+    """Codes of which every sweep sees one in fifty rows of the dictionary."""
+    _, tensor_cells, factors = _tensor(spark, folder)
+    rows = factors["d"].table.select("d")
+    two = list(_two_modes(factors).values())
+    codes = coding.cp_codes(tensor_cells, two, "d", rows, sweeps=3, seed=SEED, subsample_ratio=50)
+    return _long(codes, "d", value="h", column="h")
+
+
+def _sketched_als_sql() -> str:
+    current, steps = dict(FACTORS), []
+    for place, axis in enumerate(FACTORS):
+        others = _others(current, axis)
+        steps += sql.sketched(f"f_{axis}", current[axis], "tensor", axis, others, {a: SIZES[a] for a in others}, 20, 2, SEED + place)
+        current[axis] = f"f_{axis}"
+    return with_corpus(_part_sql(**current), TENSOR, UT, UV, UD, *steps)
+
+
+@query("cp_als_sketched", _sketched_als_sql())
+def cp_als_sketched(spark, folder):
+    _, tensor_cells, factors = _tensor(spark, folder)
+    fit = factorise.cp_als(tensor_cells, factors, 1, sweeps=2, subsample_ratio=20, seed=SEED)
+    return _mode_table(fit.factors)
+
+
 CODED = [
     TENSOR, UT, UV, UD, sql.gram("a", ["u_d"]),
     "b AS (SELECT t, v, sum(x * u0) AS b0, sum(x * u1) AS b1 FROM tensor JOIN u_d ON idx = d GROUP BY t, v)",

@@ -3,7 +3,7 @@ expressions. A factor is a table (idx, u0, u1); sums are (idx, b0, b1)."""
 
 from __future__ import annotations
 
-from driftloom.plans.oracle import uniform
+from driftloom.plans.oracle import hashed, uniform
 
 RANK = 2
 K = range(RANK)
@@ -67,6 +67,39 @@ def swept(name: str, begin: str, b: str, g: str, sweeps: int, alpha: float = 0.0
     return out
 
 
+def sketched(
+    name: str, begin: str, cells: str, by: str, factors: dict[str, str], sizes: dict[str, str], ratio: int, sweeps: int, seed: int
+) -> list[str]:
+    """Sweeps from the codes `begin`, each on drawn rows of the factors' product; `sizes` are the axes' sizes as SQL."""
+    n = f"greatest(1, ({' * '.join(f'({s})::BIGINT' for s in sizes.values())}) // {ratio})"
+    picks = ", ".join(f"({hashed(repr(a), 'i', 'j', seed)} % ({s}))::INT AS {a}" for a, s in sizes.items())
+    axes = ", ".join(factors)
+    joins = " ".join(f"JOIN {f} ON {f}.idx = c.{a}" for a, f in factors.items())
+    product = [" * ".join(f"{f}.u{k}" for f in factors.values()) for k in K]
+    out = [
+        f"""{name}_m AS MATERIALIZED (SELECT i, {axes}, count(*) AS m FROM
+            (SELECT i, {picks} FROM range({sweeps}) a(i), (SELECT unnest(range({n})) AS j) b) GROUP BY ALL)""",
+        f"{name}_p AS MATERIALIZED (SELECT c.i, m, {', '.join(f'{p} AS p{k}' for k, p in zip(K, product))} FROM {name}_m c {joins})",
+        f"""{name}_b AS MATERIALIZED (SELECT c.{by} AS idx, i, {', '.join(f'sum(x * m * {p}) AS b{k}' for k, p in zip(K, product))}
+            FROM {cells} c JOIN {name}_m USING ({axes}) {joins} GROUP BY ALL)""",
+    ]
+    last = begin
+    for i in range(sweeps):
+        entries = ", ".join(f"coalesce(sum(m * p{a} * p{b}), 0) AS g{a}{b}" for a in K for b in K)
+        out.append(f"{name}_g{i} AS MATERIALIZED (SELECT {entries} FROM {name}_p WHERE i = {i})")
+        out.append(f"""{name}_s{i} AS MATERIALIZED (SELECT idx, u0, u1, coalesce(b0, 0) AS b0, coalesce(b1, 0) AS b1
+            FROM {last} LEFT JOIN (SELECT * EXCLUDE (i) FROM {name}_b WHERE i = {i}) USING (idx))""")
+        last = f"{name}_s{i}"
+        for k in K:
+            move = f"greatest(u{k} - (u0 * g0{k} + u1 * g1{k} - b{k}) / ({i + 1} * (g{k}{k} + 1)), 0)"
+            out.append(f"{name}_s{i}_{k} AS MATERIALIZED (SELECT idx, {move} AS u{k}, u{1 - k}, b0, b1 FROM {last}, {name}_g{i})")
+            last = f"{name}_s{i}_{k}"
+        out.append(f"{name}_h{i} AS (SELECT idx, u0, u1 FROM {last})")
+        last = f"{name}_h{i}"
+    out.append(f"{name} AS (SELECT idx, u0, u1 FROM {last})")
+    return out
+
+
 def columns(name: str, factor: str, b: str, a: str, radius: float | None = None) -> list[str]:
     """Column after column: step, clip, length at most 1."""
     out = [f"{name}_c AS (SELECT idx, u0, u1, coalesce(b0, 0) AS b0, coalesce(b1, 0) AS b1 FROM {factor} LEFT JOIN {b} USING (idx))"]

@@ -18,6 +18,8 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         # Running counts keep one entry per term: more than a heap may hold.
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # Trials that run side by side share the executors.
+        "spark.scheduler.mode": "FAIR",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

@@ -1,11 +1,14 @@
+import threading
+import time
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.learners import algebra, coding, factorise, lda, online, passes
+from driftloom.learners import algebra, coding, factorise, lda, online, passes, trials
 from driftloom.learners.algebra import Factor
+from driftloom.operators import pool
 from driftloom.operators.tensor import unfold_mode
 
 
@@ -291,3 +294,121 @@ def test_held_factors_count_from_zero(spark):
     rows = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "v int, u array<double>")
     with pytest.raises(ValueError, match="0 … 1"):
         passes.dense(Factor(rows, "v", 2, 1))
+
+
+# -- sketches -----------------------------------------------------------------
+
+
+def test_a_sketch_estimates_gram_and_products(spark):
+    random = np.random.default_rng(8)
+    t, v, x = random.random((6, 3)), random.random((40, 3)), random.random((6, 40, 5))
+    cells, factors = cells3(spark, x), [table(spark, "t", t), table(spark, "v", v)]
+    product = np.einsum("ir,jr->ijr", t, v).reshape(-1, 3)
+    sums, gs = coding.sketch(cells, factors, "d", 4, sweeps=300, seed=1)
+    assert gs.shape == (300, 3, 3)
+    # One row in four: a quarter of the whole on average, and never the same draw.
+    assert np.allclose(4 * gs.mean(axis=0), product.T @ product, rtol=0.05)
+    assert len({g.tobytes() for g in gs}) == 300
+    bs = {r.d: np.array(r.bs).mean(axis=0) for r in sums.collect()}
+    whole = x.transpose(2, 0, 1).reshape(5, -1) @ product
+    assert all(np.allclose(4 * bs[d], whole[d], rtol=0.05) for d in range(5))
+
+
+def test_the_error_of_codes_falls_with_the_ratio(spark):
+    dense, (t, v, d) = planted((8, 60, 12), 3, seed=9)
+    cells, factors = cells3(spark, dense), [table(spark, "t", t), table(spark, "v", v)]
+    rows = spark.range(12).select(F.col("id").cast("int").alias("d"))
+    product = np.einsum("ir,jr->ijr", t, v).reshape(-1, 3)
+    x = dense.transpose(2, 0, 1).reshape(12, -1)
+
+    def error(ratio):
+        found = []
+        for seed in range(4):
+            h = array(coding.cp_codes(cells, factors, "d", rows, sweeps=30, seed=seed, subsample_ratio=ratio), "d", "h")
+            found.append(np.linalg.norm(x - h @ product.T) / np.linalg.norm(x))
+        return np.mean(found)
+
+    errors = [error(r) for r in (120, 12, None)]
+    assert errors[0] > errors[1] > errors[2]
+
+
+def test_sketched_training_lowers_the_error(spark):
+    dense, _ = planted((5, 20, 9), 2, seed=3)
+    cells = cells3(spark, dense)
+    start = {a: f for a, f in factorise.init_factors(spark, {"t": 5, "v": 20, "d": 9}, 2, 1).items()}
+    before = factorise.reconstruction_error(cells, start)[1]
+    fit = factorise.cp_als(cells, start, 6, subsample_ratio=2, with_trace=True, seed=5)
+    after = factorise.reconstruction_error(cells, fit.factors)[1]
+    assert after < 0.5 * before and len(fit.trace) == 6
+    far = factorise.cp_als(cells, start, 1, subsample_ratio=2, beta=1.0, radius_const=1e-6, seed=5)
+    assert np.allclose(array(far.factors["t"].table, "t"), array(start["t"].table, "t"), atol=1e-4)
+    two = {a: start[a] for a in ("t", "v")}
+    state = online.ocpd_train(cells, two, "d", 9, 6, 5, 0.7, subsample_ratio=3, seed=2)
+    assert all(np.isfinite(array(f.table, a)).all() for a, f in state.factors.items())
+
+
+def test_a_sketch_needs_a_ratio_of_one_or_more(spark):
+    with pytest.raises(ValueError, match="ratio"):
+        coding.sketch(None, [], "d", 0)
+
+
+# -- trials -------------------------------------------------------------------
+
+
+def test_trials_do_not_depend_on_the_pool(spark):
+    dense, _ = planted((4, 9, 7), 2, seed=6)
+    cells, dims = cells3(spark, dense), {"t": 4, "v": 9, "d": 7}
+    runs = (
+        [dict(method="mu", rank=r) for r in (1, 2)]
+        + [dict(method="als", beta=b, sweeps=2) for b in (None, 0.5)]
+        + pool.grid(method=["online"], alpha=[0.0, 0.1], beta=[0.5, 1.0], batch_size=[3])
+    )
+    assert len(runs) == 8 and runs[5] == dict(method="online", alpha=0.0, beta=1.0, batch_size=3)
+    key = ["run", "trial", "iter"]
+    found = []
+    for workers, order in ((1, runs), (5, runs)):
+        rows = trials.learner_trials(cells, dims, order, 2, 3, workers).orderBy(*key).collect()
+        found.append([(r.method, r.run, r.trial, r.iter, round(r.error, 9)) for r in rows])
+        assert len(rows) == 8 * 2 * 2 and all(r.elapsed > 0 for r in rows)
+    assert found[0] == found[1]
+    # The order of the runs changes their numbers only.
+    back = trials.learner_trials(cells, dims, runs[::-1], 2, 3, 3).collect()
+    turned = sorted((7 - r.run, r.trial, r.iter, r.method, round(r.error, 9)) for r in back)
+    assert turned == sorted((run, trial, i, m, e) for m, run, trial, i, e in found[0])
+
+
+def test_jobs_run_side_by_side_and_in_order(spark):
+    barrier = threading.Barrier(3, timeout=60)
+
+    def job(k):
+        def run():
+            n = spark.range(10 + k).count()
+            barrier.wait()
+            return n, spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        return run
+
+    found = pool.run_all(spark, [job(k) for k in range(6)], 3)
+    assert [n for n, _ in found] == [10, 11, 12, 13, 14, 15] and {p for _, p in found} == {"trial-0", "trial-1", "trial-2"}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_a_failed_trial_stops_the_others(spark):
+    begun = []
+
+    def slow(k):
+        def run():
+            begun.append(k)
+            return spark.range(2).select(F.expr("java_method('java.lang.Thread', 'sleep', 60000L)")).count() if k else 1 / 0
+        return run
+
+    start = time.monotonic()
+    with pytest.raises(ZeroDivisionError):
+        pool.run_all(spark, [slow(k) for k in range(6)], 2)
+    assert time.monotonic() - start < 50 and len(begun) <= 3
+
+
+def test_a_sweep_keeps_its_parameters(spark):
+    out = pool.sweep(spark, lambda a, b: spark.range(a).select((F.col("id") + b).alias("n")), 2, a=[1, 2], b=[10, 20])
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, 10, 10), (1, 20, 20), (2, 10, 10), (2, 10, 11), (2, 20, 20), (2, 20, 21),
+    ]
