@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftloom.learners import coding, factorise, lda, online, trials
 from driftloom.learners.algebra import MODEL_CELLS, Factor, gram, init_factor, kept, update_columns
 from driftloom.operators import series, tensor, topics
 from driftloom.operators.joins import join_term_lookup
 from driftloom.operators.numbering import number_rows
-from driftloom.operators.vocabulary import document_terms
+from driftloom.operators.vocabulary import document_terms, log2_tfidf
 from driftloom.plans import unrolled as sql
 from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, slices
 from driftloom.plans.oracle import with_corpus
@@ -395,8 +397,8 @@ def _round_robin(spark, folder, data: Corpus | None = None):
     return data, entries, sizes
 
 
-def _train_sql(first: bool = True) -> str:
-    """With `first` also the starting dictionary, both labelled by version."""
+def _onmf_steps() -> tuple[list[str], str]:
+    """(tables of all steps of all slices, name of the last dictionary)."""
     steps, w, a, b = [sql.zero_gram("a0")], "w0", "a0", None
     for j in range(N_SLICES):
         population = f"SELECT count(*) FROM numbered WHERE n % {N_SLICES} = {j}"
@@ -407,6 +409,12 @@ def _train_sql(first: bool = True) -> str:
                 JOIN numbered ON n = pos * {N_SLICES} + {j} JOIN tfidf USING (doc_id) WHERE iter = {i})""")
             steps += sql.matrix_step(tag, f"{tag}_x", w, a, b, i + j * (STEPS_PER_SLICE + 1), 0.7, 1.0)
             w, a, b = f"{tag}_w", f"{tag}_a", f"{tag}_b"
+    return steps, w
+
+
+def _train_sql(first: bool = True) -> str:
+    """With `first` also the starting dictionary, both labelled by version."""
+    steps, w = _onmf_steps()
     if not first:
         return with_corpus(sql.long(w, "term_id"), NUMBERED, W0, *steps, upto="tfidf")
     last = sql.long(w, "term_id", version=f"{N_SLICES}")
@@ -590,7 +598,8 @@ def ocpd_step(spark, folder):
     return _mode_table(state.factors)
 
 
-def _ocpd_train_sql() -> str:
+def _ocpd_steps() -> tuple[list[str], dict[str, str]]:
+    """(tables of two steps on drawn documents, names of the last factors)."""
     steps, current, a, b = [draws_sql(2, 8, "SELECT max(d) + 1 FROM slices")], dict(CP_FACTORS), None, None
     for i in (1, 2):
         steps.append(f"x{i} AS MATERIALIZED (SELECT draw, t, v, x FROM draws JOIN tensor ON d = pos WHERE iter = {i})")
@@ -599,6 +608,11 @@ def _ocpd_train_sql() -> str:
             f"s{i}", f"x{i}", f"SELECT draw AS idx FROM draws WHERE iter = {i}", current, a, b, i, 0.7, radius, 10, SEED)
         steps += more
         a, b = f"s{i}_a", f"s{i}_b"
+    return steps, current
+
+
+def _ocpd_train_sql() -> str:
+    steps, current = _ocpd_steps()
     codes = """codes AS (SELECT pos AS idx, sum(u0) AS u0, sum(u1) AS u1 FROM
         (SELECT iter, pos, max(draw) AS draw FROM draws GROUP BY iter, pos) JOIN
         (SELECT 1 AS iter, * FROM s1_h UNION ALL SELECT 2, * FROM s2_h) h ON h.iter = draws_iter AND h.idx = draw GROUP BY pos)"""
@@ -606,14 +620,16 @@ def _ocpd_train_sql() -> str:
     return with_corpus(_part_sql(**current, code="codes"), TENSOR, UT, UV, *steps, codes)
 
 
+def fit_ocpd(spark, folder, data: Corpus | None = None) -> online.CPState:
+    _, tensor_cells, factors = _tensor(spark, folder, data=data)
+    with kept(tensor_cells) as tensor_cells:
+        return online.ocpd_train(tensor_cells, _two_modes(factors), "d", factors["d"].size, 3, 8, 0.7, seed=SEED)
+
+
 @query("ocpd_train", _ocpd_train_sql())
 def ocpd_train(spark, folder):
     """Two steps on drawn documents: the factors and the codes they received."""
-    _, tensor_cells, factors = _tensor(spark, folder)
-    with kept(tensor_cells) as tensor_cells:
-        state = online.ocpd_train(
-            tensor_cells, _two_modes(factors), "d", factors["d"].size, 3, 8, 0.7, seed=SEED
-        )
+    state = fit_ocpd(spark, folder)
     codes = online.accumulated_codes(state, "d").withColumnRenamed("h", "u")
     return _mode_table(state.factors).unionByName(_two_part({"code": (codes, "d")}))
 
@@ -726,75 +742,139 @@ def fit_lda(spark, folder, n_topics: int = 4, passes: int = 5, data: Corpus | No
     return data, vectors, lda.lda_topics(vectors, n_topics, passes, SEED)
 
 
-# SQL cannot fit the model. The queries below fit it on all documents and return
-# what must hold of it, keyed by what SQL can list.
-
-
-def _known_keywords(weights, data, n):
-    """(topic, rank, known, falling) of the n strongest terms."""
-    named = topics.topic_keywords(join_term_lookup(weights, data.vocabulary), n)
-    before = F.lag("w").over(Window.partitionBy("topic").orderBy("rank"))
-    return named.select(
-        F.col("topic").cast("int").alias("topic"), F.col("rank").cast("int").alias("rank"),
-        F.col("term").isNotNull().alias("known"), F.coalesce(before >= F.col("w"), F.lit(True)).alias("falling"),
-    )
+# SQL cannot fit the model: these have no oracle, tests hold what must be true of them.
 
 
-@query("lda_topics", """SELECT t::INT AS topic, r::INT AS rank, true AS known, true AS falling
-    FROM range(4) a(t), range(1, 11) b(r)""")
+@query("lda_topics")
 def lda_topics(spark, folder):
+    """The ten strongest terms of each topic."""
     data, vectors, model = fit_lda(spark, folder)
     vectors.unpersist()
-    return _known_keywords(lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w"), data, 10)
+    weights = lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w")
+    top = topics.topic_keywords(join_term_lookup(weights, data.vocabulary).select("topic", "term", "w"), 10)
+    return top.withColumn("w", F.round("w", 6))
+
+
+@query("lda_topics_weighted")
+def lda_topics_weighted(spark, folder):
+    """The same for a model of n * log2(N / df) weights of length 1, instead of counts."""
+    data = corpus(spark, folder)
+    if data.n_terms > MODEL_CELLS:
+        raise ValueError(f"over {MODEL_CELLS} terms: choose a vocabulary with max_features")
+    weights = log2_tfidf(data.counts, data.vocabulary, data.n_docs).select("doc_id", "term_id", "x")
+    vectors = lda.weight_vectors(weights, data.n_terms).persist()
+    model = lda.lda_topics(vectors, 4, 5, SEED)
+    vectors.unpersist()
+    found = lda.lda_topic_terms(spark, model).withColumnRenamed("p", "w")
+    top = topics.topic_keywords(join_term_lookup(found, data.vocabulary).select("topic", "term", "w"), 10)
+    return top.withColumn("w", F.round("w", 6))
 
 
-@query("lda_doc_topics", with_corpus("""SELECT doc_id, 4::BIGINT AS n_topics,
-    CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1 ELSE 0 END::DOUBLE AS total, true AS nonnegative FROM docs""", upto="tfidf"))
+@query("lda_doc_topics")
 def lda_doc_topics(spark, folder):
-    """A document without any known term has no topics."""
+    """Every document's share of every topic. A document without any known term has no topics."""
     _, vectors, model = fit_lda(spark, folder)
-    shares = store.load_table(spark, store.save_tables(lda.lda_doc_topics(model, vectors), scratch_path(spark, "shares"), []),
-                              "doc_id bigint, topic int, p double")
+    path = store.save_tables(lda.lda_doc_topics(model, vectors), scratch_path(spark, "shares"), [])
     vectors.unpersist()
-    return shares.groupBy("doc_id").agg(
-        F.count("*").alias("n_topics"), F.round(F.sum("p"), 6).alias("total"), (F.min("p") >= 0).alias("nonnegative")
-    )
+    return store.load_table(spark, path, "doc_id bigint, topic int, p double").withColumn("p", F.round("p", 6))
 
 
-@query("lda_topic_terms", with_corpus("""SELECT t::INT AS topic, term_id, true AS nonnegative, 1.0::DOUBLE AS total
-    FROM vocab, range(4) a(t)""", upto="vocab"))
+@query("lda_topic_terms")
 def lda_topic_terms(spark, folder):
+    """Every topic's distribution over the terms."""
     _, vectors, model = fit_lda(spark, folder)
     vectors.unpersist()
-    total = F.round(F.sum("p").over(Window.partitionBy("topic")), 6)
-    return lda.lda_topic_terms(spark, model).select(
-        F.col("topic").cast("int").alias("topic"), "term_id", (F.col("p") >= 0).alias("nonnegative"), total.alias("total")
+    return lda.lda_topic_terms(spark, model).select(F.col("topic").cast("int").alias("topic"), "term_id", "p")
+
+
+# Keywords and prevalence of several learners over one corpus, in one table:
+# (part, method, slice, topic, rank, term, value).
+KEYWORDS = 5
+
+
+def _keyword_rows(method: str, weights: DataFrame, data: Corpus) -> DataFrame:
+    named = join_term_lookup(weights.withColumn("w", F.round("w", 6)), data.vocabulary).select("topic", "term", "w")
+    return topics.topic_keywords(named, KEYWORDS).select(
+        F.lit("keyword").alias("part"), F.lit(method).alias("method"), F.lit(None).cast("int").alias("slice"),
+        F.col("topic").cast("int").alias("topic"), F.col("rank").cast("int").alias("rank"), "term", F.col("w").alias("value"),
+    )
+
+
+def _prevalence_rows(method: str, shares: DataFrame) -> DataFrame:
+    return shares.select(
+        F.lit("prevalence").alias("part"), F.lit(method).alias("method"), F.col("slice").cast("int").alias("slice"),
+        F.col("topic").cast("int").alias("topic"), F.lit(None).cast("int").alias("rank"),
+        F.lit(None).cast("string").alias("term"), F.round("share", 6).alias("value"),
     )
 
 
-@query("method_comparison", """SELECT m AS method, t::INT AS topic, r::INT AS rank, true AS known, true AS falling
-    FROM (SELECT unnest(['nmf', 'onmf', 'ncpd', 'lda']) AS m), range(3) a(t), range(1, 6) b(r)""")
+def _from_codes(codes: DataFrame, data: Corpus) -> DataFrame:
+    """(slice, topic, share) of document codes (doc_id, topic, h)."""
+    places = slices(data).select("doc_id", F.col("t").alias("slice"))
+    per_slice = places.groupBy("slice").agg(F.count("*").alias("n_docs"))
+    shares = topics.topic_prevalence(codes.join(places, "doc_id"), per_slice)
+    return shares.select("slice", "topic", F.col("prevalence").alias("share"))
+
+
+def _from_time(factor: Factor) -> DataFrame:
+    """(slice, topic, share) of a time factor."""
+    return topics.normalize_rows(factor.table, "t").withColumnRenamed("t", "slice")
+
+
+def _compared(spark, folder, data: Corpus) -> DataFrame:
+    """Rows of the four learners whose steps do not depend on how the data are split."""
+    _, nmf = fit_nmf(spark, folder, data=data)
+    _, onmf, _ = fit_onmf(spark, folder, data=data)
+    _, tensor_cells, factors = _tensor(spark, folder, data=data)
+    cp = factorise.cp_mu(tensor_cells, factors, 2).factors
+    ocpd = fit_ocpd(spark, folder, data).factors
+    entries = data.weights.select("doc_id", "term_id", "x")
+    coded = coding.nmf_transform(entries, onmf.terms)
+    of_terms = lambda f: topics.weights_long(f.table.withColumnRenamed("v", "term_id"), "term_id")
+    tables = [
+        _keyword_rows("nmf", of_terms(nmf.factors["term_id"]), data),
+        _prevalence_rows("nmf", _from_codes(topics.weights_long(nmf.factors["doc_id"].table, "doc_id", "h"), data)),
+        _keyword_rows("onmf", of_terms(onmf.terms), data),
+        _prevalence_rows("onmf", _from_codes(topics.weights_long(coded.withColumnRenamed("h", "u"), "doc_id", "h"), data)),
+        _keyword_rows("ncpd", of_terms(cp["v"]), data), _prevalence_rows("ncpd", _from_time(cp["t"])),
+        _keyword_rows("ocpd", of_terms(ocpd["v"]), data), _prevalence_rows("ocpd", _from_time(ocpd["t"])),
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _comparison_sql() -> str:
+    nmf, w, h = _nmf_steps()
+    onmf, dictionary = _onmf_steps()
+    ocpd, factors = _ocpd_steps()
+    mu = MU_HISTORY[-1]
+    terms = {"nmf": w, "onmf": dictionary, "ncpd": mu["v"], "ocpd": factors["v"]}
+    parts = [f"""SELECT 'keyword' AS part, '{m}' AS method, NULL::INT AS slice, topic, rank, term, w AS value FROM
+        (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY w DESC, term)::INT AS rank FROM
+          (SELECT topic, term, w FROM ({sql.long(f, 'term_id')}) JOIN vocab USING (term_id))) WHERE rank <= {KEYWORDS}"""
+             for m, f in terms.items()]
+    parts += [f"""SELECT 'prevalence', '{m}', t, topic, NULL, NULL, round(m / sum(m) OVER (PARTITION BY t), 6) FROM
+        (SELECT t, topic, sum(h) / any_value(n) AS m FROM ({sql.long(f, 'doc_id', 'h', 15)}) JOIN slices USING (doc_id)
+          JOIN (SELECT t, count(*) AS n FROM slices GROUP BY t) USING (t) GROUP BY t, topic)""" for m, f in (("nmf", h), ("onmf", "oc_h"))]
+    parts += [f"""SELECT 'prevalence', '{m}', t, topic, NULL, NULL, round(w / sum(w) OVER (PARTITION BY t), 6) FROM
+        ({sql.long(f, 't', digits=15)})""" for m, f in (("ncpd", mu["t"]), ("ocpd", factors["t"]))]
+    coded = [sql.sums("oc_b", "entries", "doc_id", {"term_id": dictionary}), sql.gram("oc_g", [dictionary]),
+             sql.least_squares("oc_h", "oc_b", "oc_g", 0.0)]
+    return with_corpus(" UNION ALL ".join(parts), ENTRIES, TENSOR, NUMBERED, W0, H0, UT, UV, UD, *nmf, *onmf, *coded, *MU_STEPS, *ocpd)
+
+
+@query("method_comparison", _comparison_sql())
 def method_comparison(spark, folder):
-    """Five keywords per topic of four learners over one corpus."""
-    rank, data = 3, corpus(spark, folder)
-    _, nmf = fit_nmf(spark, folder, rank, 3, data=data)
-    _, onmf, _ = fit_onmf(spark, folder, rank, data=data)
-    _, tensor_cells, factors = _tensor(spark, folder, rank, data)
-    cp = factorise.cp_mu(tensor_cells, factors, 2)
-    _, vectors, model = fit_lda(spark, folder, rank, data=data)
-    vectors.unpersist()
-    cp_terms = cp.factors["v"].table.withColumnRenamed("v", "term_id")
-    weights = {
-        "nmf": topics.weights_long(nmf.factors["term_id"].table, "term_id"),
-        "onmf": topics.weights_long(onmf.terms.table, "term_id"),
-        "ncpd": topics.weights_long(cp_terms, "term_id"),
-        "lda": lda.lda_topic_terms(spark, model).select("term_id", "topic", F.col("p").alias("w")),
-    }
-    out = None
-    for method, table in weights.items():
-        rows = _known_keywords(table, data, 5).select(F.lit(method).alias("method"), "topic", "rank", "known", "falling")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """NMF, online NMF, CP and online CP side by side: keywords of each topic and its prevalence over time."""
+    return _compared(spark, folder, corpus(spark, folder))
+
+
+@query("method_comparison_lda")
+def method_comparison_lda(spark, folder):
+    """The rows of the same table for LDA, whose fit SQL cannot follow."""
+    data, vectors, model = fit_lda(spark, folder, RANK)
+    weights = lda.lda_topic_terms(spark, model).select("term_id", "topic", F.col("p").alias("w"))
+    codes = lda.lda_doc_topics(model, vectors).select("doc_id", "topic", F.col("p").alias("h"))
+    return _keyword_rows("lda", weights, data).unionByName(_prevalence_rows("lda", _from_codes(codes, data)))
 
 
 @query("load_model", with_corpus(
