@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftloom.operators.numbering import dense_index, number_rows
+from driftloom.session import settle
 
 
 def fold_blocks(n: Column, k: int) -> tuple[Column, Column]:
@@ -106,18 +107,64 @@ def reconstruct_at_nonzeros(cells: DataFrame, factors: dict[str, DataFrame], ran
     return joined.withColumn("xhat", xhat).drop(*columns)
 
 
+#: Blocks that two tables are compared by before any of their rows are.
+BLOCKS = 4096
+
+
+def prints(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(_block, _n, _p, _q): rows of each block of keys, and two sums of their hashes.
+
+    The sums do not depend on the order of rows, and count repeated ones. They are
+    128 bits of a block's rows in all; partial sums make the one shuffle small.
+    """
+    block = F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int")
+    wide = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")) for seed in (1, 2)]
+    return df.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"), wide[0].alias("_p"), wide[1].alias("_q"))
+
+
+def differing_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(_block, _same, _n): every block, whether both sides have the same rows in it, and how many the left has."""
+    a, b = (prints(side, keys, columns) for side in (left, right))
+    other = b.select("_block", *[F.col(c).alias(f"{c}r") for c in ("_n", "_p", "_q")])
+    same = F.col("_n").eqNullSafe(F.col("_nr")) & F.col("_p").eqNullSafe(F.col("_pr")) & F.col("_q").eqNullSafe(F.col("_qr"))
+    return a.join(other, "_block", "full_outer").select("_block", same.alias("_same"), "_n")
+
+
+def _rows_of(df: DataFrame, keys: Sequence[str], blocks: DataFrame) -> DataFrame:
+    """Rows of the listed blocks, at most BLOCKS numbers."""
+    placed = df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int"))
+    return placed.join(F.broadcast(blocks), "_block", "left_semi").drop("_block")
+
+
 def matrix_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str = "x") -> DataFrame:
-    """(n_cells, n_different): element-wise comparison; absent cells are 0."""
-    a = left.select(*keys, F.col(value).alias("_a"))
-    b = right.select(*keys, F.col(value).alias("_b"))
+    """(n_cells, n_different): element-wise comparison; absent cells are 0.
+
+    `keys` identify a cell. Blocks of keys are compared by fingerprints; only
+    cells of blocks that differ are joined.
+    """
+    left, right = (side.select(*keys, value) for side in (left, right))
+    blocks = settle(differing_blocks(left, right, keys, [*keys, value]))
+    apart = blocks.where(~F.col("_same")).select("_block")
+    a = _rows_of(left, keys, apart).select(*keys, F.col(value).alias("_a"))
+    b = _rows_of(right, keys, apart).select(*keys, F.col(value).alias("_b"))
     both = a.join(b, list(keys), "full_outer")
     differs = F.coalesce("_a", F.lit(0.0)) != F.coalesce("_b", F.lit(0.0))
-    return both.agg(F.count("*").alias("n_cells"), F.count_if(differs).alias("n_different"))
+    seen = both.agg(F.count("*").alias("n_cells"), F.count_if(differs).alias("n_different"))
+    alike = blocks.where("_same").select(F.col("_n").alias("n_cells"), F.lit(0).cast("bigint").alias("n_different"))
+    sums = seen.union(alike).agg(F.sum("n_cells").alias("n_cells"), F.sum("n_different").alias("n_different"))
+    return sums
 
 
 def vocabulary_equal(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(only_left, only_right): multiset differences in both directions."""
+    """(only_left, only_right): multiset differences in both directions.
+
+    Blocks of rows are compared by fingerprints; only rows of blocks that differ
+    are grouped.
+    """
     columns = left.columns
+    right = right.select(*columns)
+    apart = settle(differing_blocks(left, right, columns, columns)).where(~F.col("_same")).select("_block")
+    left, right = (_rows_of(side, columns, apart) for side in (left, right))
     sides = left.select(*columns, F.lit(1).alias("_s")).unionByName(right.select(*columns, F.lit(-1).alias("_s")))
     surplus = sides.groupBy(*columns).agg(F.sum("_s").alias("_s"))
     return surplus.agg(

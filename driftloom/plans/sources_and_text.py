@@ -218,6 +218,23 @@ def generic_filter_map(spark, folder):
     return read_table(spark, folder, "events").transform(steps)
 
 
+@query("record_filter_map", """SELECT event_id, event_type || '!' AS kind, value * 4 AS value FROM events
+    WHERE event_type = 'click' AND value > 5 AND value * 4 < 300""")
+def record_filter_map(spark, folder):
+    """Functions on single records between steps on columns."""
+    steps = (
+        records.Steps()
+        .add_record_filter(lambda r: r["event_type"] == "click")
+        .add_filter(F.col("value") > 5)
+        .add_record_map(
+            lambda r: {"event_id": r["event_id"], "kind": r["event_type"] + "!", "value": r["value"] * 4},
+            "event_id bigint, kind string, value double",
+        )
+        .add_record_filter(lambda r: r["value"] < 300)
+    )
+    return read_table(spark, folder, "events").select("event_id", "event_type", "value").transform(steps)
+
+
 @query("filter_alphabetic_terms", with_corpus(
     "SELECT term, n FROM stats WHERE regexp_matches(term, '[a-zA-Z]')", upto="stats"))
 def filter_alphabetic_terms(spark, folder):

@@ -205,3 +205,31 @@ def test_synthetic_tensor_sums_all_components(spark):
     for r in tensor.cp_synthetic_tensor(spark, tables, {"i": 2, "j": 3, "k": 4}, 3).collect():
         out[r.i, r.j, r.k] = r.x
     assert np.allclose(out, np.einsum("ir,jr,kr->ijk", *arrays.values()))
+
+
+def test_equal_tables_are_compared_by_blocks_only(spark):
+    rows = spark.range(3000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x")
+    mixed = rows.orderBy("x", F.desc("id")).repartition(5)
+    blocks = tensor.differing_blocks(rows, mixed, ["id"], ["id", "x"]).collect()
+    assert all(r["_same"] for r in blocks) and sum(r["_n"] for r in blocks) == 3000
+    assert tensor.matrix_equal(rows, mixed, ["id"]).collect() == [(3000, 0)]
+    assert tensor.vocabulary_equal(rows, mixed).collect() == [(0, 0)]
+    # A row more, one less and one changed: in three blocks at most, and found there.
+    other = mixed.where("id <> 5").withColumn("x", F.when(F.col("id") == 9, -1.0).otherwise(F.col("x"))).union(
+        spark.createDataFrame([(4000, 2.0)], "id long, x double")
+    )
+    apart = [r for r in tensor.differing_blocks(rows, other, ["id"], ["id", "x"]).collect() if not r["_same"]]
+    assert 1 <= len(apart) <= 3
+    assert tensor.matrix_equal(rows, other, ["id"]).collect() == [(3001, 3)]
+    assert tensor.vocabulary_equal(rows, other).collect() == [(2, 2)]
+
+
+def test_repeated_rows_and_empty_tables_differ(spark):
+    one = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "term string")
+    two = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "term string")
+    assert tensor.vocabulary_equal(one, two).collect() == [(1, 1)]
+    assert tensor.vocabulary_equal(one, one.limit(0)).collect() == [(4, 0)]
+    none = spark.createDataFrame([], "id long, x double")
+    assert [tuple(r) for r in tensor.matrix_equal(none, none, ["id"]).collect()] == [(0, 0)]
+    cells = spark.createDataFrame([(1, 0.0), (2, 3.0)], "id long, x double")
+    assert [tuple(r) for r in tensor.matrix_equal(cells, none, ["id"]).collect()] == [(2, 1)]

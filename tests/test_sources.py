@@ -153,3 +153,34 @@ def test_guard_nonnegative(spark):
     assert rows.select(records.guard_nonnegative("x")).count() == 3
     with pytest.raises(PySparkException):
         spark.createDataFrame([(-1.0,)], ["x"]).select(records.guard_nonnegative("x")).collect()
+
+
+def test_record_functions_run_between_column_steps(spark):
+    steps = (
+        records.Steps()
+        .add_record_filter(lambda r: r["id"] % 2 == 0)
+        .add_record_map(lambda r: {"id": r["id"], "tags": [str(r["id"]), None]}, "id long, tags array<string>")
+        .add_filter(F.col("id") > 2)
+        .add_record_filter(lambda r: len(r["tags"]) == 2, "two tags")
+        .add_record_filter(lambda r: r["id"] < 8)
+    )
+    out = spark.range(12).transform(steps)
+    assert [(r.id, r.tags) for r in out.orderBy("id").collect()] == [(4, ["4", None]), (6, ["6", None])]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    typed = spark.sql("SELECT 1 AS a, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS t, struct(2 AS b) AS s UNION ALL SELECT NULL, NULL, NULL")
+    kept = typed.transform(records.Steps().add_record_filter(lambda r: r["a"] is None or r["s"]["b"] == 2))
+    assert kept.schema == typed.schema and kept.count() == 2
+    assert spark.range(0).transform(steps).count() == 0
+
+
+@pytest.mark.parametrize("add, message", [
+    (lambda s: s.add_record_filter(lambda r: 1 / r["id"] > 0, "share"), "step 'share' failed: ZeroDivisionError"),
+    (lambda s: s.add_record_filter(lambda r: r["id"]), "step '0: <lambda>': a filter gives True or False"),
+    (lambda s: s.add_record_map(lambda r: {"x": 1}, "y long", "named"), "step 'named': a record of"),
+    (lambda s: s.add_record_map(lambda r: {"y": "text"}, "y long", "kind"), "step 'kind':"),
+])
+def test_an_error_names_its_step(spark, add, message):
+    with pytest.raises(Exception) as error:
+        spark.range(3).transform(add(records.Steps())).collect()
+    assert message in str(error.value)
