@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from driftloom.functions import records
 from driftloom.functions.text import tokenize_social, tokenize_words
 from driftloom.operators import joins, ranking, sampling, series, tensor, topics, vocabulary
 from driftloom.operators.numbering import dense_index, number_rows
+from driftloom.operators.vectoriser import TermVectoriser
 from driftloom.plans.corpus import Corpus, cells, corpus, dims, english, english_counts, slices
 from driftloom.plans.oracle import STOP, clean, tokens, uniform, vocab, with_bigrams, with_corpus
 from driftloom.plans.registry import query
 from driftloom.plans.sources_and_text import EMOTICON_SQL, MONTHLY, SEED, SOCIAL_SQL
-from driftloom.session import read_table
+from driftloom.session import read_table, scratch_path
 
 # Topics whose weights SQL can compute as well: the summed TF-IDF of a source.
 PROFILE = """profile AS (SELECT (dense_rank() OVER (ORDER BY source) - 1)::INT AS topic, term, w FROM
@@ -232,6 +234,18 @@ def tfidf(spark, folder, data: Corpus | None = None):
     return data.weights.select("doc_id", "term_id", F.round("x", 6).alias("x"))
 
 
+@query("vectoriser_pipeline", with_corpus(
+    "SELECT doc_id, term_id, round(x, 6) AS x FROM tfidf", upto="tfidf", vocabulary=vocab(TOP_TERMS, 2)))
+def vectoriser_pipeline(spark, folder):
+    """The weights of a fitted ML pipeline that was saved and loaded."""
+    docs = english(spark, folder).select("doc_id", "text")
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=[TermVectoriser(maxFeatures=TOP_TERMS, minDf=2)]).fit(docs).write().save(path)
+    rows = PipelineModel.load(path).transform(docs)
+    cells = rows.select("doc_id", F.explode("features").alias("c"))
+    return cells.select("doc_id", "c.term_id", F.round("c.x", 6).alias("x"))
+
+
 @query("tfidf_per_slice", with_corpus("""SELECT doc_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM
     (SELECT doc_id, term_id, n * (ln((1 + n_docs) / (1 + count(*) OVER (PARTITION BY source, term_id))) + 1) AS w FROM
       (SELECT doc_id, source, term_id, counts.n FROM counts JOIN vocab USING (term))

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from driftloom.operators import joins, numbering, ranking, sampling, series, tensor, topics, vocabulary
+from driftloom.operators.vectoriser import TermVectoriser
 
 
 def hot(spark, rows=3000):
@@ -233,3 +235,31 @@ def test_repeated_rows_and_empty_tables_differ(spark):
     assert [tuple(r) for r in tensor.matrix_equal(none, none, ["id"]).collect()] == [(0, 0)]
     cells = spark.createDataFrame([(1, 0.0), (2, 3.0)], "id long, x double")
     assert [tuple(r) for r in tensor.matrix_equal(cells, none, ["id"]).collect()] == [(2, 1)]
+
+
+@pytest.mark.parametrize("weighting", ["counts", "tfidf"])
+def test_a_vectoriser_is_a_stage_that_can_be_saved(spark, tmp_path, weighting):
+    rows = [("a", "tea pot tea"), ("b", "pot lid"), ("c", None), (None, "tea"), ("d", "unseen words")]
+    docs = spark.createDataFrame(rows, "key string, body string")
+    stage = TermVectoriser(inputCol="body", outputCol="cells", idCol="key", maxNgram=1, maxFeatures=3, weighting=weighting)
+    stage.write().save(str(tmp_path / "stage"))
+    stage = TermVectoriser.load(str(tmp_path / "stage"))
+    assert stage.getInputCol() == "body" and stage.getOrDefault("maxFeatures") == 3
+    model = Pipeline(stages=[stage]).fit(docs.where("body not like 'unseen%'"))
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    first, again = (
+        {r.key: [tuple(c) for c in r.cells] for r in m.transform(docs).collect()} for m in (model, loaded)
+    )
+    assert first == again and first["c"] == first["d"] == []
+    # Terms in order: lid, pot, tea.
+    if weighting == "counts":
+        assert first == {"a": [(1, 1.0), (2, 2.0)], "b": [(0, 1.0), (1, 1.0)], "c": [], None: [(2, 1.0)], "d": []}
+    else:
+        assert first[None] == [(2, 1.0)] and np.isclose(sum(x * x for _, x in first["a"]), 1.0)
+    assert loaded.transform(docs).columns == ["key", "body", "cells"]
+
+
+def test_a_vectoriser_knows_its_weightings(spark):
+    with pytest.raises(ValueError, match="weighting"):
+        TermVectoriser(weighting="other").fit(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
