@@ -2,10 +2,12 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftloom.learners import factorise
 from driftloom.streaming import streams
+from driftloom.streaming.once import Once, run_once
 from driftloom.streaming.runs import Runs, add_counts
 
 
@@ -144,3 +146,88 @@ def test_counts_of_a_restarted_stream(spark, tmp_path):
             except Exception as error:
                 assert "lost" in str(error)
     assert as_dict(runs.table()) == {"tea": 2, "pot": 2, "lid": 1, "tea pot": 1, "pot lid": 1} and not fail
+
+
+# -- new files, once ---------------------------------------------------------
+
+
+def test_a_killed_run_works_on_each_file_once(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+
+    def land(*hours, name="id-{}.txt"):
+        for h in hours:
+            (landing / name.format(f"2024-01-01-{h:02}")).write_text(f"line of {h}\nsecond\n")
+
+    def run(tool, checkpoint, make=lambda new: new, files=2):
+        run_once(spark, str(landing), tool, make, str(tmp_path / checkpoint), files)
+
+    def hours(tool):
+        return Counter(r.file.split("/")[-1][14:16] for r in tool.output().collect())
+
+    tool = Once(spark, str(tmp_path / "out"), "one")
+    land(0, 1, 2)
+    (landing / "no-hour.txt").write_text("left out")
+    run(tool, "ck")
+    assert hours(tool) == {"00": 2, "01": 2, "02": 2}
+
+    # Killed before the output, then between output and manifest, then behind the manifest.
+    land(3, 4, 5)
+    kept = tool.manifest().count()
+    for at in ("make", "manifest", "end"):
+        cut = Once(spark, str(tmp_path / "out"), "one")
+
+        def make(new, at=at):
+            if at == "make":
+                raise RuntimeError("killed")
+            return new
+
+        if at != "make":
+            whole = cut.work_on
+
+            def work_on(batch, make, at=at, whole=whole):
+                if at == "manifest":
+                    made = whole.__func__
+                    frame = type(spark.range(1))
+                    coalesce = frame.coalesce
+
+                    def stop(self, n):
+                        raise RuntimeError("killed")
+
+                    frame.coalesce = stop
+                    try:
+                        return made(cut, batch, make)
+                    finally:
+                        frame.coalesce = coalesce
+                whole(batch, make)
+                raise RuntimeError("killed")
+
+            cut.work_on = work_on
+        with pytest.raises(Exception, match="killed"):
+            run(cut, "ck", make)
+        assert tool.manifest().count() - kept <= 2
+    run(tool, "ck")
+    assert hours(tool) == {f"{h:02}": 2 for h in range(6)} and tool.manifest().count() == 6
+
+    # A lost checkpoint and an hour under another name bring nothing again; another tag does.
+    land(5, 6, name="again-id-{}.txt")
+    run(tool, "other", files=100)
+    assert sorted(r.date_hour[-2:] for r in tool.manifest().collect()) == [f"{h:02}" for h in range(7)]
+    assert sum(hours(tool).values()) == 14
+    second = Once(spark, str(tmp_path / "out"), "two")
+    with pytest.raises(ValueError, match="two"):
+        second.output()
+    run(second, "two", files=100)
+    assert sum(hours(second).values()) == 14 and tool.manifest().count() == 14
+
+
+def test_term_counts_add_up_over_batches(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"), ["term"], ["n"], fan=2)
+    each = add_counts(runs, streams.term_counts)
+    texts = ["alpha beta", "beta gamma", "gamma gamma", "delta alpha"]
+    batch = lambda k: spark.createDataFrame([(k, texts[k], "en"), (k + 10, "autre", "fr")], "doc_id long, text string, lang string")
+    for k in (0, 1, 2, 2, 3):
+        each(batch(k), k)
+    got = {t: n for t, n in as_dict(runs.table()).items() if " " not in t}
+    assert got == {"alpha": 2, "beta": 2, "gamma": 3, "delta": 1}
+    assert runs.complete() >= {(2, 0)} and (0, 0) not in runs.complete()
