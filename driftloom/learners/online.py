@@ -21,7 +21,7 @@ from driftloom.learners.algebra import (
 from driftloom.learners.coding import cp_codes, least_squares_array, least_squares_codes
 from driftloom.learners.factorise import reconstruction_error
 from driftloom.learners.passes import coded_sums, dense, gather
-from driftloom.operators.sampling import draws
+from driftloom.operators.sampling import draws, sample_time_patches
 from driftloom.operators.tensor import slice_time
 from driftloom.session import settle, stored
 
@@ -264,7 +264,8 @@ def ocpd_train(
         items = rows.withColumn(batch_axis, F.col("draw"))
     else:
         drawn = draws(spark, iterations - 1, batch_size, n_items, seed).withColumnRenamed("pos", batch_axis)
-        batch_all = settle(drawn.join(cells, batch_axis).select("iter", "draw", *axes, "x"))
+        batch_all = drawn.join(cells, batch_axis).select("iter", "draw", *axes, "x")
+        batch_all = stored(batch_all.repartitionByRange("iter", "draw"), "batches", "iter")
     for i in range(1, iterations):
         begin = time.perf_counter()
         if batch_size is None:
@@ -324,16 +325,46 @@ def ocpd_train_patches(
     ))
     for turn in range(iterations):
         patch = patches.where(F.col("turn") == turn).drop("turn")
-        carried = None if state is None else replace(state, t=history + turn, codes=[])
-        state = ocpd_train(
-            patch, factors, "patch", 1, sub_iterations, None, beta, alpha, seed + turn,
-            state=carried or CPState(dict(factors), np.zeros((len(_first(factors)),) * 2), t=history),
-        )
+        state = _turn(patch, 1, turn, factors, sub_iterations, beta, alpha, history, seed, state)
+    return state
+
+
+def _turn(
+    patch: DataFrame, n_items: int, turn: int, factors: dict[str, Factor], sub_iterations: int, beta: float | None,
+    alpha: float, history: int, seed: int, state: CPState | None,
+) -> CPState:
+    """sub_iterations - 1 steps on all items of one turn, patch(axes, patch, x), from the turn before."""
+    rank = next(iter(factors.values())).rank
+    if state is None:
+        state = CPState(dict(factors), np.zeros((rank, rank)), t=history)
+    else:
+        state = replace(state, t=history + turn, codes=[])
+    return ocpd_train(patch, factors, "patch", n_items, sub_iterations, None, beta, alpha, seed + turn, state=state)
+
+
+def ocpd_train_windows(
+    cells: DataFrame, n_slices: int, length: int, patches: int, factors: dict[str, Factor], iterations: int = 50,
+    sub_iterations: int = 20, beta: float | None = None, alpha: float = 0.0, history: int = 0, seed: int = 0,
+    state: CPState | None = None,
+) -> CPState:
+    """Warm-started learning from random windows of `length` slices, `patches` of them a turn as one batch.
+
+    `factors` have the axes t, v and d, t counting the slices of a window.
+    `cells(t, v, d, x)` are written by slice once, and a turn reads the slices of
+    its own windows only.
+    """
+    by_slice = stored(cells.repartition("t", F.pmod(F.xxhash64("v"), F.lit(SLICE_PARTS))), "slices", "t")
+    for turn in range(iterations):
+        # One number a window.
+        starts = [r.pos for r in draws(cells.sparkSession, 1, patches, n_slices - length, seed + turn).collect()]
+        needed = sorted({s + k for s in starts for k in range(length)})
+        patch = sample_time_patches(by_slice.where(F.col("t").isin(needed)), n_slices, length, patches, seed + turn)
+        state = _turn(patch, patches, turn, factors, sub_iterations, beta, alpha, history, seed, state)
     return state
 
 
-def _first(factors: dict[str, Factor]) -> range:
-    return range(next(iter(factors.values())).rank)
+#: Parts that the cells of one slice are written in.
+SLICE_PARTS = 16
 
 
 def windows(n_slices: int, length: int, slide: int) -> list[int]:

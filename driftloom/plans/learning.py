@@ -708,6 +708,32 @@ def ocpd_train_patches(spark, folder):
     return _loading_long(online.loading_table(state), "mode")
 
 
+WINDOW, N_WINDOWS = 5, 3
+
+
+def _windows_sql() -> str:
+    radius = float(10_000.0 * 2.0 ** -0.7 / np.log(3.0))
+    steps = [
+        PATCH_STARTS[0].replace("{n}", f"{WINDOW}"), UV, UD, draws_sql(1, N_WINDOWS, f"SELECT max(t) + 1 - {WINDOW} FROM slices"),
+        f"""windowed AS MATERIALIZED (SELECT draw::INT AS patch, (t - pos)::INT AS t, v, d, x FROM tensor
+            JOIN draws ON t BETWEEN pos AND pos + {WINDOW - 1})""",
+    ]
+    more, last = sql.cp_step(
+        "s", "windowed", "SELECT draw::INT AS idx FROM draws", {"t": "p_t", "v": "u_v", "d": "u_d"}, None, None, 1, 0.7,
+        radius, 10, SEED, "patch")
+    return with_corpus(_mode_sql(last), TENSOR, *steps, *more)
+
+
+@query("ocpd_train_windows", _windows_sql())
+def ocpd_train_windows(spark, folder):
+    """One step on three random windows of five slices."""
+    data = corpus(spark, folder)
+    size = dims(data)
+    factors = factorise.init_factors(spark, {"t": WINDOW, "v": size["v"], "d": size["d"]}, RANK, SEED)
+    state = online.ocpd_train_windows(cells(data), size["t"], WINDOW, N_WINDOWS, factors, 1, 2, 0.7, seed=SEED)
+    return _loading_long(online.loading_table(state), "mode")
+
+
 @query("ocpd_train_sequential", _sequential_sql())
 def ocpd_train_sequential(spark, folder):
     data = corpus(spark, folder)

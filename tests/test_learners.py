@@ -412,3 +412,24 @@ def test_a_sweep_keeps_its_parameters(spark):
     assert sorted(tuple(r) for r in out.collect()) == [
         (1, 10, 10), (1, 20, 20), (2, 10, 10), (2, 10, 11), (2, 20, 20), (2, 20, 21),
     ]
+
+
+def test_windows_of_a_turn_read_their_own_slices(spark, monkeypatch):
+    dense, _ = planted((12, 7, 5), 2, seed=5)
+    cells, read = cells3(spark, dense), []
+    real = online.sample_time_patches
+
+    def seen(part, *args):
+        read.append({r.t for r in part.select("t").distinct().collect()})
+        return real(part, *args)
+
+    monkeypatch.setattr(online, "sample_time_patches", seen)
+    start = factorise.init_factors(spark, {"t": 3, "v": 7, "d": 5}, 2, 1)
+    state = online.ocpd_train_windows(cells, 12, 3, 2, start, 3, 3, 0.7, seed=4)
+    assert len(read) == 3 and all(3 <= len(r) <= 6 for r in read) and len(set().union(*read)) > 3
+    assert {a: array(f.table, a).shape for a, f in state.factors.items()} == {"t": (3, 2), "v": (7, 2), "d": (5, 2)}
+    again = online.ocpd_train_windows(cells.repartition(3), 12, 3, 2, start, 3, 3, 0.7, seed=4)
+    assert np.allclose(array(state.factors["v"].table, "v"), array(again.factors["v"].table, "v"))
+    # A turn goes on from the one before.
+    first = online.ocpd_train_windows(cells, 12, 3, 2, start, 1, 3, 0.7, seed=4)
+    assert not np.allclose(array(first.factors["v"].table, "v"), array(state.factors["v"].table, "v"))

@@ -14,7 +14,8 @@ from driftloom.plans import learning, streams
 SLOW = {name for name, fn in queries().items() if fn.__module__ in (learning.__name__, streams.__name__)}
 SAMPLE_OF_SLOW = {
     "nmf_batch", "onmf_update_dict", "onmf_train", "ocpd_step", "ocpd_train_patches", "stream_topk_per_day",
-    "stream_onmf", "stream_term_counts", "lda_topics", "nmf_report_labels", "method_comparison",
+    "stream_onmf", "stream_term_counts", "nmf_report_labels", "method_comparison", "cp_mu", "ocpd_train",
+    "cp_als_sketched", "learner_trials_band", "stream_new_files",
 }
 NAMES = [n for n in oracle_sql() if n not in SLOW or n in SAMPLE_OF_SLOW]
 
