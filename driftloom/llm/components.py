@@ -19,6 +19,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles whose result has been written.
+
+    It does so when the driver's collector finds nothing that refers to them; a
+    job of many steps asks for that between its large ones.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of `edges` can reach.
 

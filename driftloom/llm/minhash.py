@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.llm import arrays
-from driftloom.llm.components import components, store
+from driftloom.llm.components import components, free_shuffles, store
 
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -29,6 +29,8 @@ AGREE = 0.675
 ROUNDS = 1
 #: Members of a bucket compared at once.
 BLOCK = 1024
+#: Sets of one component that are sent together to be compared in full.
+PAIR_BLOCK = 64
 
 SIGNATURE = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>"
 
@@ -112,20 +114,63 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike enough.
 
-    Only texts that stand in a pair are read into sets.
+    Only texts that stand in a pair are read into sets. Texts of one group
+    (node, component) stand in blocks of PAIR_BLOCK, others alone, and the pairs
+    between two blocks are compared together: a set is sent once for each block
+    it has a partner in, not once for each partner.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = store(ids, "ids")
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    ends = store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
     sets = store(sets.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * union).select("a", "b")
+    if groups is None:
+        blocks = ends.select("doc_id", F.xxhash64("doc_id").alias("block"))
+    else:
+        label = F.coalesce("component", "doc_id").alias("label")
+        named = ends.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label)
+        sizes = named.groupBy("label").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("bigint").alias("n"))
+        part = F.pmod(F.xxhash64("doc_id"), F.col("n"))
+        blocks = named.join(sizes, "label").select("doc_id", F.xxhash64("label", part).alias("block"))
+    blocks = store(blocks, "blocks")
+    left, right = (blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}")) for c in "ab")
+    placed = store(pairs.select("a", "b").join(left, "a").join(right, "b"), "placed")
+    held = placed.select("ba", "bb", F.col("a").alias("doc_id")).union(placed.select("ba", "bb", F.col("b").alias("doc_id"))).distinct()
+    none = F.lit(None).cast("array<bigint>")
+    rows = held.join(sets, "doc_id").select("ba", "bb", "doc_id", F.lit(None).cast("bigint").alias("b"), "shingles").union(
+        placed.select("ba", "bb", F.col("a").alias("doc_id"), "b", none)
+    )
+    return rows.repartition("ba", "bb").sortWithinPartitions("ba", "bb").mapInArrow(_compare, "a bigint, b bigint")
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs between two blocks those alike enough; several sets of one id are each compared."""
+    for table, starts in arrays.whole_groups(batches, ["ba", "bb"]):
+        ids, other = table.column("doc_id").to_pylist(), table.column("b").to_pylist()
+        shingles = table.column("shingles").combine_chunks()
+        a, b = [], []
+        for lo, hi in zip(starts, [*starts[1:], len(ids)]):
+            sets: dict[int, list[np.ndarray]] = {}
+            for k in range(lo, hi):
+                if other[k] is None:
+                    sets.setdefault(ids[k], []).append(np.asarray(shingles[k].values).view(np.uint64))
+            for k in range(lo, hi):
+                if other[k] is not None and any(_alike(x, y) for x in sets.get(ids[k], ()) for y in sets.get(other[k], ())):
+                    a.append(ids[k])
+                    b.append(other[k])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < PERCENT * len(y):
+        return False
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[place] == x).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def _crossing(best: bool):
@@ -213,6 +258,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     every = store(components(links), "groups")
     for turn in range(ROUNDS + 1):
         best = turn < ROUNDS
+        free_shuffles(docs.sparkSession)
         labelled = met.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "doc_id", "band", "bucket", "m", F.coalesce("component", "doc_id").alias("label")
         )
@@ -223,7 +269,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             across = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
             across = across.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
         pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = store(links.union(confirmed(docs, store(pairs, "across"))), "links")
+        links = store(links.union(confirmed(docs, store(pairs, "across"), every)), "links")
         every = store(components(links), "groups")
     named = classes.join(every, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id")
@@ -238,12 +284,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in at least a share AGREE of their bytes."""
-    left = reps.select(F.col("doc_id").alias("a"), F.hex("sig").alias("sa"))
-    right = reps.select(F.col("doc_id").alias("b"), F.hex("sig").alias("sb"))
+    left = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
+    right = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
     same = F.aggregate(
         F.sequence(F.lit(0), F.lit(COORDINATES - 1)), F.lit(0),
-        lambda n, k: n + (F.substring("sa", 2 * k + 1, F.lit(2)) == F.substring("sb", 2 * k + 1, F.lit(2))).cast("int"),
+        lambda n, k: n + (F.substring("sa", k + 1, F.lit(1)) == F.substring("sb", k + 1, F.lit(1))).cast("int"),
     )
     return joined.where(same >= AGREE * COORDINATES).select("a", "b")
 
