@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftloom.llm import arrays
-from driftloom.llm.components import store
+from driftloom.llm.components import free_shuffles, store
 
 #: A chunk has so many words at least.
 LEAST_WORDS = 20
@@ -202,6 +202,7 @@ def without_repeats(docs: DataFrame, removed: str | None = None, bits: int = 128
     hashes = ["h1", "h2"]
     spans = _spans(found.join(_repeated(found, hashes), hashes))
     held = store(keyed.join(spans, ["_id", "_key"], "left"), "held")
+    free_shuffles(docs.sparkSession)
     # Bytes are compared by grouping them: a hash of several texts is no match of all its chunks.
     raw = held.where("spans is not null").mapInArrow(_chunk_bytes, f"{CHUNKS}, raw binary")
     clash = store(raw.select(*hashes, "raw").distinct().groupBy(*hashes).count().where("count > 1").select(*hashes), "clash")
