@@ -106,55 +106,45 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in arrays.slices(batches, "text"):
-        sets = [arrays.signed(s) for s in shingle_sets(part.column("text"))]
-        yield pa.record_batch(
-            [part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"]
-        )
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike enough.
 
-    Only texts that stand in a pair are read into sets. Texts of one group
-    (node, component) stand in blocks of PAIR_BLOCK, others alone, and the pairs
-    between two blocks are compared together: a set is sent once for each block
-    it has a partner in, not once for each partner.
+    Texts of one group (node, component) stand in blocks of PAIR_BLOCK, others
+    alone, and the pairs between two blocks are compared together: a text is sent
+    once for each block it has a partner in, not once for each partner, and read
+    into its set where it is compared. Only texts that stand in a pair are sent.
     """
     ends = store(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
-    sets = store(sets.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "sets")
-    if groups is None:
-        blocks = ends.select("doc_id", F.xxhash64("doc_id").alias("block"))
-    else:
-        label = F.coalesce("component", "doc_id").alias("label")
-        named = ends.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label)
-        sizes = named.groupBy("label").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("bigint").alias("n"))
-        part = F.pmod(F.xxhash64("doc_id"), F.col("n"))
-        blocks = named.join(sizes, "label").select("doc_id", F.xxhash64("label", part).alias("block"))
-    blocks = store(blocks, "blocks")
+    label = F.coalesce("component", "doc_id").alias("label")
+    named = ends.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label)
+    sizes = named.groupBy("label").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("bigint").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("n"))
+    blocks = store(named.join(sizes, "label").select("doc_id", F.xxhash64("label", part).alias("block")), "blocks")
     left, right = (blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}")) for c in "ab")
     placed = store(pairs.select("a", "b").join(left, "a").join(right, "b"), "placed")
-    held = placed.select("ba", "bb", F.col("a").alias("doc_id")).union(placed.select("ba", "bb", F.col("b").alias("doc_id"))).distinct()
-    none = F.lit(None).cast("array<bigint>")
-    rows = held.join(sets, "doc_id").select("ba", "bb", "doc_id", F.lit(None).cast("bigint").alias("b"), "shingles").union(
-        placed.select("ba", "bb", F.col("a").alias("doc_id"), "b", none)
-    )
+    held = placed.select("ba", "bb", F.col("a").alias("doc_id")).union(placed.select("ba", "bb", F.col("b").alias("doc_id")))
+    held = store(held.distinct(), "sent")
+    free_shuffles(docs.sparkSession)
+    rows = held.join(docs.select("doc_id", "text"), "doc_id").select(
+        "ba", "bb", "doc_id", F.lit(None).cast("bigint").alias("b"), "text"
+    ).union(placed.select("ba", "bb", F.col("a").alias("doc_id"), "b", F.lit(None).cast("string")))
     return rows.repartition("ba", "bb").sortWithinPartitions("ba", "bb").mapInArrow(_compare, "a bigint, b bigint")
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs between two blocks those alike enough; several sets of one id are each compared."""
+    """Of the pairs between two blocks those alike enough; several texts of one id are each compared."""
     for table, starts in arrays.whole_groups(batches, ["ba", "bb"]):
         ids, other = table.column("doc_id").to_pylist(), table.column("b").to_pylist()
-        shingles = table.column("shingles").combine_chunks()
+        texts = table.select(["text"])
         a, b = [], []
         for lo, hi in zip(starts, [*starts[1:], len(ids)]):
             sets: dict[int, list[np.ndarray]] = {}
-            for k in range(lo, hi):
-                if other[k] is None:
-                    sets.setdefault(ids[k], []).append(np.asarray(shingles[k].values).view(np.uint64))
+            k = int(lo)
+            for part in arrays.slices(texts.slice(k, int(hi) - k).to_batches(), "text"):
+                for found in shingle_sets(part.column("text")):
+                    if other[k] is None:
+                        sets.setdefault(ids[k], []).append(found)
+                    k += 1
             for k in range(lo, hi):
                 if other[k] is not None and any(_alike(x, y) for x in sets.get(ids[k], ()) for y in sets.get(other[k], ())):
                     a.append(ids[k])
@@ -249,12 +239,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hubs = rated.groupBy("bucket").agg((-F.max("rate")["id"]).alias("hub"))
     often = met.join(hubs, "bucket").where("doc_id != hub").groupBy("doc_id", "hub").count()
     first = often.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a"))
+    first = store(first, "hubs")
+    free_shuffles(docs.sparkSession)
     # A doc_id that stands in several classes is one node with all of them.
     several = full.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1")
     own = full.join(several.select("doc_id"), "doc_id").join(classes, ["k1", "k2"])
     own = own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(docs, store(agreeing(first.select("a", "b"), reps), "pairs")).union(own)
-    links = store(links, "links")
+    pairs = store(agreeing(first.select("a", "b"), reps), "pairs")
+    # A hub is sent once for each block of texts that are compared with it.
+    links = confirmed(docs, pairs, first.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    links = store(links.union(own), "links")
     every = store(components(links), "groups")
     for turn in range(ROUNDS + 1):
         best = turn < ROUNDS
