@@ -200,7 +200,9 @@ def without_repeats(docs: DataFrame, removed: str | None = None, bits: int = 128
     )
     found = store(keyed.select("_id", "_key", "_text").mapInArrow(_chunk_rows(bits), CHUNKS), "chunks")
     hashes = ["h1", "h2"]
-    spans = _spans(found.join(_repeated(found, hashes), hashes))
+    # Spans are few: texts are joined with them when the chunks' shuffles are gone.
+    spans = store(_spans(found.join(_repeated(found, hashes), hashes)), "spans")
+    free_shuffles(docs.sparkSession)
     held = store(keyed.join(spans, ["_id", "_key"], "left"), "held")
     free_shuffles(docs.sparkSession)
     # Bytes are compared by grouping them: a hash of several texts is no match of all its chunks.
