@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.learners import factorise
+from driftloom.plans import streams as queries
 from driftloom.streaming import streams
 from driftloom.streaming.once import Once, run_once
 from driftloom.streaming.runs import Runs, add_counts
@@ -33,6 +34,20 @@ def test_days_past_the_delay_are_closed(spark, tmp_path):
     assert got == {(1, "w0"): 1, (1, "w1"): 2, (10, "w0"): 2, (10, "w1"): 4}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path, files):
+    rows = [(i, "red apple" if i else "red", "en", "s", 9) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(files, "doc_id").write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    if files == 1:
+        (part,) = (tmp_path / "in" / "documents.parquet").glob("*.parquet")
+        (tmp_path / "one").mkdir()
+        part.rename(tmp_path / "one" / "documents.parquet")
+    folder = str(tmp_path / ("one" if files == 1 else "in"))
+    assert {r.doc_id for r in queries.stream_clean_text(spark, folder).collect()} == set(range(6))
+    assert {(r.term, r.n) for r in queries.stream_term_counts(spark, folder).collect()} >= {("red", 6), ("apple", 5)}
+
+
 def test_tops_survive_a_replayed_batch(spark, tmp_path):
     versions = streams.Versions(spark, str(tmp_path))
     each = streams.merge_top_k(versions, "day", 2, "score", "id")
