@@ -10,6 +10,7 @@ from driftloom.learners import algebra, coding, factorise, lda, online, passes,
 from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
 from driftloom.operators.tensor import unfold_mode
+from driftloom.session import settle
 
 
 def table(spark, axis, matrix):
@@ -81,6 +82,16 @@ def test_column_update_without_the_driver_equals_the_local_one(spark, radius):
     assert (np.linalg.norm(array(spread.table, "i"), axis=0) <= 1 + 1e-9).all()
 
 
+def test_a_long_factor_is_written_twice_whatever_its_rank(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(algebra, "settle", lambda df: written.append(df) or settle(df))
+    factor = replace(table(spark, "v", np.random.default_rng(3).random((6, 4))), local=False)
+    b = spark.createDataFrame([(i, [1.0, 2.0, 0.5, 0.1]) for i in range(5)], "v int, b array<double>")
+    updated = algebra.update_columns(factor, b, np.eye(4) + 0.1, 0.5, 3)
+    assert len(written) == 2
+    assert updated.table.inputFiles()  # packed files, not rows of a checkpoint
+
+
 def test_training_without_local_models_gives_the_same(spark):
     x = np.random.default_rng(4).random((8, 10))
     slices = [(entries(spark, x, "term_id", "pos"), 10)]
