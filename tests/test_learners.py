@@ -10,6 +10,7 @@ from driftloom.learners import algebra, coding, factorise, lda, online, passes,
 from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
 from driftloom.operators.tensor import unfold_mode
+from driftloom.plans import learning as queries
 from driftloom.session import settle
 
 
@@ -215,6 +216,35 @@ def test_lda_distributions_sum_to_one(spark):
         assert all(r.s == pytest.approx(1.0) for r in sums)
 
 
+def test_documents_of_a_long_topic_model_may_span_batches(spark, monkeypatch):
+    sizes, rng = np.array([3, 0, 5, 1]), np.random.default_rng(2)
+    x, e, alpha = rng.integers(1, 4, 9).astype(float), rng.random((9, 3)), np.full(3, 0.4)
+    together = lda.document_shares(x, e, sizes, alpha)
+    alone = [lda.document_shares(x[i:i + n], e[i:i + n], np.array([n]), alpha)[0] for i, n in ((0, 3), (3, 0), (3, 5), (8, 1))]
+    assert np.allclose(together, alone)
+    rows = [(d, v, 1.0 + (d * v) % 3) for d in range(5) for v in range(7)]
+    cells = spark.createDataFrame(rows, "doc_id int, term_id int, x double").coalesce(1)
+    terms = spark.range(7).select(F.col("id").cast("int").alias("term_id"))
+    model = lda.long_topics(cells, terms, 2, 1, 1)
+    whole = array(model.documents(cells, "doc_id"), "doc_id", "gamma")
+    monkeypatch.setattr(lda, "CELLS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert np.allclose(array(model.documents(cells, "doc_id"), "doc_id", "gamma"), whole)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lda_queries_hold_more_terms_than_the_driver(spark, folder, monkeypatch):
+    monkeypatch.setattr(queries, "MODEL_CELLS", 5)
+    monkeypatch.setattr(lda, "MODEL_CELLS", 5)
+    top = queries.lda_topics(spark, folder)
+    assert {(r.topic, r["rank"]) for r in top.collect()} == {(k, n) for k in range(4) for n in range(1, 11)}
+    english = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'").count()
+    sums = queries.lda_doc_topics(spark, folder).groupBy("doc_id").agg(F.sum("p").alias("s")).collect()
+    assert len(sums) == english and all(r.s == pytest.approx(1.0, abs=1e-5) for r in sums)
+
+
 def test_a_local_factor_has_a_bound(spark, monkeypatch):
     monkeypatch.setattr(algebra, "MODEL_CELLS", 5)
     with pytest.raises(ValueError, match="local=False"):
