@@ -1,6 +1,7 @@
 import threading
 import time
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
 from driftloom.operators.tensor import unfold_mode
 from driftloom.plans import learning as queries
-from driftloom.session import settle
+from driftloom.session import checkpoint_dir, release, settle, stored
 
 
 def table(spark, axis, matrix):
@@ -474,3 +475,49 @@ def test_windows_of_a_turn_read_their_own_slices(spark, monkeypatch):
     # A turn goes on from the one before.
     first = online.ocpd_train_windows(cells, 12, 3, 2, start, 1, 3, 0.7, seed=4)
     assert not np.allclose(array(first.factors["v"].table, "v"), array(state.factors["v"].table, "v"))
+
+
+def scratch(spark):
+    """Folders of the tables that are in the scratch folder now."""
+    return set(Path(checkpoint_dir(spark).removeprefix("file:")).glob("driftloom/*/*"))
+
+
+def test_a_pass_keeps_no_cells(spark):
+    """Moves are made anew: no cell is cached, and rows written anew replace those before."""
+    def one_sweep(u, b, g):
+        return coding.sweep_array(u, b, g, 1)
+
+    random = np.random.default_rng(1)
+    u, w, x = random.random((7, 2)), random.random((4, 2)), random.random((7, 4)) * (random.random((7, 4)) < 0.6)
+    before, cached = scratch(spark), spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = passes.Rows(entries(spark, x, "d", "v"), replace(table(spark, "d", u), local=False), ["v"])
+    for _ in range(2 * passes.KEPT + 1):
+        g = w.T @ w
+        found = rows.run({"v": w}, "v", one_sweep, g)
+        u = one_sweep(u, x @ w, g)
+        assert np.allclose(found.axis, x.T @ u) and np.allclose(found.gram, u.T @ u)
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+        w = w + found.axis
+    assert np.allclose(array(rows.result().table, "d"), u)
+    assert len(scratch(spark) - before) == 1
+
+
+def test_release_removes_what_was_stored_only(spark):
+    left = stored(spark.range(3), "one")
+    derived = left.where("id > 0")
+    before = scratch(spark)
+    release(derived, spark.range(3), None)
+    assert scratch(spark) == before and derived.count() == 2
+    release(left)
+    assert len(before - scratch(spark)) == 1
+
+
+def test_trials_gather_the_cells_of_a_long_axis_once(spark, monkeypatch):
+    for module in (algebra, trials):
+        monkeypatch.setattr(module, "MODEL_CELLS", 10)
+    cells, seen, gather = cells3(spark, planted((3, 9, 4), 2)[0]), [], passes.gather
+    for module in (trials, passes):
+        monkeypatch.setattr(module, "gather", lambda *a: seen.append(1) or gather(*a), raising=False)
+    runs = [dict(method="mu", iterations=1), dict(method="als", iterations=1, sweeps=2)]
+    rows = trials.learner_trials(cells, {"t": 3, "v": 9, "d": 4}, runs, workers=2).collect()
+    assert len(rows) == 2 and len(seen) == 1
