@@ -512,6 +512,16 @@ def test_release_removes_what_was_stored_only(spark):
     assert len(before - scratch(spark)) == 1
 
 
+def test_starts_leave_no_tables_in_between(spark):
+    x, _ = planted((6, 8), 2)
+    terms, docs = (replace(table(spark, a, np.ones((n, 2)) + np.eye(n, 2)), local=False) for a, n in (("v", 8), ("n", 6)))
+    cells = entries(spark, x, "n", "v")
+    before = scratch(spark)
+    factorise.nndsvd_init(cells, terms, docs, 4)
+    # Vectors of both sides and the two factors.
+    assert len(scratch(spark) - before) == 4
+
+
 def test_trials_gather_the_cells_of_a_long_axis_once(spark, monkeypatch):
     for module in (algebra, trials):
         monkeypatch.setattr(module, "MODEL_CELLS", 10)
