@@ -226,6 +226,20 @@ def test_equal_tables_are_compared_by_blocks_only(spark):
     assert tensor.vocabulary_equal(rows, other).collect() == [(2, 2)]
 
 
+def test_compared_tables_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x")
+    left = rows.mapInArrow(count, "id bigint, x double")
+    assert tensor.matrix_equal(left, rows.withColumn("x", F.col("x") + 1), ["id"]).collect() == [(50, 50)]
+    assert seen.value == 50
+
+
 def test_repeated_rows_and_empty_tables_differ(spark):
     one = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "term string")
     two = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "term string")
