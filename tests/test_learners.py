@@ -522,6 +522,16 @@ def test_starts_leave_no_tables_in_between(spark):
     assert len(scratch(spark) - before) == 4
 
 
+def test_training_leaves_no_tables_in_between(spark):
+    x, _ = planted((6, 8), 2)
+    terms = replace(table(spark, "v", np.ones((8, 2)) + np.eye(8, 2)), local=False)
+    cells = entries(spark, x, "pos", "v")
+    before = scratch(spark)
+    online.onmf_train([(cells, 6)] * 3, terms, [0, 2], iterations=4, batch_size=3)
+    # The dictionary asked for, and the last state.
+    assert len(scratch(spark) - before) == 3
+
+
 def test_trials_gather_the_cells_of_a_long_axis_once(spark, monkeypatch):
     for module in (algebra, trials):
         monkeypatch.setattr(module, "MODEL_CELLS", 10)
