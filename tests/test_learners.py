@@ -532,6 +532,17 @@ def test_training_leaves_no_tables_in_between(spark):
     assert len(scratch(spark) - before) == 3
 
 
+def test_a_window_of_slices_is_not_cached(spark, monkeypatch):
+    """Only the patch that was drawn is kept; the window is read once."""
+    kept, frame = [], type(spark.range(0))
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: kept.append(self.columns) or persist(self, *a))
+    factors = {a: table(spark, a, np.random.default_rng(n).random((n, 2))) for a, n in (("t", 2), ("v", 3), ("d", 2))}
+    cells = cells3(spark, planted((3, 3, 4), 2)[0])
+    online.ocpd_window(cells, 0, 0, 4, factors, None, 2, 2, 1, 2)
+    assert kept == [["t", "v", "d", "draw", "x"]]
+
+
 def test_trials_gather_the_cells_of_a_long_axis_once(spark, monkeypatch):
     for module in (algebra, trials):
         monkeypatch.setattr(module, "MODEL_CELLS", 10)
