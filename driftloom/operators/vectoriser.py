@@ -34,7 +34,7 @@ class _TermParams(HasInputCol, HasOutputCol):
         taken = docs.select(
             F.col(self.getOrDefault(self.idCol)).alias("doc_id"), F.coalesce(self.getInputCol(), F.lit("")).alias("text")
         )
-        return counts_in_documents(document_terms(taken, max_len=self.getOrDefault(self.maxNgram)))
+        return counts_in_documents(document_terms(taken, max_len=1), max_len=self.getOrDefault(self.maxNgram))
 
 
 class TermVectoriser(Estimator, _TermParams, DefaultParamsReadable, DefaultParamsWritable):

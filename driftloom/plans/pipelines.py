@@ -41,8 +41,8 @@ def vocabulary_per_file(
 ) -> DataFrame:
     """(file, term, n, df): n-gram counts of every file."""
     texts = text_pipeline(spark, paths, include_reposts)
-    terms = document_terms(texts, max_len=max_ngram_len, tokenize=tokenize_social)
-    return term_counts(counts_in_documents(terms), ["file"])
+    terms = document_terms(texts, max_len=1, tokenize=tokenize_social)
+    return term_counts(counts_in_documents(terms, max_len=max_ngram_len), ["file"])
 
 
 def bags_per_file(
@@ -58,5 +58,6 @@ def bags_per_file(
     if samples_per_file is not None:
         records = sample_n_per_group(records, "file", samples_per_file, "doc_id", seed)
     texts = records.select("file", "doc_id", F.col("full_text").alias("text"))
-    counts = counts_in_documents(document_terms(texts, max_len=max_ngram_len, tokenize=tokenize_social))
+    terms = document_terms(texts, max_len=1, tokenize=tokenize_social)
+    counts = counts_in_documents(terms, max_len=max_ngram_len)
     return texts.select("file", "doc_id"), bag_of_words(counts, vocabulary)

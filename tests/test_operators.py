@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
@@ -277,3 +278,37 @@ def test_a_vectoriser_is_a_stage_that_can_be_saved(spark, tmp_path, weighting):
 def test_a_vectoriser_knows_its_weightings(spark):
     with pytest.raises(ValueError, match="weighting"):
         TermVectoriser(weighting="other").fit(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
+def test_runs_of_terms_are_counted_as_strings(spark):
+    # ". ." is one token and also two; a list without terms has no rows.
+    docs = spark.createDataFrame(
+        [(1, "x", [". .", ".", "."]), (2, "x", [".", ". ."]), (3, None, []), (4, "y", None), (5, "y", ["a"])],
+        "doc_id int, source string, terms array<string>",
+    )
+    found = vocabulary.counts_in_documents(docs, max_len=2)
+    assert found.columns == ["doc_id", "source", "term", "n"]
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, "x", ".", 2), (1, "x", ". .", 2), (1, "x", ". . .", 1),
+        (2, "x", ".", 1), (2, "x", ". .", 1), (2, "x", ". . .", 1), (5, "y", "a", 1),
+    ]
+
+
+def test_documents_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "TERMS_AT_ONCE", 3)
+    lists = [["a", "b"], None, ["a"], ["a", "b", "a", "b", "a"], [], ["b"]]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "_terms"])
+    parts = list(vocabulary._counted([batch], 2))
+    assert [p.num_rows for p in parts] == [3, 1, 2]
+    rows = {r["doc_id"]: {c["term"]: c["n"] for c in r["_counts"]} for p in parts for r in p.to_pylist()}
+    assert rows == {0: {"a": 1, "b": 1, "a b": 1}, 1: {}, 2: {"a": 1}, 3: {"a": 3, "b": 2, "a b": 2, "b a": 2}, 4: {}, 5: {"b": 1}}
+
+
+def test_joins_hash_a_table_whose_shares_fit(spark):
+    def plan(rows):
+        small = spark.range(rows).select(F.col("id").alias("k"))
+        return spark.range(10).withColumnRenamed("id", "k").join(joins.hashed(small, rows), "k")._jdf.queryExecution().toString()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "ShuffledHashJoin" in plan(joins.FEW_ROWS + 1)
+    assert "ShuffledHashJoin" not in plan(parts * joins.TASK_ROWS + 1)
