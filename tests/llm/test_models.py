@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.llm import pii, piece_codec, toxicity
 from driftloom.llm.queries import tokenizer_path
@@ -68,6 +69,33 @@ def test_toxicity_of_held_out_documents(spark):
     assert both[0] == both[1]
 
 
+def test_toxicity_learns_from_rows_beyond_the_start(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 30)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 60)
+    monkeypatch.setattr(toxicity, "RATES", (0.01,) * 12)
+    ids = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("en").alias("lang"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    usable = toxicity._usable(ids, labels)
+    start = {r.doc_id for r in toxicity._sample(usable.where(~toxicity._apart())).collect()}
+    assert len(start) == 90
+
+    # The start sees one bad word, all other toxic rows hold another one.
+    rows = [
+        (i, f"mild tale {i % 7} of {'vile' if i in start else 'grukk' if i % 3 == 0 else 'calm'} weather", "en")
+        for i in range(900)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2, "doc_id")
+    model = toxicity.fit(docs, labels)
+    first, other = toxicity.scores(model, pa.array(["a tale of grukk weather", "a tale of calm weather"]))
+    assert first > 0.5 > other
+    assert other < model.thresholds[""] <= first and set(model.thresholds) == {"", "en"}
+
+
+def test_threshold_of_counted_scores():
+    steps, toxic, rows = np.array([2000, 9000, 6000, 4000]), np.array([0, 3, 2, 0]), np.array([5, 3, 2, 4])
+    assert toxicity.counted_threshold(steps, toxic, rows) == pytest.approx((6000 + 4001) / 2 / 10_000)
+
+
 def test_toxicity_without_labels_and_on_odd_rows(spark):
     rows = [(1, None, None, 0.5), (2, "", "en", 0.5), (3, "word " * 90_000, "en", 0.5), (3, "tie", "en", 0.5), (None, "x", "en", 0.5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
