@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.learners import algebra, coding, factorise, lda, online, passes, trials
 from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
+from driftloom.operators.sampling import hash_int
 from driftloom.operators.tensor import unfold_mode
 from driftloom.plans import learning as queries
 from driftloom.session import checkpoint_dir, release, settle, stored
@@ -552,3 +553,21 @@ def test_trials_gather_the_cells_of_a_long_axis_once(spark, monkeypatch):
     runs = [dict(method="mu", iterations=1), dict(method="als", iterations=1, sweeps=2)]
     rows = trials.learner_trials(cells, {"t": 3, "v": 9, "d": 4}, runs, workers=2).collect()
     assert len(rows) == 2 and len(seen) == 1
+
+
+def test_a_sketch_does_not_count_its_draws(spark, monkeypatch):
+    """Draws are met by the cells as they come: one drawn twice weighs twice, and none is grouped."""
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0), (2, 1, 4.0)], "a int, d int, x double")
+    factor = algebra.init_factor(algebra.axis_index(spark, "a", 3), "a", 3, 1, 3)
+    monkeypatch.setattr(F, "count", lambda *_: pytest.fail("draws are counted"))
+    sums, gs = coding.sketch(cells, [factor], "d", 1, 2, 5)
+    u = {r.a: r.u[0] for r in factor.table.collect()}
+    index = hash_int(F.lit("a"), F.floor(F.col("id") / 3), F.col("id") % 3, 5) % 3
+    drawn = [(r.id // 3, r.a) for r in spark.range(6).select("id", index.alias("a")).collect()]
+    found = {r.d: r.bs for r in sums.collect()}
+    for turn in (0, 1):
+        own = [a for t, a in drawn if t == turn]
+        assert gs[turn][0, 0] == pytest.approx(sum(u[a] ** 2 for a in own))
+        for d, values in ((0, {0: 1.0, 1: 2.0}), (1, {2: 4.0})):
+            expected = sum(u[a] * values.get(a, 0.0) for a in own)
+            assert (found[d][turn][0] if d in found else 0.0) == pytest.approx(expected)
