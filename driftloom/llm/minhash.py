@@ -31,6 +31,8 @@ ROUNDS = 1
 BLOCK = 1024
 #: Sets of one component that are sent together to be compared in full.
 PAIR_BLOCK = 64
+#: Ids that every task may hold.
+HELD_IDS = 2_000_000
 
 SIGNATURE = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, bands array<bigint>"
 
@@ -125,12 +127,21 @@ def confirmed(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame
     held = placed.select("ba", "bb", F.col("a").alias("doc_id")).union(placed.select("ba", "bb", F.col("b").alias("doc_id")))
     held = store(held.distinct(), "sent")
     free_shuffles(docs.sparkSession)
-    rows = held.join(docs.select("doc_id", "text"), "doc_id").select(
+    rows = held.join(among(docs.select("doc_id", "text"), ends), "doc_id").select(
         "ba", "bb", "doc_id", F.lit(None).cast("bigint").alias("b"), "text"
     ).union(placed.select("ba", "bb", F.col("a").alias("doc_id"), "b", F.lit(None).cast("string")))
     return rows.repartition("ba", "bb").sortWithinPartitions("ba", "bb").mapInArrow(_compare, "a bigint, b bigint")
 
 
+def among(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """`table` without rows that a join by doc_id with the written, distinct `ids` leaves out.
+
+    Tasks leave them out before anything is shuffled, where they can hold the ids;
+    with more of those all rows stay, and the join itself decides.
+    """
+    return table.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= HELD_IDS else table
+
+
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs between two blocks those alike enough; several texts of one id are each compared."""
     for table, starts in arrays.whole_groups(batches, ["ba", "bb"]):
@@ -230,8 +241,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     feats = store(docs.mapInArrow(_signatures, SIGNATURE), "signatures")
     full = feats.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
-    items = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+
+    def reps(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
+
+    items = reps(full).select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     full_ = items.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     met = store(items.join(full_, "bucket"), "buckets")
     score = met.groupBy("doc_id").agg(F.sum("m").alias("score"))
@@ -245,7 +259,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     several = full.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1")
     own = full.join(several.select("doc_id"), "doc_id").join(classes, ["k1", "k2"])
     own = own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = store(agreeing(first.select("a", "b"), reps), "pairs")
+    ends = store(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "ids")
+    pairs = store(agreeing(first.select("a", "b"), reps(among(full, ends))), "pairs")
     # A hub is sent once for each block of texts that are compared with it.
     links = confirmed(docs, pairs, first.select(F.col("b").alias("node"), F.col("a").alias("component")))
     links = store(links.union(own), "links")
@@ -258,7 +273,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         )
         ends = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_ = store(labelled.join(ends.select("bucket"), "bucket"), "open")
-        across = _blocks(open_, reps).mapInArrow(_crossing(best), "a bigint, b bigint, agree double")
+        members = store(open_.select("doc_id").distinct(), "ids")
+        across = _blocks(open_, reps(among(full, members))).mapInArrow(_crossing(best), "a bigint, b bigint, agree double")
         if best:
             across = across.union(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
             across = across.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))

@@ -56,6 +56,21 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert found == brute.near_groups(docs.select("doc_id", "text").collect())
 
 
+def test_only_texts_in_pairs_are_shuffled(spark, monkeypatch):
+    docs = spark.range(50_000).selectExpr("id doc_id", "repeat(sha2(string(id), 256), 20) text")
+    ids = spark.createDataFrame([(3,), (70_000,), (9,)], "doc_id long")
+    found = minhash.among(docs, ids)
+    assert sorted(r.doc_id for r in found.select("doc_id").collect()) == [3, 9]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    # With more ids than tasks may hold all rows stay, and the groups are the same.
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = {tuple(r) for r in minhash.near_groups(docs).collect()}
+    monkeypatch.setattr(minhash, "HELD_IDS", 0)
+    assert minhash.among(docs, ids).count() == docs.count()
+    assert {tuple(r) for r in minhash.near_groups(docs).collect()} == few
+
+
 def test_a_pair_counts_once_where_bytes_are_equal_by_chance():
     rng = np.random.default_rng(5)
     texts = []
