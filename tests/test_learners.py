@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.learners import algebra, coding, factorise, lda, online, passes, trials
+from driftloom.learners import algebra, coding, factorise, lda, online, passes, singular, trials
 from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
 from driftloom.operators.sampling import hash_int
@@ -571,3 +571,52 @@ def test_a_sketch_does_not_count_its_draws(spark, monkeypatch):
         for d, values in ((0, {0: 1.0, 1: 2.0}), (1, {2: 4.0})):
             expected = sum(u[a] * values.get(a, 0.0) for a in own)
             assert (found[d][turn][0] if d in found else 0.0) == pytest.approx(expected)
+
+
+def test_singular_vectors_are_settled(spark):
+    """Values that lie close to each other need many steps: few of them must not be all that is done."""
+    random = np.random.default_rng(21)
+    u, v = (np.linalg.qr(random.standard_normal((n, 40)))[0] for n in (60, 50))
+    x = (u * np.linspace(1.0, 0.8, 40)) @ v.T
+    cells = entries(spark, x, "term_id", "doc_id")
+    for rows, columns in ((60, 50), (50, 60)):
+        a, b = ("term_id", "doc_id") if rows == 60 else ("doc_id", "term_id")
+        start = factorise.init_factors(spark, {a: rows}, 3, 4)[a]
+        left, right, values = factorise.leading_vectors(cells, start, [b], 2)
+        l, s, rt = np.linalg.svd(x if rows == 60 else x.T)
+        assert np.allclose(values, s[:3], rtol=1e-9)
+        assert np.allclose(np.abs((array(left, a) * l[:, :3]).sum(axis=0)), 1.0)
+        assert np.allclose(np.abs((array(right, b) * rt[:3].T).sum(axis=0)), 1.0)
+
+
+def test_starts_of_all_unfoldings_are_their_singular_vectors(spark):
+    random = np.random.default_rng(22)
+    dense = random.random((4, 45, 36)) * (random.random((4, 45, 36)) < 0.3)
+    t, v, d = np.nonzero(dense)
+    rows = [(int(a), int(b), int(c), float(dense[a, b, c])) for a, b, c in zip(t, v, d)]
+    cells = spark.createDataFrame([*rows, (None, 1, 1, 5.0)], "t int, v int, d int, x double")
+    before = scratch(spark)
+    start = factorise.cp_svd_init(cells, factorise.init_factors(spark, {"t": 4, "v": 45, "d": 36}, 2, 5), 2)
+    for mode, axis in enumerate("tvd"):
+        expected = np.linalg.svd(np.moveaxis(dense, mode, 0).reshape(dense.shape[mode], -1))[0]
+        assert np.allclose(array(start[axis].table, axis), np.abs(expected[:, :2]), atol=1e-7)
+    assert len(scratch(spark) - before) == 3
+
+
+def test_singular_vectors_of_sides_too_long_to_be_held(spark, monkeypatch):
+    monkeypatch.setattr(singular, "MODEL_CELLS", 5)
+    random = np.random.default_rng(23)
+    x = planted((8, 9), 2, 23)[0] + 0.001 * random.random((8, 9))
+    start = replace(table(spark, "v", random.random((8, 2))), local=False)
+    left, right, values = factorise.leading_vectors(entries(spark, x, "v", "d"), start, ["d"], 1)
+    l, s, rt = np.linalg.svd(x)
+    assert np.allclose(values, s[:2], rtol=1e-6)
+    assert np.allclose(np.abs((array(left, "v") * l[:, :2]).sum(axis=0)), 1.0, atol=1e-6)
+    assert np.allclose(np.abs((array(right, "d") * rt[:2].T).sum(axis=0)), 1.0, atol=1e-6)
+
+
+def test_starts_of_no_cells_are_zero(spark):
+    cells = spark.createDataFrame([], "term_id int, doc_id bigint, x double")
+    terms, docs = (table(spark, a, np.ones((n, 2))) for a, n in (("term_id", 3), ("doc_id", 2)))
+    w, h = factorise.nndsvd_init(cells, terms, docs)
+    assert not array(w.table, "term_id").any() and not array(h.table, "doc_id").any()
