@@ -7,12 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftloom import session
 from driftloom.learners import algebra, coding, factorise, lda, online, passes, singular, trials
 from driftloom.learners.algebra import Factor
 from driftloom.operators import pool
 from driftloom.operators.sampling import hash_int
 from driftloom.operators.tensor import unfold_mode
-from driftloom.plans import learning as queries
+from driftloom.plans import learning as queries, tables_and_topics
+from driftloom.plans.corpus import corpus
 from driftloom.session import checkpoint_dir, release, settle, stored
 
 
@@ -620,3 +622,44 @@ def test_starts_of_no_cells_are_zero(spark):
     terms, docs = (table(spark, a, np.ones((n, 2))) for a, n in (("term_id", 3), ("doc_id", 2)))
     w, h = factorise.nndsvd_init(cells, terms, docs)
     assert not array(w.table, "term_id").any() and not array(h.table, "doc_id").any()
+
+
+def test_learners_leave_no_texts_on_disk(spark, folder):
+    """The entries stand for the counts, and no table in between stays; one that is given up is made anew."""
+    before, data = scratch(spark), corpus(spark, folder)
+    rows = data.entries.count()
+    made = scratch(spark) - before
+    assert sorted(p.name for p in made) == ["entries", "vocabulary"]
+    assert all(".zstd." in f.name for p in made for f in p.glob("*.parquet"))
+    assert data.counts.count() == data.weights.count() == rows
+
+
+def test_weights_per_slice_leave_no_texts_on_disk(spark, folder):
+    before = scratch(spark)
+    assert tables_and_topics.tfidf_per_slice(spark, folder).count() > 0
+    assert sorted(p.name for p in scratch(spark) - before) == ["idfs", "numbered", "vocabulary"]
+
+
+def test_written_aggregates_replace_the_cells(spark, folder):
+    before = scratch(spark)
+    assert queries.cp_mttkrp_agg(spark, folder).count() > 0
+    names = [p.name for p in scratch(spark) - before]
+    assert "cells" not in names and "counts" not in names and names.count("sums") == 1
+
+
+def test_writing_removes_the_files_of_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(session, "LONG_WRITE", 0.0)
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return {p.name.split("_")[1] for d in folders for p in Path(d).rglob("shuffle_*.data")}
+
+    before = shuffles()
+    for _ in range(8):
+        stored(spark.range(1000).repartition(3, "id"), "dealt")
+    # The last ones may still be known to the scheduler.
+    for _ in range(50):
+        if len(shuffles() - before) <= 4:
+            break
+        time.sleep(0.1)
+    assert len(shuffles() - before) <= 4
